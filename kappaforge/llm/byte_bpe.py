@@ -16,6 +16,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from kappaforge.llm import pieces
 from kappaforge.llm.words import Poly, U, blocks, mix
@@ -291,7 +292,7 @@ def digest(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], with_ids: bool) -> DataFrame:
     part = docs.select(*keep, docs[text].alias("_text"))
     schema = part.drop("_text").schema
-    schema = schema.add("ids", "array<int>") if with_ids else schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
