@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kappaforge.llm import byte_bpe, decontamination, license_templates, quality_gam, quality_rules, token_counts, toxicity_pu
+from kappaforge.llm import byte_bpe, decontamination, license_templates, quality_gam, quality_rules, substring_dedup, token_counts, toxicity_pu
 from kappaforge.llm.store import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_templates.scan(table(spark, sf_dir, "documents")).drop("places")
 
@@ -44,5 +48,5 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_templates, op4_quality_gam, op5_byte_bpe, op6_quality_rules, op7_toxicity_pu, op9_token_counts, op10_string_tiling)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_templates, op4_quality_gam, op5_byte_bpe, op6_quality_rules, op7_toxicity_pu, op9_token_counts, op10_string_tiling)}
 ORACLES: dict[str, str] = {}

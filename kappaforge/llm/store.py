@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,3 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of DataFrames that are no longer in use.
+
+    The cleaner acts when the driver's garbage is collected, which may be long
+    after a phase whose result is already written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
