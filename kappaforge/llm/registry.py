@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kappaforge.llm import byte_bpe, decontamination, license_templates, quality_gam, quality_rules, substring_dedup, token_counts, toxicity_pu
+from kappaforge.llm import byte_bpe, decontamination, license_templates, near_dedup, quality_gam, quality_rules, substring_dedup, token_counts, toxicity_pu
 from kappaforge.llm.store import table
 
 
@@ -40,6 +40,10 @@ def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -48,5 +52,5 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_templates, op4_quality_gam, op5_byte_bpe, op6_quality_rules, op7_toxicity_pu, op9_token_counts, op10_string_tiling)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_templates, op4_quality_gam, op5_byte_bpe, op6_quality_rules, op7_toxicity_pu, op8_probminhash, op9_token_counts, op10_string_tiling)}
 ORACLES: dict[str, str] = {}
