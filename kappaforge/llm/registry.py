@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kappaforge.llm import byte_bpe, decontamination, license_templates, near_dedup, quality_gam, quality_rules, substring_dedup, token_counts, toxicity_pu
+from kappaforge.llm import byte_bpe, decontamination, license_templates, near_dedup, pii_surrogates, quality_gam, quality_rules, substring_dedup, token_counts, toxicity_pu
 from kappaforge.llm.store import table
 
 
@@ -23,6 +23,10 @@ def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_templates.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.surrogates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +56,9 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_templates, op4_quality_gam, op5_byte_bpe, op6_quality_rules, op7_toxicity_pu, op8_probminhash, op9_token_counts, op10_string_tiling)}
+_ALL = (
+    op1_substring_dedup, op2_license_templates, op3_pii_surrogates, op4_quality_gam, op5_byte_bpe,
+    op6_quality_rules, op7_toxicity_pu, op8_probminhash, op9_token_counts, op10_string_tiling,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
