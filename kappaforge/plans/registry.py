@@ -2,6 +2,461 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kappaforge.functions import codes, dates, texts
+from kappaforge.operators import adjudication, agreement, annotations, charts, costs, mapping, matching, notes, resample
+from kappaforge.plans.views import view, with_views
+
 FLAGSHIP = "q_category_average"
+CLINICIANS = ("reference", "clinician_2", "clinician_3")
+MODELS = ("model_1", "model_2")
+
+
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rater_annotation in the shape of the long table."""
+    return view(spark, sf_dir, "rater_annotation").select("rater", F.col("episode").alias("key"), "kind", "pos", codes.normalise_code(F.col("raw_code")).alias("code"))
+
+
+def pair_table(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(f"{a} vs {b}", a, b) for a, b in pairs], "pair string, rater_a string, rater_b string")
+
+
+def compared(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    return agreement.comparisons(rated(spark, sf_dir), pair_table(spark, pairs))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+PAIR = [("reference", "clinician_2")]
+CLINICIAN_PAIRS = [("reference", "clinician_2"), ("reference", "clinician_3"), ("clinician_2", "clinician_3")]
+MODEL_PAIRS = [(m, r) for m in MODELS for r in ("reference", "coder")]
+
+# SQL of the long table, of hit vectors and of kappas for a list of pairs
+_ANN = """ann as (select rater, episode as key, kind, substr(regexp_replace(upper(raw_code), '[^A-Z0-9]', '', 'g'), 1, 3) as code,
+ row_number() over (partition by rater, episode, kind order by pos) as pos from rater_annotation)"""
+
+
+def _pairs_sql(pairs: list[tuple[str, str]]) -> str:
+    return "pairs(pair, rater_a, rater_b) as (values " + ", ".join(f"('{a} vs {b}', '{a}', '{b}')" for a, b in pairs) + ")"
+
+
+_KAPPA = (
+    "both_keys as (select p.pair, x.key from pairs p join (select distinct rater, key from ann) x on x.rater = p.rater_a join (select distinct rater, key from ann) y on y.rater = p.rater_b and y.key = x.key)",
+    "flat as (select distinct rater, key, kind, code from ann)",
+    """hits as (select p.pair, a.key, a.kind, a.pos, case when f.code is null then 0 else 1 end as hit, 'a' as side from pairs p join ann a on a.rater = p.rater_a left join flat f on f.rater = p.rater_b and f.key = a.key and f.kind = a.kind and f.code = a.code
+ union all select p.pair, a.key, a.kind, a.pos, case when f.code is null then 0 else 1 end, 'b' from pairs p join ann a on a.rater = p.rater_b left join flat f on f.rater = p.rater_a and f.key = a.key and f.kind = a.kind and f.code = a.code)""",
+    "lined as (select pair, key, kind, pos, max(case when side = 'a' then hit else 0 end) as x, max(case when side = 'b' then hit else 0 end) as y from hits group by all)",
+    "sums as (select pair, key, kind, count(*) as w, sum(x) as sx, sum(y) as sy, sum(abs(x - y)) as d from lined group by all)",
+    "kappas as (select pair, key, kind, case when sx * (w - sy) + (w - sx) * sy = 0 then 1.0e0 else 1 - w * d * 1.0e0 / (sx * (w - sy) + (w - sx) * sy) end as k from sums)",
+    "units as (select b.pair, b.key, max(case when kind = 'dx' then k end) as dx, max(case when kind = 'px' then k end) as px from both_keys b left join kappas k on k.pair = b.pair and k.key = b.key group by b.pair, b.key)",
+)
+
+
+def _units_sql(sql: str, pairs: list[tuple[str, str]]) -> str:
+    return with_views(sql, _ANN, _pairs_sql(pairs), *_KAPPA)
+
+
+def q_kappa_units(spark, sf):
+    return rounded(agreement.kappa_units(compared(spark, sf, PAIR)).select("key", "dx", "px"), "dx", "px")
+
+
+def q_category_average(spark, sf):
+    return rounded(agreement.category_average(agreement.kappa_units(compared(spark, sf, PAIR))), "kappa")
+
+
+def q_clinician_agreement(spark, sf):
+    units = agreement.kappa_units(compared(spark, sf, [*CLINICIAN_PAIRS, ("reference", "coder")]))
+    clinical = F.col("pair") != "reference vs coder"
+    names = F.array(F.col("pair"), F.when(F.col("pair").isin("reference vs clinician_2", "reference vs clinician_3"), "ceiling (pairs with reference)"), F.when(clinical, "all clinician pairs"))
+    pooled = units.select(F.explode(F.array_compact(names)).alias("comparison"), "dx", "px")
+    return rounded(agreement.category_average(pooled, ("comparison",)), "kappa")
+
+
+def q_model_agreement(spark, sf):
+    both = compared(spark, sf, MODEL_PAIRS)
+    scores = agreement.set_scores(both).where("code_type = 'combined'").drop("n", "code_type")
+    return rounded(agreement.category_average(agreement.kappa_units(both)).join(scores, "pair"), "kappa", "precision", "recall", "f1")
+
+
+def q_overlap(spark, sf):
+    both = compared(spark, sf, CLINICIAN_PAIRS)
+    parts = []
+    for kind in agreement.CODE_TYPES:
+        j, m = agreement.overlap(F.col("a"), F.col("b"), kind)
+        parts.append(F.struct(F.lit(kind).alias("code_type"), j.alias("j"), m.alias("m")))
+    rows = both.select("pair", F.explode(F.array(*parts)).alias("s"))
+    return rounded(rows.groupBy("pair", F.col("s.code_type").alias("code_type")).agg(F.count("s.j").alias("n"), F.avg("s.j").alias("jaccard"), F.avg("s.m").alias("anymatch")), "jaccard", "anymatch")
+
+
+def q_set_scores(spark, sf):
+    return rounded(agreement.set_scores(compared(spark, sf, [(m, "reference") for m in MODELS])), "precision", "recall", "f1")
+
+
+def q_outlier_contrast(spark, sf):
+    return rounded(agreement.outlier_contrast(rated(spark, sf), list(CLINICIANS)), "contrast")
+
+
+def paired_matches(spark, sf) -> DataFrame:
+    """(pair, key, m, c): any match of model and of coder with the reference, in episodes of all three."""
+    table = annotations.code_table(rated(spark, sf)).where("kind = 'combined'")
+    of = lambda r: F.collect_set(F.when(F.col("rater") == r, F.col("code")))
+    wide = table.where(F.col("rater").isin("reference", "coder", *MODELS)).groupBy("key").agg(*(of(r).alias(r) for r in ("reference", "coder", *MODELS)))
+    hit = lambda r: F.arrays_overlap(r, F.col("reference")).cast("int")
+    rows = wide.where("size(reference) > 0 and size(coder) > 0").select("key", F.explode(F.array(*(F.struct(F.lit(m).alias("pair"), F.size(m).alias("n"), hit(m).alias("m"), hit("coder").alias("c")) for m in MODELS))).alias("s"))
+    return rows.where("s.n > 0").select("s.pair", "key", "s.m", "s.c")
+
+
+def q_h1_mcnemar(spark, sf):
+    return rounded(agreement.mcnemar(paired_matches(spark, sf), "m", "c").withColumn("delta_p", (F.col("a_only") - F.col("b_only")) / F.col("n")), "chi2", "delta_p")
+
+
+def q_posthoc_counts(spark, sf):
+    return agreement.mcnemar(paired_matches(spark, sf), "m", "c").select("pair", "both_hit", "a_only", "b_only", "neither")
+
+
+def q_bh_fdr(spark, sf):
+    tests = view(spark, sf, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.count("*").alias("k"))
+    tests = tests.select(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("test"), (((F.col("o_custkey") * 7919 + F.col("k") * 31) % 997 + 1) / F.lit(997.0)).alias("p"))
+    return rounded(agreement.benjamini_hochberg(tests, family=("family",)), "p", "q")
+
+
+def q_coder_match(spark, sf):
+    return matching.match_coder(view(spark, sf, "clinician_episode"), view(spark, sf, "coder_admission"))
+
+
+def q_code_normalise(spark, sf):
+    p = view(spark, sf, "part")
+    raw = F.concat(F.lower(F.substring("p_type", 1, 1)), F.lpad((F.col("p_size") % 100).cast("string"), 2, "0"), F.when(F.col("p_partkey") % 3 == 0, ".X").otherwise(F.concat(F.lit("."), F.substring("p_brand", 7, 1))))
+    return p.select("p_partkey", codes.normalise_code(raw).alias("code"), codes.normalise_diagnosis_code(raw).alias("dx"), codes.at_level(codes.normalise_diagnosis_code(raw)).alias("category"), codes.dotted(raw).alias("dotted"))
+
+
+def q_split_codes(spark, sf):
+    p = view(spark, sf, "part").select("p_partkey", F.explode(codes.split_codes(F.concat("p_type", F.lit("  N/A "), "p_brand"))).alias("word"))
+    return p.groupBy(codes.normalise_code(F.col("word")).alias("code")).agg(F.count("*").alias("n"))
+
+
+def q_id_normalise(spark, sf):
+    c = view(spark, sf, "customer")
+    raw = F.concat(F.lit(" sy-0"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".0").otherwise(""))
+    return c.select("c_custkey", codes.norm_id(raw).alias("nid"), codes.alnum_id(raw).alias("alnum"), codes.plain_id(raw).alias("plain"), codes.episode_id(raw, F.lit("2024-01-15").cast("date")).alias("episode_id"))
+
+
+def q_date_parse(spark, sf):
+    o = view(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("d", "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("d", "yyyy-MM-dd")).otherwise(F.datediff("d", F.lit("1899-12-30").cast("date")).cast("string"))
+    us = F.date_format("d", "MM/dd/yyyy")
+    return o.select("o_orderkey", dates.parse_date(text).alias("typed"), dates.parse_dates(text).alias("mixed"), dates.parse_dates(us, dayfirst=False).alias("us"), dates.swapped(F.col("d")).alias("swapped"))
+
+
+def pilot_scored(spark, sf) -> DataFrame:
+    """(coder, rated): category codes of linked pilot episodes, the clinician's being the coder's on a match."""
+    ref = annotations.ordered_codes(view(spark, sf, "pilot_reference"), ["patient_id", "admission"], ["l_orderkey", "l_linenumber"])
+    both = view(spark, sf, "pilot_coder").join(ref, ["patient_id", "admission"])
+    code, all_codes = F.substring("code", 1, 3), codes.truncated(F.col("codes"))
+    matched = F.array_contains(all_codes, code)
+    return both.select(code.alias("coder"), F.when(matched, code).otherwise(F.get(all_codes, F.lit(0))).alias("rated"), matched.cast("int").alias("hit"))
+
+
+def q_pilot_kappa(spark, sf):
+    return rounded(agreement.cohen_kappa(pilot_scored(spark, sf), "coder", "rated"), "kappa")
+
+
+def q_pilot_match(spark, sf):
+    out = pilot_scored(spark, sf).agg(F.count("*").alias("n"), F.avg("hit").alias("match_p"))
+    return rounded(out.withColumn("halfwidth", 1.96 * F.sqrt(F.col("match_p") * (1 - F.col("match_p")) / F.col("n"))), "match_p", "halfwidth")
+
+
+def q_binary_kappa(spark, sf):
+    rows = view(spark, sf, "binary_rating").withColumn("pair", F.lit("quality vs tone"))
+    return rounded(agreement.cohen_kappa(rows, "rater_a", "rater_b", ("pair",)).join(agreement.mcnemar(rows, "rater_a", "rater_b").drop("n"), "pair"), "kappa", "chi2")
+
+
+def q_map_target(spark, sf):
+    return mapping.targets(view(spark, sf, "map_row")).select("refset", "sctid", "code")
+
+
+def q_map_all_targets(spark, sf):
+    return mapping.targets(view(spark, sf, "map_row")).select("refset", "sctid", "candidates")
+
+
+def q_map_labels(spark, sf):
+    labels = view(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", "Diagnoses").when(F.col("l_returnflag") == "N", "Procedures").otherwise("Other").alias("qualifier"), (F.col("l_partkey") % 220).cast("string").alias("snomed_ct"))
+    done = mapping.classified(labels, mapping.targets(view(spark, sf, "map_row")))
+    return done.groupBy("qualifier", "icd10", "opcs4", "classification_candidates").agg(F.count("*").alias("n"))
+
+
+def q_concept_counts(spark, sf):
+    return mapping.concept_counts(view(spark, sf, "map_row"))
+
+
+def anchored(spark, sf) -> DataFrame:
+    return notes.anchors(view(spark, sf, "note"), view(spark, sf, "snippet"), view(spark, sf, "snippet_coder_date"))
+
+
+def q_note_anchor(spark, sf):
+    return anchored(spark, sf).withColumn("suspect", notes.suspect())
+
+
+def q_note_window(spark, sf):
+    return notes.windows(anchored(spark, sf), view(spark, sf, "note").drop("note_text")).select("episode", "note_id", "note_date", "note_class", "is_anchor")
+
+
+def q_format_episode(spark, sf):
+    """The notes of every source and week under numbered headers."""
+    n = view(spark, sf, "note").select(F.concat_ws("-", "note_class", F.floor(F.unix_date("note_date") / 7).cast("string")).alias("episode"), "note_date", "note_id", "note_class", F.substring("note_text", 1, 40).alias("text"))
+    listed = n.groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("note_date", "note_id", "note_class", "text"))).alias("notes"))
+    return listed.select("episode", texts.numbered_notes(F.col("notes")).alias("body"))
+
+
+def verdicts(spark, sf) -> DataFrame:
+    return view(spark, sf, "verdict").withColumn("category", adjudication.classify(F.col("verdict")))
+
+
+def q_verdict_counts(spark, sf):
+    return adjudication.counts(verdicts(spark, sf), ("model", "qualifier"))
+
+
+EVALUATED = ("validity_precision", "validity_recall", "validity_f1", "alignment_precision", "alignment_recall", "alignment_f1", "extraction_recall", "coding_accuracy", "hallucination_rate")
+
+
+def q_adjudication(spark, sf):
+    return rounded(adjudication.evaluate(verdicts(spark, sf)), *EVALUATED)
+
+
+def q_chart_performance(spark, sf):
+    return rounded(charts.performance(adjudication.evaluate(verdicts(spark, sf))), "score")
+
+
+#: prices per million tokens by event type, which stands for a model here
+PRICES = (("click", 2.5, 10.0), ("view", 1.25, 10.0), ("purchase", 0.0, 0.0))
+
+
+def q_cost_report(spark, sf):
+    prices = spark.createDataFrame(list(PRICES), "model string, price_in double, price_out double")
+    runs = view(spark, sf, "run_metadata").withColumn("elapsed_seconds", F.col("elapsed_seconds").cast("decimal(18,6)"))
+    return costs.summarise(costs.with_cost(runs, prices)).select("model", "episodes", "llm_calls_per_episode", "tokens_per_episode", F.round("total_hours", 2).cast("double").alias("total_hours"))
+
+
+def q_conversation_log(spark, sf):
+    c = view(spark, sf, "conversations")
+    calls = c.select(F.col("conv_id").alias("episode_id"), F.when(F.col("role") == "user", F.length("text")).otherwise(0).alias("prompt_tokens"), F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).alias("completion_tokens"))
+    return costs.usage(calls)
+
+
+def q_first_turn(spark, sf):
+    """The conversation as an ordered log, cut back to (id, number of turns, first role, last role)."""
+    log = view(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("log"))
+    return log.select("conv_id", F.size("log").alias("turns"), F.element_at("log", 1)["role"].alias("first_role"), F.element_at("log", -1)["role"].alias("last_role"))
+
+
+def q_bootstrap_lcg(spark, sf):
+    units = agreement.kappa_units(compared(spark, sf, PAIR))
+    draws = resample.lcg_means(units, ["dx", "px"], 20)
+    return rounded(draws, "dx", "px")
+
+
+def q_bootstrap_interval(spark, sf):
+    units = agreement.kappa_units(compared(spark, sf, CLINICIAN_PAIRS))
+    return agreement.category_average(units).join(resample.category_interval(units, 500), "pair")
+
+
+def h1_units(spark, sf) -> DataFrame:
+    """(pair, key, m, c, dx_m, px_m, dx_c, px_c) in episodes of model, coder and reference."""
+    k = agreement.kappa_units(compared(spark, sf, [(r, "reference") for r in (*MODELS, "coder")]))
+    model = k.where("pair <> 'coder vs reference'").select(F.split_part("pair", F.lit(" "), F.lit(1)).alias("pair"), "key", F.col("dx").alias("dx_m"), F.col("px").alias("px_m"))
+    coder = k.where("pair = 'coder vs reference'").select("key", F.col("dx").alias("dx_c"), F.col("px").alias("px_c"))
+    return paired_matches(spark, sf).join(model, ["pair", "key"]).join(coder, "key")
+
+
+def q_h1_tests(spark, sf):
+    """H1 by model: counts, McNemar's p, paired bootstrap differences and adjusted p-values."""
+    units = h1_units(spark, sf)
+    point = units.groupBy("pair").agg(((F.avg("dx_m") + F.avg("px_m")) / 2).alias("model_kappa"), ((F.avg("dx_c") + F.avg("px_c")) / 2).alias("coder_kappa"))
+    tests = agreement.mcnemar(units, "m", "c").join(point, "pair").join(resample.paired_test(units, 500), "pair")
+    tests = tests.withColumn("delta_kappa", F.col("model_kappa") - F.col("coder_kappa")).withColumn("mcnemar_p", resample.chi2_tail(F.col("chi2")))
+    tests = agreement.benjamini_hochberg(tests, "mcnemar_p", out="mcnemar_p_fdr")
+    return agreement.benjamini_hochberg(tests, "delta_kappa_p", out="delta_kappa_p_fdr")
+
+
+def h2_tests(spark, sf) -> DataFrame:
+    units = agreement.kappa_units(compared(spark, sf, [*CLINICIAN_PAIRS[:2], *((r, "reference") for r in ("coder", *MODELS))]))
+    ceiling = units.where(F.col("pair").startswith("reference")).select(F.lit("ceiling").alias("pair"), F.concat_ws("/", "pair", F.col("key").cast("string")).alias("key"), "dx", "px")
+    others = units.where(~F.col("pair").startswith("reference")).withColumn("pair", F.split_part("pair", F.lit(" "), F.lit(1)))
+    return agreement.benjamini_hochberg(resample.one_sided_test(ceiling, others, 500), "p_one_sided", out="p_fdr")
+
+
+def q_h2_tests(spark, sf):
+    return h2_tests(spark, sf)
+
+
+def q_chart_h1(spark, sf):
+    return charts.differences(q_h1_tests(spark, sf).withColumnRenamed("pair", "model"))
+
+
+def q_chart_h2(spark, sf):
+    units = agreement.kappa_units(compared(spark, sf, [(r, "reference") for r in ("coder", *MODELS)])).withColumn("pair", F.split_part("pair", F.lit(" "), F.lit(1)))
+    shown = agreement.category_average(units).join(resample.category_interval(units, 500), "pair").withColumnRenamed("pair", "label")
+    return charts.against_ceiling(shown, h2_tests(spark, sf).select(F.col("pair").alias("comparator"), "p_fdr"))
+
+
+def q_shared_triples(spark, sf):
+    r = rated(spark, sf)
+    return matching.in_all(annotations.annotated(r), list(CLINICIANS))
+
+
+def q_episodes(spark, sf):
+    e = annotations.episodes(rated(spark, sf))
+    return e.select("rater", "key", F.array_join("dx", ",").alias("dx"), F.array_join("px", ",").alias("px"), F.size("dx_rows").alias("n_dx"), F.size("px_rows").alias("n_px"))
+
+
+def q_linkage(spark, sf):
+    """The last duplicate of every normalised identifier wins."""
+    o = view(spark, sf, "orders").select(codes.norm_id(F.col("o_custkey").cast("string")).alias("nid"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("person"))
+    return matching.last_per_key(o, "nid", "ord").select("nid", "person")
+
+
+_COMB = (
+    "flatc as (select distinct rater, key, kind, code from ann union select distinct rater, key, 'combined', code from ann)",
+    "sizes as (select rater, key, kind, count(*) as n from flatc group by all)",
+    "kinds(kind) as (values ('dx'), ('px'), ('combined'))",
+    "keys2 as (select p.pair, p.rater_a, p.rater_b, x.key from pairs p join (select distinct rater, key from ann) x on x.rater = p.rater_a join (select distinct rater, key from ann) y on y.rater = p.rater_b and y.key = x.key)",
+    """ov as (select k.pair, k.key, d.kind as code_type, coalesce(sa.n, 0) as na, coalesce(sb.n, 0) as nb,
+ (select count(*) from flatc f join flatc g on g.key = f.key and g.kind = f.kind and g.code = f.code where f.rater = k.rater_a and g.rater = k.rater_b and f.key = k.key and f.kind = d.kind) as hit
+ from keys2 k cross join kinds d left join sizes sa on sa.rater = k.rater_a and sa.key = k.key and sa.kind = d.kind left join sizes sb on sb.rater = k.rater_b and sb.key = k.key and sb.kind = d.kind)""",
+)
+_SCORES = """select pair, code_type, round(avg(case when na > 0 then hit * 1.0e0 / na end), 6) as precision, round(avg(case when nb > 0 then hit * 1.0e0 / nb end), 6) as recall,
+ round(avg(case when na > 0 and nb > 0 then 2.0e0 * hit / (na + nb) end), 6) as f1, count(case when na > 0 and nb > 0 then 1 end) as n from ov group by all"""
+_MATCHES = (
+    "flat1 as (select distinct rater, key, code from ann)",
+    "hitk as (select m.rater, m.key, max(case when r.code is not null then 1 else 0 end) as hit from flat1 m left join flat1 r on r.rater = 'reference' and r.key = m.key and r.code = m.code group by all)",
+    """pm as (select m.rater as pair, m.key, m.hit as m, c.hit as c from hitk m join hitk c on c.rater = 'coder' and c.key = m.key
+ where m.rater in ('model_1', 'model_2') and m.key in (select key from flat1 where rater = 'reference'))""",
+    "mc as (select pair, count(*) as n, sum(m * c) as both_hit, sum(m * (1 - c)) as a_only, sum((1 - m) * c) as b_only, sum((1 - m) * (1 - c)) as neither from pm group by all)",
+)
+_ANCHOR = (
+    "canonical as (select note_id, note_date, note_class, trim(regexp_replace(regexp_replace(lower(note_text), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g')) as canon from note)",
+    "probes as (select episode, substr(c, 1, 60) as probe from (select episode, trim(regexp_replace(regexp_replace(lower(snippet), '\\s+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g')) as c from snippet) where length(c) >= 12)",
+    "scored as (select p.episode, n.note_id, n.note_date, count(*) as matched from probes p join canonical n on contains(n.canon, p.probe) group by all)",
+    "gaps as (select s.*, (select min(abs(date_diff('day', c.adm, s.note_date))) from snippet_coder_date c where c.episode = s.episode) as gap from scored s)",
+    "best as (select * from (select *, row_number() over (partition by episode order by matched desc, gap nulls last, note_date, note_id) as rn from gaps) where rn = 1)",
+    "anchor as (select b.episode, b.note_id, b.note_date, b.matched, t.tried, b.gap from best b join (select episode, count(*) as tried from probes group by all) t on t.episode = b.episode)",
+)
+_TARGETS = (
+    "dot as (select *, case when length(target) > 3 then concat(substr(target, 1, 3), '.', substr(target, 4)) else target end as dotted, case when map_rule in ('', 'TRUE', 'ALWAYS') or map_rule like 'OTHERWISE%' then 0 else 1 end as cond, case when contains(advice, 'ADDITIONAL CODE MANDATORY') then 1 else 0 end as addl from map_row)",
+    "ranked as (select *, row_number() over (partition by refset, sctid order by cond, addl, priority, ord) as rn from dot where map_group = 1 and target <> '')",
+    """chosen as (select c.refset, c.sctid, r.dotted as code, coalesce(a.candidates, '') as candidates from (select distinct refset, sctid from map_row) c left join ranked r on r.refset = c.refset and r.sctid = c.sctid and r.rn = 1
+ left join (select refset, sctid, string_agg(dotted, ';' order by dotted) as candidates from (select distinct refset, sctid, dotted from ranked) group by all) a on a.refset = c.refset and a.sctid = c.sctid)""",
+)
+_VERDICTS = """vd as (select model, qualifier, case when l like 'tn%' then 'TN' when l like 'tp%' then 'TP' when l like '%fn%' and l like '%correct%' and (l like '%extract%' or l like '%text%') then 'FN_coding' when l like '%fn%' and l like '%no diagnosis%' then 'FN_miss'
+ when l like '%fp%' and l like '%additional not relevant%' then 'FP_soft' when l like '%fp%' then 'FP_hard' end as category from (select *, lower(verdict) as l from verdict))"""
+_EVAL = (
+    "vc as (select model, count(*) as n, count(*) filter (category = 'TP') as tp, count(*) filter (category = 'FP_soft') as fp_soft, count(*) filter (category = 'FP_hard') as fp_hard, count(*) filter (category = 'FN_coding') as fn_coding, count(*) filter (category = 'FN_miss') as fn_miss, count(*) filter (category = 'TN') as tn from vd where category is not null group by all)",
+    """pr as (select *, (tp + fp_soft) * 1.0e0 / nullif(tp + fp_soft + fp_hard, 0) as vp, (tp + fp_soft) * 1.0e0 / nullif(tp + fp_soft + fn_coding + fn_miss, 0) as vr, tp * 1.0e0 / nullif(tp + fp_soft + fp_hard, 0) as ap, tp * 1.0e0 / nullif(tp + fn_coding + fn_miss, 0) as ar from vc)""",
+    """ev as (select model, n, tp, fp_soft, fp_hard, fn_coding, fn_miss, tn, round(vp, 6) as validity_precision, round(vr, 6) as validity_recall, round(case when vp > 0 and vr > 0 then 2 * vp * vr / (vp + vr) end, 6) as validity_f1, round(ap, 6) as alignment_precision,
+ round(ar, 6) as alignment_recall, round(case when ap > 0 and ar > 0 then 2 * ap * ar / (ap + ar) end, 6) as alignment_f1, round((tp + fn_coding) * 1.0e0 / nullif(tp + fn_coding + fn_miss, 0), 6) as extraction_recall, round(tp * 1.0e0 / nullif(tp + fn_coding, 0), 6) as coding_accuracy,
+ round(fp_hard * 1.0e0 / nullif(tp + fp_soft + fp_hard, 0), 6) as hallucination_rate from pr)""",
+)
+_PILOT = (
+    "firsts as (select patient_id, admission, substr(code, 1, 3) as code, min(l_orderkey * 100 + l_linenumber) as o from pilot_reference group by all)",
+    "lead as (select patient_id, admission, arg_min(code, o) as first_code from firsts group by all)",
+    "scored as (select substr(c.code, 1, 3) as coder, case when f.code is not null then substr(c.code, 1, 3) else l.first_code end as rated, case when f.code is not null then 1 else 0 end as hit from pilot_coder c join lead l on l.patient_id = c.patient_id and l.admission = c.admission left join firsts f on f.patient_id = c.patient_id and f.admission = c.admission and f.code = substr(c.code, 1, 3))",
+)
+_AVG = "round((avg(dx) + avg(px)) / 2, 6) as kappa"
+_PART = "select p_partkey, concat(lower(substr(p_type, 1, 1)), lpad(cast(p_size % 100 as varchar), 2, '0'), case when p_partkey % 3 = 0 then '.X' else concat('.', substr(p_brand, 7, 1)) end) as raw from part"
+
+ORACLES = {
+    "q_kappa_units": _units_sql("select key, round(dx, 6) as dx, round(px, 6) as px from units", PAIR),
+    "q_category_average": _units_sql(f"select pair, count(*) as n, {_AVG} from units group by all", PAIR),
+    "q_clinician_agreement": _units_sql(
+        f"""select pair as comparison, count(*) as n, {_AVG} from units group by pair union all select 'ceiling (pairs with reference)', count(*), {_AVG} from units where pair in ('reference vs clinician_2', 'reference vs clinician_3')
+ union all select 'all clinician pairs', count(*), {_AVG} from units where pair <> 'reference vs coder'""",
+        [*CLINICIAN_PAIRS, ("reference", "coder")],
+    ),
+    "q_model_agreement": with_views(
+        f"select u.pair, u.n, u.kappa, s.precision, s.recall, s.f1 from (select pair, count(*) as n, {_AVG} from units group by pair) u join ({_SCORES}) s on s.pair = u.pair and s.code_type = 'combined'", _ANN, _pairs_sql(MODEL_PAIRS), *_KAPPA, *_COMB
+    ),
+    "q_overlap": with_views(
+        """select pair, code_type, count(case when na > 0 and nb > 0 then 1 end) as n, round(avg(case when na > 0 and nb > 0 then hit * 1.0e0 / (na + nb - hit) end), 6) as jaccard,
+ round(avg(case when na > 0 and nb > 0 then case when hit > 0 then 1.0e0 else 0 end end), 6) as anymatch from ov group by all""",
+        _ANN, _pairs_sql(CLINICIAN_PAIRS), *_COMB,
+    ),
+    "q_set_scores": with_views(_SCORES, _ANN, _pairs_sql([(m, "reference") for m in MODELS]), *_COMB),
+    "q_outlier_contrast": with_views(
+        """select rater, count(*) as n_triples, round(avg(contrast), 6) as contrast from (
+ select 'reference' as rater, (j12 + j13) / 2 - j23 as contrast from j union all select 'clinician_2', (j12 + j23) / 2 - j13 from j union all select 'clinician_3', (j13 + j23) / 2 - j12 from j) group by all""",
+        _ANN,
+        "s as (select key, list(distinct code) filter (rater = 'reference') as a, list(distinct code) filter (rater = 'clinician_2') as b, list(distinct code) filter (rater = 'clinician_3') as c from ann group by key)",
+        """j as (select key, len(list_intersect(a, b)) * 1.0e0 / len(list_distinct(list_concat(a, b))) as j12, len(list_intersect(a, c)) * 1.0e0 / len(list_distinct(list_concat(a, c))) as j13, len(list_intersect(b, c)) * 1.0e0 / len(list_distinct(list_concat(b, c))) as j23
+ from s where len(a) > 0 and len(b) > 0 and len(c) > 0)""",
+    ),
+    "q_h1_mcnemar": with_views("select pair, n, cast(both_hit as bigint) as both_hit, cast(a_only as bigint) as a_only, cast(b_only as bigint) as b_only, cast(neither as bigint) as neither, round(case when a_only + b_only = 0 then 0 else power(abs(a_only - b_only) - 1, 2) * 1.0e0 / (a_only + b_only) end, 6) as chi2, round((a_only - b_only) * 1.0e0 / n, 6) as delta_p from mc", _ANN, *_MATCHES),
+    "q_posthoc_counts": with_views("select pair, cast(both_hit as bigint) as both_hit, cast(a_only as bigint) as a_only, cast(b_only as bigint) as b_only, cast(neither as bigint) as neither from mc", _ANN, *_MATCHES),
+    "q_bh_fdr": """with t as (select o_orderpriority as family, o_custkey as test, ((o_custkey * 7919 + count(*) * 31) % 997 + 1) / 997.0e0 as p from orders group by 1, 2),
+ r as (select *, row_number() over (partition by family order by p) as rk, count(*) over (partition by family) as m from t)
+ select family, test, round(p, 6) as p, round(least(1.0e0, min(p * m / rk) over (partition by family order by rk desc rows between unbounded preceding and current row)), 6) as q from r""",
+    "q_coder_match": with_views(
+        """select e.ep_key, coalesce(x.seq, o.seq) as seq, case when x.seq is not null then 'date' else 'single' end as how from clinician_episode e left join exact x on x.ep_key = e.ep_key left join only_one o on o.nid = e.nid where coalesce(x.seq, o.seq) is not null""",
+        """exact as (select e.ep_key, min(c.seq) as seq from clinician_episode e join coder_admission c on c.nid = e.nid and (c.adm = e.adm or (day(e.adm) <= 12 and day(e.adm) <> month(e.adm) and year(c.adm) = year(e.adm) and month(c.adm) = day(e.adm) and day(c.adm) = month(e.adm))) group by 1)""",
+        "only_one as (select nid, min(seq) as seq from coder_admission group by nid having count(*) = 1)",
+    ),
+    "q_code_normalise": f"""with r as ({_PART}), c as (select p_partkey, regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g') as code from r), d as (select *, case when regexp_full_match(code, '[A-Z][0-9]{{2}}X') then substr(code, 1, 3) else code end as dx from c)
+ select p_partkey, code, dx, substr(dx, 1, 3) as category, case when length(code) > 3 then concat(substr(code, 1, 3), '.', substr(code, 4)) else code end as dotted from d""",
+    "q_split_codes": "with w as (select unnest(string_split_regex(trim(concat(p_type, '  N/A ', p_brand)), '\\s+')) as word from part) select nullif(regexp_replace(upper(word), '[^A-Z0-9]', '', 'g'), '') as code, count(*) as n from w where lower(word) <> 'n/a' and word <> '' group by 1",
+    "q_id_normalise": """with r as (select c_custkey, concat(' sy-0', c_custkey, case when c_custkey % 2 = 0 then '.0' else '' end) as raw from customer), t as (select *, regexp_replace(trim(raw), '\\.0$', '') as cut from r)
+ select c_custkey, ltrim(regexp_replace(cut, '[^0-9]', '', 'g'), '0') as nid, regexp_replace(upper(cut), '[^0-9A-Z]', '', 'g') as alnum, ltrim(regexp_replace(raw, '[^0-9]', '', 'g'), '0') as plain, concat(regexp_replace(cut, '[^A-Za-z0-9]', '', 'g'), '_20240115') as episode_id from t""",
+    "q_date_parse": """with o as (select o_orderkey, cast(o_orderdate as date) as d from orders) select o_orderkey, case when o_orderkey % 3 = 2 then null else d end as typed, d as mixed, d as us,
+ case when day(d) <= 12 and day(d) <> month(d) then make_date(cast(year(d) as int), cast(day(d) as int), cast(month(d) as int)) end as swapped from o""",
+    "q_pilot_kappa": with_views(
+        """select n, round((po - pe) / (1 - pe), 6) as kappa from (select (select count(*) from scored) as n, (select avg(case when coder = rated then 1.0e0 else 0 end) from scored) as po,
+ (select sum(a.n * 1.0e0 * b.n) from (select coder, count(*) as n from scored group by 1) a join (select rated, count(*) as n from scored group by 1) b on a.coder = b.rated) / power((select count(*) from scored), 2) as pe)""",
+        *_PILOT,
+    ),
+    "q_pilot_match": with_views("select count(*) as n, round(avg(hit), 6) as match_p, round(1.96 * sqrt(avg(hit) * (1 - avg(hit)) / count(*)), 6) as halfwidth from scored", *_PILOT),
+    "q_binary_kappa": with_views(
+        """select 'quality vs tone' as pair, n, round((po - pe) / (1 - pe), 6) as kappa, both_hit, a_only, b_only, neither, round(case when a_only + b_only = 0 then 0 else power(abs(a_only - b_only) - 1, 2) * 1.0e0 / (a_only + b_only) end, 6) as chi2 from (select *, (both_hit + neither) * 1.0e0 / n as po,
+ ((both_hit + a_only) * 1.0e0 * (both_hit + b_only) + (neither + b_only) * 1.0e0 * (neither + a_only)) / (n * 1.0e0 * n) as pe from t)""",
+        "t as (select count(*) as n, count(*) filter (rater_a = 1 and rater_b = 1) as both_hit, count(*) filter (rater_a = 1 and rater_b = 0) as a_only, count(*) filter (rater_a = 0 and rater_b = 1) as b_only, count(*) filter (rater_a = 0 and rater_b = 0) as neither from binary_rating)",
+    ),
+    "q_map_target": with_views("select refset, sctid, code from chosen", *_TARGETS),
+    "q_map_all_targets": with_views("select refset, sctid, candidates from chosen", *_TARGETS),
+    "q_map_labels": with_views(
+        """select qualifier, case when refset = 'diagnosis' then code end as icd10, case when refset = 'procedure' then code end as opcs4, candidates as classification_candidates, count(*) as n from
+ (select case l_returnflag when 'A' then 'Diagnoses' when 'N' then 'Procedures' else 'Other' end as qualifier, case l_returnflag when 'A' then 'diagnosis' when 'N' then 'procedure' end as kind, l_partkey % 220 as concept from lineitem) l left join chosen c on c.refset = l.kind and c.sctid = l.concept group by all""",
+        *_TARGETS,
+    ),
+    "q_concept_counts": with_views("select refset, count(distinct sctid) as concepts from map_row group by 1"),
+    "q_note_anchor": with_views("select episode, note_id, note_date, matched, tried, gap, gap is null or gap > 45 as suspect from anchor", *_ANCHOR),
+    "q_note_window": with_views(
+        "select a.episode, n.note_id, n.note_date, n.note_class, n.note_id = a.note_id as is_anchor from anchor a join note n on n.note_date between a.note_date - interval 90 day and a.note_date + interval 30 day or n.note_id = a.note_id", *_ANCHOR
+    ),
+    "q_format_episode": with_views(
+        """select episode, string_agg(concat('--- Note ', rn, ' | ', note_date, ' | ', note_class, ' ---', chr(10), body), chr(10) || chr(10) order by rn) as body from
+ (select concat(note_class, '-', cast(floor(date_diff('day', date '1970-01-01', note_date) / 7) as bigint)) as episode, note_date, note_class, substr(note_text, 1, 40) as body, row_number() over (partition by note_class, floor(date_diff('day', date '1970-01-01', note_date) / 7) order by note_date, note_id) as rn from note) group by 1"""
+    ),
+    "q_verdict_counts": with_views("select model, qualifier, category, count(*) as n from vd where category is not null group by all", _VERDICTS),
+    "q_adjudication": with_views("select * from ev", _VERDICTS, *_EVAL),
+    "q_chart_performance": with_views(" union all ".join(f"select model, '{t}' as tier, '{m}' as metric, {t}_{m} as score from ev" for t in ("validity", "alignment") for m in ("precision", "recall", "f1")), _VERDICTS, *_EVAL),
+    "q_cost_report": with_views(
+        """select model, count(*) as episodes, round(avg(n_llm_calls), 3) as llm_calls_per_episode, round(avg(prompt_tokens + completion_tokens), 3) as tokens_per_episode, cast(round(round(sum(cast(elapsed_seconds as decimal(18,6))) / 3600, 3), 2) as double) as total_hours from run_metadata where elapsed_seconds is not null group by 1"""
+    ),
+    "q_conversation_log": "select conv_id as episode_id, cast(sum(case when role = 'user' then length(text) else 0 end) as bigint) as prompt_tokens, cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as completion_tokens, count(*) as n_llm_calls from conversations group by 1",
+    "q_first_turn": "select conv_id, cast(count(*) as int) as turns, arg_min(role, turn) as first_role, arg_max(role, turn) as last_role from conversations group by 1",
+    "q_bootstrap_lcg": _units_sql(
+        """select 'reference vs clinician_2' as pair, draw, round(avg(dx), 6) as dx, round(avg(px), 6) as px from (select d.draw, u.dx, u.px from (select (select count(*) from units) as n) c, (select cast(unnest(range(20)) as int) as draw) d, (select key, row_number() over (order by key) - 1 as pos from units) p
+ join (select *, row_number() over (order by key) - 1 as idx from units) u on u.idx = ((cast(d.draw as bigint) * 7919 + p.pos * 104729 + d.draw * p.pos + 12345) % 1000003) % c.n) group by draw""",
+        PAIR,
+    ),
+    "q_shared_triples": with_views("select episode as key from rater_annotation where rater in ('reference', 'clinician_2', 'clinician_3') group by 1 having count(distinct rater) = 3"),
+    "q_episodes": with_views(
+        "select e.rater, e.key, coalesce(d.dx, '') as dx, coalesce(p.px, '') as px, cast(coalesce(d.n, 0) as int) as n_dx, cast(coalesce(p.n, 0) as int) as n_px from (select distinct rater, key from whole) e"
+        + "".join(f" left join (select rater, key, string_agg(code, ',' order by o) as {k}, sum(c) as n from (select rater, key, code, min(pos) as o, count(*) as c from whole where kind = '{k}' group by all) group by all) {k[0]} on {k[0]}.rater = e.rater and {k[0]}.key = e.key" for k in ("dx", "px")),
+        "whole as (select rater, episode as key, kind, pos, regexp_replace(upper(raw_code), '[^A-Z0-9]', '', 'g') as code from rater_annotation)",
+    ),
+    "q_linkage": "select ltrim(cast(o_custkey as varchar), '0') as nid, arg_max(o_orderstatus, o_orderkey) as person from orders group by 1",
+}
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
