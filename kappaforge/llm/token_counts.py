@@ -1,94 +1,148 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A document longer than ``chunk`` characters is encoded as overlapping chunks
-with offsets. Neighbours are spliced at a position inside their overlap where
-both have a token boundary that no context can move: a single space between
-two non-space characters, where the pre-tokeniser always starts a new piece,
-and both chunks have equal tokens for ``agree`` tokens around it. If there is
-no such position, the chunk is encoded again with twice the overlap, up to the
-whole rest of the document. Counts equal those of encoding the whole text.
+Texts are split into the pieces that the tokenizer merges separately. The
+tokenizers library counts each distinct piece once; a bounded table remembers
+the counts. A text with a special string of the tokenizer goes through the
+library whole.
+
+A document longer than ``chunk`` bytes is encoded as overlapping chunks with
+offsets. Neighbours are spliced at a position inside their overlap where both
+have a boundary that no context can move: a single space between two ASCII
+letters, where a new piece begins whatever else stands around it, and both
+chunks have equal pieces and counts on its two sides. If there is no such
+position, the chunk is encoded again with twice the overlap, up to the whole
+rest of the document. Counts equal those of encoding the whole text.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHUNK, OVERLAP, AGREE = 16_384, 256, 2
-#: a space that begins a piece whatever stands around it
-_STABLE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+from kappaforge.llm import pieces
+from kappaforge.llm.words import Poly, U, blocks, byte_table
 
-_loaded: dict = {}
+CHUNK, OVERLAP, AGREE = 1 << 16, 256, 2
+MEMO_BITS = 20
+BLOCK = 1 << 19
+_LETTER = byte_table([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 
 
-def tokenizer(path: str):
-    """The tokenizer of a .json file, once per worker, without truncation or padding."""
-    if path not in _loaded:
+class Counter:
+    """Token counts of one byte-level tokenizer.json file."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _loaded[path] = t
-    return _loaded[path]
-
-
-def _encode(tok, text: str):
-    e = tok.encode(text, add_special_tokens=False)
-    return e.ids, [a for a, _ in e.offsets]
-
-
-def _splice(text: str, left, left_at: int, right, right_at: int, low: int, high: int) -> tuple[int, int, int] | None:
-    """(position, tokens of left before it, tokens of right before it) for the middle-most proven boundary in [low, high)."""
-    left_ids, left_off = left
-    right_ids, right_off = right
-    where_left = {o + left_at: i for i, o in reversed(list(enumerate(left_off)))}
-    where_right = {o + right_at: i for i, o in reversed(list(enumerate(right_off)))}
-    middle = (low + high) // 2
-    for m in sorted((x.start() for x in _STABLE.finditer(text, low, high)), key=lambda p: abs(p - middle)):
-        i, j = where_left.get(m), where_right.get(m)
-        if i is None or j is None or i < AGREE or j < AGREE:
-            continue
-        if left_ids[i - AGREE : i + AGREE] == right_ids[j - AGREE : j + AGREE] and len(left_ids) >= i + AGREE and len(right_ids) >= j + AGREE:
-            return m, i, j
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.poly = Poly(81)
+        self.key = np.zeros(1 << MEMO_BITS, np.uint64)
+        self.count = np.zeros(1 << MEMO_BITS, np.int32)
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start of every piece, its number of tokens)."""
+        starts = pieces.split(buf, offsets)
+        if not len(starts):
+            return starts, np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(buf))
+        keys = self.poly.words(buf, starts, ends)
+        slot = (keys & U((1 << MEMO_BITS) - 1)).astype(np.int64)
+        counts = self.count[slot].astype(np.int64)
+        missed = np.flatnonzero(self.key[slot] != keys)
+        if len(missed):
+            new_keys, first, which = np.unique(keys[missed], return_index=True, return_inverse=True)
+            text = buf.tobytes()
+            new = missed[first]
+            got = self.library.encode_batch_fast([text[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())], add_special_tokens=False)
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            counts[missed] = n[which]
+            self.key[slot[new]], self.count[slot[new]] = new_keys, n
+        return starts, counts
+
+    def totals(self, buf: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+        """Tokens of every text."""
+        size = np.diff(offsets)
+        out = np.zeros(len(size), np.int64)
+        huge = np.flatnonzero(size > chunk).tolist()
+        for a, b in zip([-1, *huge], [*huge, len(size)]):  # the texts between huge ones
+            own = offsets[a + 1 : b + 1] - offsets[a + 1]
+            starts, counts = self.encode(buf[offsets[a + 1] : offsets[b]], own)
+            out[a + 1 : b] = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, own)])
+        for d in huge:
+            out[d] = count_spliced(self, buf[offsets[d] : offsets[d + 1]], chunk, overlap)
+        text = buf.tobytes()
+        if any(s in text for s in self.special):
+            for d in range(len(size)):
+                own = text[offsets[d] : offsets[d + 1]]
+                if any(s in own for s in self.special):
+                    out[d] = len(self.library.encode(own.decode("utf-8", "replace"), add_special_tokens=False))
+        return out
+
+
+def _cut(buf: np.ndarray, at: int) -> int:
+    """``at``, or the first byte of the character there."""
+    while 0 < at < len(buf) and buf[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _splice(buf: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], low: int, high: int, done: int) -> tuple[int, int] | None:
+    """(pieces of left, pieces of right) before the middle-most proven boundary in [low, high), if any."""
+    both, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
+    fits = (both > low) & (both < high - 1) & (i >= max(done, AGREE)) & (j >= AGREE) & (i + AGREE < len(left[0])) & (j + AGREE < len(right[0]))
+    both, i, j = both[fits], i[fits], j[fits]
+    stable = (buf[both] == 0x20) & _LETTER[buf[both - 1]] & _LETTER[buf[both + 1]]
+    for k in sorted(np.flatnonzero(stable).tolist(), key=lambda x: abs(both[x] - (low + high) // 2)):
+        a, b = slice(i[k] - AGREE + 1, i[k] + AGREE), slice(j[k] - AGREE + 1, j[k] + AGREE)
+        if np.array_equal(left[0][a], right[0][b]) and np.array_equal(left[1][a], right[1][b]):
+            return int(i[k]), int(j[k])
     return None
 
 
-def count_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of ``text``, from overlapping chunks."""
-    n = len(text)
-    if n <= chunk:
-        return len(tok.encode(text, add_special_tokens=False))
-    left_at, left_end = 0, chunk
-    left = _encode(tok, text[:left_end])
-    done, total = 0, 0  # tokens of ``left`` already counted
-    while left_end < n:
+def count_spliced(counter: Counter, buf: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of one text, from overlapping chunks."""
+    n = len(buf)
+
+    def encode(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        starts, counts = counter.encode(buf[a:b], np.array([0, b - a]))
+        return starts + a, counts
+
+    at, end = 0, _cut(buf, min(chunk, n))
+    left, done, total = encode(at, end), 0, 0  # pieces of ``left`` already counted
+    while end < n:
         wide = overlap
         while True:
-            right_at = max(left_at, left_end - wide)
-            right_end = min(n, right_at + max(chunk, 2 * wide))
-            right = _encode(tok, text[right_at:right_end])
-            found = _splice(text, left, left_at, right, right_at, right_at, left_end)
-            if found and found[1] >= done:
-                _, i, j = found
-                total += i - done
-                left, left_at, left_end, done = right, right_at, right_end, j
+            right_at = _cut(buf, max(at, end - wide))
+            if right_at <= at:  # the overlap is the whole chunk: encode it again with what follows
+                end = _cut(buf, min(n, end + max(chunk, end - at)))
+                left = encode(at, end)
+                break
+            right_end = _cut(buf, min(n, right_at + max(chunk, 2 * wide)))
+            right = encode(right_at, right_end)
+            if found := _splice(buf, left, right, right_at, end, done):
+                total += int(left[1][done : found[0]].sum())
+                left, at, end, done = right, right_at, right_end, found[1]
                 break
-            if right_at <= left_at:  # the overlap is the whole left chunk: encode both as one
-                left_end = min(n, left_end + max(chunk, left_end - left_at))
-                left = _encode(tok, text[left_at:left_end])
-                if left_end >= n:
-                    break
-                wide = overlap
-                continue
             wide *= 2
-    return total + len(left[0]) - done
+    return total + int(left[1][done:].sum())
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str) -> Counter:
+    """The counter of a tokenizer file, once per worker."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -103,32 +157,10 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     schema = part.drop("_text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        c = counter(path)
         for batch in batches:
-            texts = pc.fill_null(batch.column("_text").cast(pa.large_string()), "")
-            n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
-            counts: list[int] = []
-            group: list[str] = []
-            size = 0
-
-            def flush():
-                nonlocal size
-                counts.extend(len(e) for e in tok.encode_batch_fast(group, add_special_tokens=False))
-                group.clear()
-                size = 0
-
-            for value in texts:
-                t = value.as_py()
-                if len(t) > chunk:
-                    flush()
-                    counts.append(count_spliced(tok, t, chunk, overlap))
-                    continue
-                group.append(t)
-                size += len(t)
-                if size > 1 << 18:
-                    flush()
-            flush()
-            tokens = pa.array(counts, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), n_bytes, tokens, pc.greater(tokens, limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
+            for rows, buf, offsets in blocks(batch, "_text", BLOCK):
+                n = c.totals(buf, offsets, chunk, overlap)
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     return part.mapInArrow(run, schema)
