@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 N_BOOT, SEED = 2000, 42
 _A, _B, _C, _M = 7919, 104729, 12345, 1000003
@@ -103,9 +104,10 @@ def one_sided_test(ceiling: DataFrame, others: DataFrame, n_boot: int = N_BOOT,
     return rows.groupBy("pair").agg(F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), F.avg(F.when(F.col("d") <= 0, 1.0).otherwise(0.0)).alias("p_one_sided"))
 
 
-@F.pandas_udf("double")
-def chi2_tail(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom."""
-    from math import erfc, sqrt
+def _tail(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(v / 2)))
+
 
-    return x.map(lambda v: None if v is None or v != v else erfc(sqrt(v / 2)))
+def chi2_tail(x: Column) -> Column:
+    """Upper tail of chi-square with one degree of freedom."""
+    return F.pandas_udf(_tail, T.DoubleType())(x)

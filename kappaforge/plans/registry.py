@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaforge.functions import codes, dates, texts
-from kappaforge.operators import adjudication, agreement, annotations, charts, costs, mapping, matching, notes, resample
+from kappaforge.functions import codes, dates, labels, texts
+from kappaforge.operators import adjudication, agreement, annotations, charts, costs, mapping, matching, notes, power, resample
 from kappaforge.plans.views import view, with_views
 
 FLAGSHIP = "q_category_average"
@@ -207,7 +207,7 @@ def q_note_window(spark, sf):
 
 def q_format_episode(spark, sf):
     """The notes of every source and week under numbered headers."""
-    n = view(spark, sf, "note").select(F.concat_ws("-", "note_class", F.floor(F.unix_date("note_date") / 7).cast("string")).alias("episode"), "note_date", "note_id", "note_class", F.substring("note_text", 1, 40).alias("text"))
+    n = view(spark, sf, "note").select(F.concat_ws("-", "note_class", F.floor(F.unix_date("note_date") / 7).cast("string")).alias("episode"), "note_date", "note_id", "note_class", F.col("note_text").alias("text"))
     listed = n.groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("note_date", "note_id", "note_class", "text"))).alias("notes"))
     return listed.select("episode", texts.numbered_notes(F.col("notes")).alias("body"))
 
@@ -319,6 +319,44 @@ def q_linkage(spark, sf):
     return matching.last_per_key(o, "nid", "ord").select("nid", "person")
 
 
+def model_replies(spark, sf) -> DataFrame:
+    """One reply per order: its line items as labels, every third reply cut off, every fifth in a code block."""
+    l = view(spark, sf, "lineitem")
+    words = F.struct(
+        F.concat_ws(" ", F.lit("item"), F.col("l_partkey").cast("string")).alias("text"), F.when(F.col("l_returnflag") == "A", "surgery").when(F.col("l_returnflag") == "N", "Diagnoses").otherwise("condition").alias("qualifier"),
+        F.when(F.col("l_linestatus") == "O", "left-sided").otherwise("both ears").alias("laterality"), F.when(F.col("l_linenumber") % 2 == 0, "possible").otherwise("confirmed").alias("presence"), F.when(F.col("l_linenumber") == 1, "main").otherwise("other").alias("primary_secondary"),
+        F.lit("patient").alias("experiencer"), F.when(F.col("l_tax") > 0.04, "performed").otherwise("planned").alias("treatment_stage"),
+    )
+    rows = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", words.alias("w")))).alias("x"))
+    body = F.to_json(F.struct(F.transform("x", lambda i: i["w"]).alias("labels")))
+    body = F.when(F.col("l_orderkey") % 3 == 0, F.left(body, (F.length(body) * 0.8).cast("int"))).otherwise(body)
+    return rows.select("l_orderkey", F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("reply"))
+
+
+def q_label_parse(spark, sf):
+    parsed = model_replies(spark, sf).select("l_orderkey", labels.parse_reply("reply").alias("p"))
+    flat = parsed.select("l_orderkey", F.explode("p.labels").alias("l")).select("l_orderkey", "l.*")
+    return labels.standardised(flat).groupBy("qualifier", "laterality", "presence", "primary_secondary", "treatment_stage").agg(F.count("*").alias("n"))
+
+
+def stage1(spark, sf) -> DataFrame:
+    """Line items as stage 1 rows of their orders."""
+    l = view(spark, sf, "annotation").select(F.col("episode").alias("episode_id"), (F.col("pos") - 1).alias("idx"), F.when(F.col("kind") == "dx", "Diagnoses").otherwise("Procedures").alias("qualifier"), F.lower("raw_code").alias("text"), codes.normalise_code(F.col("raw_code")).alias("code"))
+    return l.select("episode_id", "idx", "qualifier", "text", F.when(F.col("qualifier") == "Diagnoses", F.col("code")).alias("icd10"), F.when(F.col("qualifier") == "Procedures", F.col("code")).alias("opcs4"))
+
+
+def q_resolve_selection(spark, sf):
+    """Per order, row 0 by id as principal diagnosis, then a code and a text as secondaries."""
+    rows = stage1(spark, sf)
+    refs = F.array(F.lit("0"), F.concat(F.upper(F.substring("text", 1, 3)), F.substring("text", 5, 1)), F.substring("text", 1, 3))
+    picks = rows.where("idx = 2").select("episode_id", F.lit("diagnoses").alias("category"), F.posexplode(refs).alias("rank", "ref"))
+    return matching.resolve_selection(rows, picks).select("episode_id", "idx", "primary_secondary")
+
+
+def q_posthoc_power(spark, sf):
+    return power.posthoc(q_posthoc_counts(spark, sf), sims=500)
+
+
 _COMB = (
     "flatc as (select distinct rater, key, kind, code from ann union select distinct rater, key, 'combined', code from ann)",
     "sizes as (select rater, key, kind, count(*) as n from flatc group by all)",
@@ -435,7 +473,7 @@ ORACLES = {
     ),
     "q_format_episode": with_views(
         """select episode, string_agg(concat('--- Note ', rn, ' | ', note_date, ' | ', note_class, ' ---', chr(10), body), chr(10) || chr(10) order by rn) as body from
- (select concat(note_class, '-', cast(floor(date_diff('day', date '1970-01-01', note_date) / 7) as bigint)) as episode, note_date, note_class, substr(note_text, 1, 40) as body, row_number() over (partition by note_class, floor(date_diff('day', date '1970-01-01', note_date) / 7) order by note_date, note_id) as rn from note) group by 1"""
+ (select concat(note_class, '-', cast(floor(date_diff('day', date '1970-01-01', note_date) / 7) as bigint)) as episode, note_date, note_class, note_text as body, row_number() over (partition by note_class, floor(date_diff('day', date '1970-01-01', note_date) / 7) order by note_date, note_id) as rn from note) group by 1"""
     ),
     "q_verdict_counts": with_views("select model, qualifier, category, count(*) as n from vd where category is not null group by all", _VERDICTS),
     "q_adjudication": with_views("select * from ev", _VERDICTS, *_EVAL),
@@ -456,6 +494,13 @@ ORACLES = {
         + "".join(f" left join (select rater, key, string_agg(code, ',' order by o) as {k}, sum(c) as n from (select rater, key, code, min(pos) as o, count(*) as c from whole where kind = '{k}' group by all) group by all) {k[0]} on {k[0]}.rater = e.rater and {k[0]}.key = e.key" for k in ("dx", "px")),
         "whole as (select rater, episode as key, kind, pos, regexp_replace(upper(raw_code), '[^A-Z0-9]', '', 'g') as code from rater_annotation)",
     ),
+    "q_resolve_selection": with_views(
+        """select episode_id, idx, case when min(rank) = 0 then 'primary' else 'secondary' end as primary_secondary from (
+ select episode_id, rank, arg_min(idx, by_ * 1000 + idx) as idx from (select p.episode_id, p.rank, r.idx, case when p.ref = cast(r.idx as varchar) then 1 when r.code = upper(p.ref) then 2 when contains(r.body, lower(p.ref)) then 3 end as by_
+ from picked p join s1 r on r.episode_id = p.episode_id and r.kind = 'dx') where by_ is not null group by 1, 2) group by 1, 2""",
+        "s1 as (select episode as episode_id, pos - 1 as idx, kind, lower(raw_code) as body, regexp_replace(upper(raw_code), '[^A-Z0-9]', '', 'g') as code from annotation)",
+        "picked as (select episode_id, 0 as rank, '0' as ref from s1 where idx = 2 union all select episode_id, 1, code from s1 where idx = 2 union all select episode_id, 2, substr(body, 1, 3) from s1 where idx = 2)",
+    ),
     "q_linkage": "select ltrim(cast(o_custkey as varchar), '0') as nid, arg_max(o_orderstatus, o_orderkey) as person from orders group by 1",
 }
 
