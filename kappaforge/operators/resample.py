@@ -88,7 +88,7 @@ def paired_test(units: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> Dat
     p is twice the smaller tail, not capped, as it is adjusted afterwards.
     """
     d = bootstrap(units, ["m", "c", "dx_m", "px_m", "dx_c", "px_c"], n_boot, seed)
-    d = d.select("pair", (F.col("m") - F.col("c")).alias("dp"), ((F.col("dx_m") + F.col("px_m") - F.col("dx_c") - F.col("px_c")) / 2).alias("dk"))
+    d = d.select("pair", (F.col("m") - F.col("c")).alias("dp"), (((F.col("dx_m") - F.col("dx_c")) + (F.col("px_m") - F.col("px_c"))) / 2).alias("dk"))
     tail = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     q = lambda c, p, name: F.percentile(c, F.lit(p)).alias(name)
     return d.groupBy("pair").agg(
