@@ -19,13 +19,13 @@ CODE_TYPES = ("dx", "px", "combined")
 def comparisons(annotations: DataFrame, pairs: DataFrame, level: str = "category", both: bool = True) -> DataFrame:
     """(pair, key, a, b): the annotations of each pair's raters, sorted (kind, pos, code).
 
-    ``pairs`` (pair, rater_a, rater_b) is a table of rater pairs, small by
-    nature. With ``both`` only episodes annotated by both remain.
+    ``pairs`` (pair, rater_a, rater_b) is a table of rater pairs, of the size of
+    the number of raters squared at most, and broadcast. With ``both`` only episodes annotated by both remain.
     """
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("rater_a").alias("rater")), F.struct(F.lit("b").alias("side"), F.col("rater_b").alias("rater")))).alias("s"))
     sides = sides.select("pair", "s.side", "s.rater")
     item = F.struct("kind", "pos", at_level(F.col("code"), level).alias("code"))
-    rows = annotations.where("code is not null").join(sides, "rater").select("pair", "key", "side", item.alias("x"))
+    rows = annotations.where("code is not null").join(F.broadcast(sides), "rater").select("pair", "key", "side", item.alias("x"))
     of = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("x"))))
     out = rows.groupBy("pair", "key").agg(of("a").alias("a"), of("b").alias("b"))
     return out.where((F.size("a") > 0) & (F.size("b") > 0)) if both else out
@@ -37,25 +37,6 @@ def codes_of(side: Column, kind: str) -> Column:
     return F.array_distinct(F.transform(rows, lambda x: x["code"]))
 
 
-def _hits(side: Column, other: Column, kind: str) -> Column:
-    rows, codes = F.filter(side, lambda x: x["kind"] == kind), codes_of(other, kind)
-    places = F.array_distinct(F.transform(rows, lambda x: x["pos"]))
-    return F.transform(places, lambda p: F.exists(rows, lambda x: (x["pos"] == p) & F.array_contains(codes, x["code"])).cast("int"))
-
-
-def episode_kappa(a: Column, b: Column, kind: str) -> Column:
-    """Cohen's kappa of two hit vectors, the shorter padded with zeros.
-
-    A hit is an annotation with a code that the other rater has anywhere. Equal
-    constant vectors give 1, also where nothing is shared; no annotation, null.
-    """
-    both = F.zip_with(_hits(a, b, kind), _hits(b, a, kind), lambda x, y: F.struct(F.coalesce(x, F.lit(0)).alias("x"), F.coalesce(y, F.lit(0)).alias("y")))
-    total = lambda f: F.aggregate(both, F.lit(0), lambda acc, r: acc + f(r))
-    w, sx, sy, d = F.size(both), total(lambda r: r["x"]), total(lambda r: r["y"]), total(lambda r: F.abs(r["x"] - r["y"]))
-    chance = sx * (w - sy) + (w - sx) * sy
-    return F.when(w == 0, F.lit(None)).when(chance == 0, F.lit(1.0)).otherwise(1 - (w * d).cast("double") / chance)
-
-
 def overlap(a: Column, b: Column, kind: str = "combined") -> tuple[Column, Column]:
     """(Jaccard, any match) of the code sets; null where one of them is empty."""
     x, y = codes_of(a, kind), codes_of(b, kind)
@@ -65,8 +46,29 @@ def overlap(a: Column, b: Column, kind: str = "combined") -> tuple[Column, Colum
 
 
 def kappa_units(compared: DataFrame) -> DataFrame:
-    """(pair, key, dx, px): kappa per episode and kind."""
-    return compared.select("pair", "key", *(episode_kappa(F.col("a"), F.col("b"), k).alias(k) for k in ("dx", "px")))
+    """(pair, key, dx, px): Cohen's kappa of two hit vectors per episode and kind.
+
+    A hit is an annotation with a code that the other rater has anywhere; the
+    shorter vector is padded with zeros. Equal constant vectors give 1, also
+    where nothing is shared; an episode without annotations of a kind, null.
+    All windows and groups hold pair and key, by which the rows already lie.
+    """
+    tagged = lambda side: F.transform(side, lambda x: F.struct(F.lit(side).alias("side"), x["kind"].alias("kind"), x["pos"].alias("pos"), x["code"].alias("code")))
+    rows = compared.select("pair", "key", F.explode(F.concat(tagged("a"), tagged("b"))).alias("x")).select("pair", "key", "x.*")
+    code = W.partitionBy("pair", "key", "kind", "code")
+    rows = rows.withColumn("shared", (F.min("side").over(code) != F.max("side").over(code)).cast("int"))
+    places = rows.groupBy("pair", "key", "kind", "side", "pos").agg(F.max("shared").alias("hit"))
+    lined = places.withColumn("n", F.row_number().over(W.partitionBy("pair", "key", "kind", "side").orderBy("pos")))
+    of = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("hit"))), F.lit(0))
+    both = lined.groupBy("pair", "key", "kind", "n").agg(of("a").alias("x"), of("b").alias("y"))
+
+    def kappa(kind: str) -> Column:
+        total = lambda c: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
+        w, sx, sy, d = total(F.lit(1)), total(F.col("x")), total(F.col("y")), total(F.abs(F.col("x") - F.col("y")))
+        chance = sx * (w - sy) + (w - sx) * sy
+        return F.when(w == 0, F.lit(None)).when(chance == 0, F.lit(1.0)).otherwise(1 - (w * d).cast("double") / chance)
+
+    return both.groupBy("pair", "key").agg(*(kappa(k).alias(k) for k in ("dx", "px")))
 
 
 def category_average(units: DataFrame, by: tuple[str, ...] = ("pair",)) -> DataFrame:

@@ -24,7 +24,8 @@ def pair_table(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def compared(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    return agreement.comparisons(rated(spark, sf_dir), pair_table(spark, pairs))
+    raters = sorted({r for p in pairs for r in p})
+    return agreement.comparisons(rated(spark, sf_dir).where(F.col("rater").isin(raters)), pair_table(spark, pairs))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
