@@ -11,9 +11,10 @@ repeats), of ``SIMILARITY`` or more.
 
 Buckets are not expanded into all pairs. Equal texts are one node. In every
 bucket each member is verified against a leader, for ``STAR_ROUNDS`` rounds
-with another leader; buckets whose members are then still in several components
+with another leader, first the most central member: that whose buckets hold
+most texts; buckets whose members are then still in several components
 get, exactly, the pairs between members of different components, the largest
-component only against the rest. So every link between candidates that could
+component only against the rest, and each pair once. So every link between candidates that could
 join two groups is found, whatever a bucket's size.
 """
 
@@ -34,7 +35,7 @@ from kappaforge.llm.words import NON_SPACE, Poly, U, blocks, mix, spans, window_
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 96, 24
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 _WORD, _SHINGLE = Poly(91), Poly(92)
 _STEP = U(0xA0761D6478BD642F)
 
@@ -170,8 +171,11 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = written(with_nodes(part, "_text").select("doc_id", F.col("_node").alias("node"), F.col("_bands").alias("bands")), "signatures")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     exploded = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(exploded.join(shared, "bucket"), "buckets")
+    # a text that many others are near to shares more and larger buckets than they do with each other
+    central = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
+    members = members.drop("n")
     release(spark)
     # one text for every node that has a candidate at all
     wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"), "node")
@@ -181,33 +185,36 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     release(spark)
 
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
-    links = tested = None
+    tested = None
     for turn in range(STAR_ROUNDS + 1):
         now = members.join(labels, "node")
         mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         now = now.join(mixed, "bucket")
         if turn < STAR_ROUNDS:
-            lead = _leader(now, F.xxhash64("node", F.lit(turn)))
+            ranked = now.join(central, "node") if not turn else now
+            lead = _leader(ranked, -F.col("weight") if not turn else F.xxhash64("node", F.lit(turn)))
             pairs = now.join(lead, "bucket").where("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
         else:
-            now = written(now, "mixed")
+            now = written(now.join(nodes.select("node", "bands"), "node"), "mixed")
             sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most")).select("bucket", F.col("most.label").alias("largest"))
-            rest = now.join(most, "bucket").where("label <> largest").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-            pairs = rest.join(now, "bucket").where("label_a <> label").select("a", F.col("node").alias("b"))
+            rest = now.join(most, "bucket").where("label <> largest").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("bands").alias("bands_a"))
+            # a pair of several buckets comes from the first of them only
+            first = F.col("bucket") == F.array_min(F.array_intersect("bands_a", "bands"))
+            pairs = rest.join(now, "bucket").where((F.col("label_a") != F.col("label")) & first).select("a", F.col("node").alias("b"))
         pairs = _ordered(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = written(_verified(pairs, texts), "verified")
-        links = more if links is None else links.unionByName(more)
-        if turn and not more.take(1):
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        label = components(links)
-        labels = written(labels.select("node").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+        links = written(_verified(pairs, texts), "verified")
+        if not links.take(1):
+            continue
+        # links between the components found so far
+        label_a, label_b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
+        joined = components(links.join(label_a, "a").join(label_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        joined = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        labels = written(labels.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
         release(spark)
     return rows.select("doc_id", "node").join(labels.withColumnRenamed("label", "class_node"), "node", "left").select("doc_id", "node", F.coalesce("class_node", "node").alias("class_node"))
 
