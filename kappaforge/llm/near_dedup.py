@@ -36,6 +36,8 @@ from kappaforge.llm.words import NON_SPACE, Poly, U, blocks, mix, spans, window_
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 96, 24
 STAR_ROUNDS = 3
+#: shingles that a verifying task remembers
+HELD_SHINGLES = 2_000_000
 _WORD, _SHINGLE = Poly(91), Poly(92)
 _STEP = U(0xA0761D6478BD642F)
 
@@ -136,13 +138,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0
 
         def weighted(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
             if node not in known:
-                if len(known) >= 256:
-                    known.clear()
                 buf = np.frombuffer(text.encode(), np.uint8)
-                known[node] = shingles(buf, np.array([0, len(buf)]))[1:]
+                new = shingles(buf, np.array([0, len(buf)]))[1:]
+                held += len(new[0])
+                if held > HELD_SHINGLES:
+                    known.clear()
+                    held = len(new[0])
+                known[node] = new
             return known[node]
 
         for batch in batches:
