@@ -41,12 +41,20 @@ def _rate(grid: DataFrame, sims: int, one, out: str, seed: int) -> DataFrame:
     return _batches(grid, sims).mapInPandas(run, ddl).groupBy(*columns).agg((F.sum("hits") / F.sum("size")).alias(out))
 
 
+def _cells(p_model: float, p_coder: float, phi: float) -> list[float]:
+    """Probabilities of both, model only, coder only and neither of a pair with latent correlation ``phi``."""
+    if 0 < p_model < 1 and 0 < p_coder < 1:
+        both = bivariate_cdf(_NORMAL.inv_cdf(p_model), _NORMAL.inv_cdf(p_coder), phi)
+    else:
+        both = p_model * p_coder
+    both = min(max(both, p_model + p_coder - 1, 0.0), p_model, p_coder)
+    return [both, p_model - both, p_coder - both, max(0.0, 1 - p_model - p_coder + both)]
+
+
 def _rejections(rng: np.random.Generator, r, size: int) -> int:
-    n, critical = int(r.n), 3.841458820694124
-    shared = rng.standard_normal((size, n))
-    other = r.phi * shared + math.sqrt(1 - r.phi**2) * rng.standard_normal((size, n))
-    m, c = shared < _NORMAL.inv_cdf(r.p_model), other < _NORMAL.inv_cdf(r.p_coder)
-    b, d = (m & ~c).sum(1), (~m & c).sum(1)
+    critical = 3.841458820694124
+    # the test reads the counts of the 2x2 table only, so these are drawn and not n pairs
+    b, d = rng.multinomial(int(r.n), _cells(r.p_model, r.p_coder, r.phi), size)[:, 1:3].T
     chi2 = np.where(b + d == 0, 0.0, (np.abs(b - d) - 1.0) ** 2 / np.maximum(b + d, 1))
     return (chi2 > critical).sum()
 
@@ -171,23 +179,39 @@ def tetrachoric(both: int, first: int, second: int, neither: int) -> float:
     return (low + high) / 2
 
 
+def _scan(n: int, p_coder: float, phi: float) -> dict[float, tuple[int, float, float, float]]:
+    """The setting of every difference, in steps of 0.01 from 0.02 to 0.59."""
+    deltas = [round(0.02 + 0.01 * k, 2) for k in range(58)]
+    return {d: (n, min(p_coder + d, 0.98), p_coder, phi) for d in deltas}
+
+
+def _powers(spark: SparkSession, settings: set[tuple[int, float, float, float]], sims: int) -> dict[tuple[int, float, float, float], float]:
+    grid = spark.createDataFrame(sorted(settings), "n long, p_model double, p_coder double, phi double")
+    return {(r.n, r.p_model, r.p_coder, r.phi): r.power for r in mcnemar_power(grid, sims).collect()}
+
+
+def _smallest(scan: dict[float, tuple[int, float, float, float]], powers: dict, target: float) -> float:
+    return next((d for d, s in scan.items() if powers[s] >= target), math.nan)
+
+
 def minimum_detectable(spark: SparkSession, n: int, p_coder: float, phi: float, target: float, sims: int = 8000) -> float:
     """Smallest difference, in steps of 0.01 from 0.02, with the target power; the whole scan is one job. NaN if none up to 0.59."""
-    deltas = [round(0.02 + 0.01 * k, 2) for k in range(58)]
-    grid = spark.createDataFrame([(n, min(p_coder + d, 0.98), p_coder, phi) for d in deltas], "n int, p_model double, p_coder double, phi double").distinct()
-    power = {round(r.p_model, 6): r.power for r in mcnemar_power(grid, sims).collect()}
-    return next((d for d in deltas if power[round(min(p_coder + d, 0.98), 6)] >= target), math.nan)
+    scan = _scan(n, p_coder, phi)
+    return _smallest(scan, _powers(spark, set(scan.values()), sims), target)
 
 
 def posthoc(counts: DataFrame, sims: int = 8000) -> DataFrame:
-    """Per pair of the 2x2 counts: match rates, tetrachoric correlation, achieved power and detectable differences. One row a model."""
-    spark, out = counts.sparkSession, []
+    """Per pair of the 2x2 counts: match rates, tetrachoric correlation, achieved power and detectable differences.
+
+    One row a model; all pairs and differences are one job. Where no correlation
+    gives the table, 0.2 is taken.
+    """
+    spark, tables = counts.sparkSession, []
     for r in counts.collect():
         n = r.both_hit + r.a_only + r.b_only + r.neither
         p_model, p_coder, phi = (r.both_hit + r.a_only) / n, (r.both_hit + r.b_only) / n, tetrachoric(r.both_hit, r.a_only, r.b_only, r.neither)
-        rho = 0.0 if math.isnan(phi) else phi
-        small = min(n, 2000)  # simulations of larger studies have power 1 to the third decimal
-        grid = spark.createDataFrame([(small, min(max(p_model, 0.01), 0.99), min(max(p_coder, 0.01), 0.99), rho)], "n int, p_model double, p_coder double, phi double")
-        power = mcnemar_power(grid, sims).first().power
-        out.append((r.pair, n, p_model, p_coder, phi, power, *(minimum_detectable(spark, small, min(max(p_coder, 0.01), 0.99), rho, t, sims) for t in TARGETS)))
+        rho = 0.2 if math.isnan(phi) else phi
+        tables.append((r.pair, phi, (n, p_model, p_coder, rho), _scan(n, p_coder, rho)))
+    powers = _powers(spark, {s for _, _, own, scan in tables for s in (own, *scan.values())}, sims)
+    out = [(pair, *own[:3], phi, powers[own], *(_smallest(scan, powers, t) for t in TARGETS)) for pair, phi, own, scan in tables]
     return spark.createDataFrame(out, "pair string, n long, p_model double, p_coder double, phi double, power double, mde_80 double, mde_90 double, mde_95 double")

@@ -355,7 +355,7 @@ def q_resolve_selection(spark, sf):
 
 
 def q_posthoc_power(spark, sf):
-    return power.posthoc(q_posthoc_counts(spark, sf), sims=500)
+    return power.posthoc(q_posthoc_counts(spark, sf))
 
 
 _COMB = (

@@ -1,5 +1,6 @@
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -187,3 +188,23 @@ def test_power(spark):
     assert got[0.52] < 0.08 and got[0.82] > 0.95
     assert power.outlier_power(spark.createDataFrame([(40, 0.65, 0.3, 0.4, 2)], "n_triple int, p_mm double, rho double, delta double, items int"), 500).first().power > 0.9
     assert 0.03 < power.design(spark.createDataFrame([(20, 20, 0.65, 0.3, 2)], "n_triple int, n_double int, p_mm double, rho double, items int"), 20, 100).first().halfwidth < 0.2
+
+
+def test_posthoc_power_of_the_true_size(spark):
+    rows = [("large", 40_000, 15_000, 15_000, 40_000), ("unsolvable", 0, 100, 100, 0), ("never", 0, 0, 50, 50)]
+    counts = spark.createDataFrame(rows, "pair string, both_hit long, a_only long, b_only long, neither long")
+    got = {r.pair: r for r in power.posthoc(counts).collect()}
+    assert got["large"].n == 110_000 and got["large"].mde_80 == got["large"].mde_95 == 0.02
+    assert math.isnan(got["unsolvable"].phi)
+    grid = spark.createDataFrame([(200, 0.5, 0.5, 0.2)], "n long, p_model double, p_coder double, phi double")
+    assert got["unsolvable"].power == power.mcnemar_power(grid, 8000).first().power
+    assert got["never"].p_model == 0 and got["never"].power == 1
+
+
+def test_cell_counts_are_those_of_pairs():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(400_000)
+    y = 0.4 * x + math.sqrt(1 - 0.4**2) * rng.standard_normal(400_000)
+    m, c = x < NormalDist().inv_cdf(0.62), y < NormalDist().inv_cdf(0.52)
+    want = [(m & c).mean(), (m & ~c).mean(), (~m & c).mean(), (~m & ~c).mean()]
+    assert np.allclose(power._cells(0.62, 0.52, 0.4), want, atol=0.004)
