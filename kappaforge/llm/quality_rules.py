@@ -1,10 +1,10 @@
 """Quality rules: fixed counting rules and a hashed n-gram classifier.
 
 The classifier is a logistic regression over hashed word 1- and 2-grams and
-byte-character 3- and 5-grams, each family as relative frequencies, fitted on
-at most ``max_rows`` labelled rows of each class and calibrated by Platt
-scaling on at most ``max_calibration`` further rows in their natural mix. Text
-is scored in Arrow batches: a document's score is the sum of its n-grams' mean
+byte-character 3- and 5-grams, each family as relative frequencies. A hash of
+the id deals labelled rows into four folds, at every size: three are fitted on,
+at most ``max_rows`` rows of each class, and Platt scaling takes at most
+``max_calibration`` rows, in their natural mix, of the fourth. Text is scored in Arrow batches: a document's score is the sum of its n-grams' mean
 weights. A document stays if no counting rule fails and its probability of
 good quality reaches ``threshold``.
 """
@@ -30,6 +30,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MODULUS, HELD_OUT = 4, 2
 _WORD, _PAIR = Poly(31), Poly(32)
 _FAMILIES = 4
+FOLDS = 4
 
 
 def _grams(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,24 +119,40 @@ def _platt(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, f
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     scale = max(1e-9, float(margin.std()))
     x = margin / scale
+    loss = lambda a, b: float((np.logaddexp(0, a * x + b) - target * (a * x + b)).sum() + 5e-4 * a * a)
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         g, h = p - target, np.maximum(p * (1 - p), 1e-6)
         G = np.array([(g * x).sum() + 1e-3 * a, g.sum()])
         H = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum()]])
-        step = np.linalg.solve(H, G)
-        a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
+        step, size = np.linalg.solve(H, G), 1.0
+        # a whole step may overshoot, above all on few rows
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > loss(a, b):
+            size /= 2
+        a, b = a - size * float(step[0]), b - size * float(step[1])
     return max(a, 1e-3) / scale, b
 
 
+def folds(known: DataFrame, max_rows: int = MAX_ROWS, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
+    """(doc_id, y, fit) of the rows to fit on and, ``fit`` false, to calibrate on; no id is in both.
+
+    The calibration fold is the first that has, and leaves, rows of both classes.
+    Where there is none (a class of a single row, say) all rows are fitted on.
+    """
+    dealt = known.withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(FOLDS)))
+    n = {(r["_fold"], r.y): r["count"] for r in dealt.groupBy("_fold", "y").count().collect()}
+    total = [sum(k for (_, y), k in n.items() if y == c) for c in (0, 1)]
+    held = next((f for f in range(FOLDS) if all(0 < n.get((f, c), 0) < total[c] for c in (0, 1))), -1)
+    rest = dealt.where(F.col("_fold") != held).drop("_fold")
+    chosen = [first_by_hash(rest.where(F.col("y") == y), max_rows) for y in (0, 1)]
+    further = first_by_hash(dealt.where(F.col("_fold") == held).drop("_fold"), max_calibration, seed=1)
+    return chosen[0].unionByName(chosen[1]).withColumn("fit", F.lit(True)).unionByName(further.withColumn("fit", F.lit(False)))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int = MAX_ROWS, max_calibration: int = MAX_CALIBRATION) -> Model:
     """Fit on labelled rows. Without rows of both classes the model accepts all texts."""
-    known = known_labels(labels, "quality", MODULUS, HELD_OUT)
-    chosen = [first_by_hash(known.where(F.col("y") == y), max_rows) for y in (0, 1)]
-    fit_ids = chosen[0].unionByName(chosen[1]).withColumn("fit", F.lit(True))
-    further = first_by_hash(known, max_calibration, seed=1).withColumn("fit", F.lit(False))
-    ids = fit_ids.unionByName(further.join(F.broadcast(fit_ids.select("doc_id")), "doc_id", "left_anti"))
+    ids = folds(known_labels(labels, "quality", MODULUS, HELD_OUT), max_rows, max_calibration)
     # at most 2 * max_rows + max_calibration ids: a proven bound for the broadcast
     rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(ids), "doc_id")
 
@@ -166,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int
 
     more = rows.where("not fit").select("y", "_text").mapInArrow(margins, "y int, margin double").toArrow()
     cal_y = np.asarray(more.column("y"), np.int64)
-    if len(cal_y) >= 200 and cal_y.min() != cal_y.max():
+    if len(cal_y) and cal_y.min() != cal_y.max():
         model.slope, model.shift = _platt(np.asarray(more.column("margin")), cal_y)
     return model
 

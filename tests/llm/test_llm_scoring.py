@@ -58,6 +58,39 @@ def test_quality_rules(spark):
     assert quality_rules.passing(docs, none).count() == sum(plain_counts(r.text)[0] >= 10 and 100 * plain_counts(r.text)[4] <= 20 * plain_counts(r.text)[0] for r in docs.collect())
 
 
+def test_quality_rules_calibrate_at_every_size(spark):
+    docs, labels = tables(spark)
+    model = quality_rules.train(docs, labels)
+    assert (model.slope, model.shift) != (1.0, 0.0)
+    few = labels.where("quality = 0").orderBy("doc_id").limit(12).unionByName(labels.where("quality = 1").orderBy("doc_id").limit(40))
+    model = quality_rules.train(docs, few)
+    assert (model.slope, model.shift) != (1.0, 0.0)
+
+
+def test_platt_reaches_its_minimum():
+    rng = np.random.default_rng(4)
+    for n in (6, 16, 60, 2000):
+        y = (np.arange(n) % 6 > 0).astype(int)
+        margin = 3 * y - 0.5 + rng.normal(size=n)
+        slope, shift = quality_rules._platt(margin, y)
+        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        p = 1 / (1 + np.exp(-slope * margin - shift))
+        assert slope > 0.1 and abs((p - target).sum()) < 1e-3 and abs(((p - target) * margin / margin.std()).sum()) < 0.05
+
+
+def test_quality_folds(spark):
+    known = spark.createDataFrame([(k, int(k % 6 > 0)) for k in range(6000)], "doc_id long, y int")
+    for max_rows, max_calibration in ((100, 900), (1200, 4000)):  # a rare class above its cap and below
+        rows = quality_rules.folds(known, max_rows, max_calibration).collect()
+        fit, further = [r for r in rows if r.fit], [r for r in rows if not r.fit]
+        assert not {r.doc_id for r in fit} & {r.doc_id for r in further} and len({r.doc_id for r in rows}) == len(rows)
+        assert [sum(r.y == y for r in fit) <= max_rows for y in (0, 1)] == [True, True] and len(further) in (max_calibration, *range(1400, 1600))
+        assert 0.13 < np.mean([r.y == 0 for r in further]) < 0.21
+    # a class without a row to spare
+    assert all(r.fit for r in quality_rules.folds(known.where("doc_id in (0, 1, 2, 3)")).collect())
+    assert quality_rules.folds(known.limit(0)).count() == 0
+
+
 def test_quality_gam(spark):
     docs, labels = tables(spark)
     accuracy, own = held_out(quality_gam.classify(docs, labels).join(labels, "doc_id").collect(), "quality")
