@@ -7,7 +7,8 @@ arrival is later than the latest register. Two texts agree in a register with
 probability equal to their probability Jaccard. Registers are banded; texts of
 a band's bucket are candidates, verified on their shingles. A link needs a
 probability Jaccard, or a plain Jaccard (which it equals where no shingle
-repeats), of ``SIMILARITY`` or more.
+repeats), of ``SIMILARITY`` or more. As the two differ widely where one text
+repeats a line, texts with repeated shingles also have the bands of weight 1.
 
 Buckets are not expanded into all pairs. Equal texts are one node. In every
 bucket each member is verified against a leader, for ``STAR_ROUNDS`` rounds
@@ -90,6 +91,25 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def candidate_keys(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct band keys of ``n`` texts, and where each text's begin.
+
+    Where no shingle repeats, the registers of weight 1 are the same; other texts
+    have the keys of both. One space of keys serves both, so that all texts meet.
+    """
+    keys = band_keys(signatures(doc, key, weight, n))
+    own = np.ones((n, 2 * BANDS), bool)
+    own[:, BANDS:] = False
+    both = np.concatenate([keys, keys], 1)
+    repeats = np.unique(doc[weight > 1])
+    if len(repeats):
+        some = np.isin(doc, repeats)
+        plain = band_keys(signatures(np.searchsorted(repeats, doc[some]), key[some], np.ones(some.sum()), len(repeats)))
+        both[repeats, BANDS:] = plain
+        own[repeats, BANDS:] = plain != keys[repeats]
+    return both[own], np.append(0, np.cumsum(own.sum(1)))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of probability Jaccard and plain Jaccard of two weighted sets (sorted keys, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -121,8 +141,8 @@ def with_nodes(docs: DataFrame, text: str = "text", bands: bool = True) -> DataF
                 nodes = pa.array([_node(raw[a:b]) for a, b in zip(offsets, offsets[1:])], pa.binary())
                 extra = [nodes]
                 if bands:
-                    keys = band_keys(signatures(*shingles(buf, offsets), rows.num_rows))
-                    extra.append(pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1) * BANDS, pa.int32()), pa.array(keys.ravel())))
+                    keys, begin = candidate_keys(*shingles(buf, offsets), rows.num_rows)
+                    extra.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(keys)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *extra], names=[*rows.schema.names, "_node", "_bands"][: len(rows.columns) + len(extra)])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())])

@@ -117,6 +117,34 @@ def test_near_duplicates(spark):
     assert sorted(x for x in got if x[0] is not None) == jaccard_classes(rows)
 
 
+def repeating_rows(pairs=60):
+    """Texts, and copies that repeat one of their lines a hundred times and more."""
+    rng = random.Random(11)
+    out = []
+    for k in range(pairs):
+        w = prose(rng, 50, 100_000)
+        out += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + w[10:24] * rng.choice([100, 200, 300])))]
+    return out
+
+
+def test_near_copies_with_a_repeated_line(spark):
+    rows = repeating_rows()
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
+    assert got == jaccard_classes(rows) == [(k, k - k % 2) for k in range(len(rows))]
+
+
+def test_candidate_keys():
+    rng = np.random.default_rng(6)
+    doc, key = np.repeat(np.arange(4), 50), rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    weight = np.ones(200)
+    weight[50:60], weight[150:] = 6.0, 2.0
+    keys, begin = near_dedup.candidate_keys(doc, key, weight, 4)
+    each = [keys[a:b] for a, b in zip(begin, begin[1:])]
+    assert all(len(set(x.tolist())) == len(x) for x in each) and len(each[0]) == len(each[2]) == near_dedup.BANDS < len(each[1])
+    one = near_dedup.band_keys(near_dedup.signatures(doc, key, np.ones(200), 4))
+    assert all(set(a.tolist()) <= set(b.tolist()) for a, b in zip(one, each))
+
+
 def test_first_of_each(spark):
     rows = near_rows()
     kept = near_dedup.first_of_each(frame(spark, rows))
