@@ -76,24 +76,34 @@ def category_average(units: DataFrame, by: tuple[str, ...] = ("pair",)) -> DataF
     return units.groupBy(*by).agg(F.count("*").alias("n"), ((F.avg("dx") + F.avg("px")) / 2).alias("kappa"))
 
 
-def set_scores(compared: DataFrame) -> DataFrame:
-    """Macro precision (where side a has codes), recall (where b has) and F1 (where both have) by pair and code type."""
+def score_units(compared: DataFrame) -> DataFrame:
+    """(pair, key, code_type, precision, recall, f1) per episode: precision where side a has codes, recall where b has, F1 where both have."""
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("code_type"), codes_of(F.col("a"), k).alias("x"), codes_of(F.col("b"), k).alias("y")) for k in CODE_TYPES))).alias("s")
-    rows = compared.select("pair", kinds).select("pair", "s.code_type", F.size("s.x").alias("na"), F.size("s.y").alias("nb"), F.size(F.array_intersect("s.x", "s.y")).alias("hit"))
+    rows = compared.select("pair", "key", kinds).select("pair", "key", "s.code_type", F.size("s.x").alias("na"), F.size("s.y").alias("nb"), F.size(F.array_intersect("s.x", "s.y")).alias("hit"))
     p, r = F.try_divide("hit", "na"), F.try_divide("hit", "nb")
     f1 = F.when(p.isNotNull() & r.isNotNull(), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
-    return rows.groupBy("pair", "code_type").agg(F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1"), F.count(f1).alias("n"))
+    return rows.select("pair", "key", "code_type", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def outlier_contrast(annotations: DataFrame, raters: list[str], level: str = "category") -> DataFrame:
-    """Per episode of all three raters: mean Jaccard with the target less the other two's Jaccard, averaged by target."""
+def set_scores(compared: DataFrame) -> DataFrame:
+    """Macro precision, recall and F1 by pair and code type."""
+    return score_units(compared).groupBy("pair", "code_type").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.count("f1").alias("n"))
+
+
+def contrast_units(annotations: DataFrame, raters: list[str], level: str = "category") -> DataFrame:
+    """(rater, key, contrast) per target and episode of all three raters: mean Jaccard with the target less the other two's Jaccard."""
     x, y, z = raters
     of = lambda r: F.array_distinct(F.collect_list(F.when(F.col("rater") == r, at_level(F.col("code"), level))))
     triples = annotations.where("code is not null").where(F.col("rater").isin(raters)).groupBy("key").agg(*(of(r).alias(f"c{i}") for i, r in enumerate(raters)))
     triples = triples.where(" and ".join(f"size(c{i}) > 0" for i in range(3)))
     j = lambda i, k: F.size(F.array_intersect(f"c{i}", f"c{k}")) / F.size(F.array_union(f"c{i}", f"c{k}"))
-    rows = triples.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rater"), ((j(t, o1) + j(t, o2)) / 2 - j(o1, o2)).alias("contrast")) for r, t, o1, o2 in ((x, 0, 1, 2), (y, 1, 0, 2), (z, 2, 0, 1))))).alias("s"))
-    return rows.groupBy(F.col("s.rater").alias("rater")).agg(F.count("*").alias("n_triples"), F.avg("s.contrast").alias("contrast"))
+    rows = triples.select("key", F.explode(F.array(*(F.struct(F.lit(r).alias("rater"), ((j(t, o1) + j(t, o2)) / 2 - j(o1, o2)).alias("contrast")) for r, t, o1, o2 in ((x, 0, 1, 2), (y, 1, 0, 2), (z, 2, 0, 1))))).alias("s"))
+    return rows.select("s.rater", "key", "s.contrast")
+
+
+def outlier_contrast(annotations: DataFrame, raters: list[str], level: str = "category") -> DataFrame:
+    """The episodes' contrasts averaged by target."""
+    return contrast_units(annotations, raters, level).groupBy("rater").agg(F.count("*").alias("n_triples"), F.avg("contrast").alias("contrast"))
 
 
 def cohen_kappa(ratings: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -81,6 +81,15 @@ def category_interval(units: DataFrame, n_boot: int = N_BOOT, seed: int = SEED)
     return interval(draws, "kappa")
 
 
+def mean_intervals(units: DataFrame, columns: list[str], by: tuple[str, ...] = ("pair",), n_boot: int = N_BOOT, seed: int = SEED, order: str = "key") -> DataFrame:
+    """(by, c_lo and c_hi of every column): intervals of the columns' means, nulls skipped."""
+    group = F.to_json(F.struct(*by))
+    draws = bootstrap(units.withColumn("_group", group), columns, n_boot, seed, "_group", order)
+    ends = [F.percentile(c, F.lit(p)).alias(f"{c}_{x}") for c in columns for x, p in (("lo", 0.025), ("hi", 0.975))]
+    names = units.select(*by).distinct().withColumn("_group", group)
+    return names.join(draws.groupBy("_group").agg(*ends), "_group").drop("_group")
+
+
 def paired_test(units: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
     """Model against coder on the same episodes: differences of match rate and kappa with intervals and the two-sided p.
 

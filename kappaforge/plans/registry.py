@@ -69,12 +69,22 @@ def q_category_average(spark, sf):
     return rounded(agreement.category_average(agreement.kappa_units(compared(spark, sf, PAIR))), "kappa")
 
 
-def q_clinician_agreement(spark, sf):
+def pooled_units(spark, sf) -> DataFrame:
+    """(comparison, key, dx, px) of the clinician pairs, the ceiling, all pairs and the coder; a unit of a pool is an episode of one pair."""
     units = agreement.kappa_units(compared(spark, sf, [*CLINICIAN_PAIRS, ("reference", "coder")]))
     clinical = F.col("pair") != "reference vs coder"
     names = F.array(F.col("pair"), F.when(F.col("pair").isin("reference vs clinician_2", "reference vs clinician_3"), "ceiling (pairs with reference)"), F.when(clinical, "all clinician pairs"))
-    pooled = units.select(F.explode(F.array_compact(names)).alias("comparison"), "dx", "px")
-    return rounded(agreement.category_average(pooled, ("comparison",)), "kappa")
+    return units.select(F.explode(F.array_compact(names)).alias("comparison"), F.concat_ws("/", "pair", F.col("key").cast("string")).alias("key"), "dx", "px")
+
+
+def q_clinician_agreement(spark, sf):
+    return rounded(agreement.category_average(pooled_units(spark, sf), ("comparison",)), "kappa")
+
+
+def q_clinician_agreement_interval(spark, sf):
+    """q_clinician_agreement with intervals."""
+    units = pooled_units(spark, sf).withColumnRenamed("comparison", "pair")
+    return agreement.category_average(units).join(resample.category_interval(units), "pair").withColumnRenamed("pair", "comparison")
 
 
 def q_model_agreement(spark, sf):
@@ -83,6 +93,15 @@ def q_model_agreement(spark, sf):
     return rounded(agreement.category_average(agreement.kappa_units(both)).join(scores, "pair"), "kappa", "precision", "recall", "f1")
 
 
+def q_model_agreement_interval(spark, sf):
+    """q_model_agreement with intervals of kappa (lo, hi) and of the scores."""
+    both = compared(spark, sf, MODEL_PAIRS)
+    units, scores = agreement.kappa_units(both), agreement.score_units(both).where("code_type = 'combined'")
+    found = agreement.category_average(units).join(resample.category_interval(units), "pair")
+    means = scores.groupBy("pair").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1")))
+    return found.join(means, "pair").join(resample.mean_intervals(scores, ["precision", "recall", "f1"]), "pair")
+
+
 def q_overlap(spark, sf):
     both = compared(spark, sf, CLINICIAN_PAIRS)
     parts = []
@@ -97,6 +116,18 @@ def q_set_scores(spark, sf):
     return rounded(agreement.set_scores(compared(spark, sf, [(m, "reference") for m in MODELS])), "precision", "recall", "f1")
 
 
+def q_set_scores_interval(spark, sf):
+    """q_set_scores with intervals."""
+    both = compared(spark, sf, [(m, "reference") for m in MODELS])
+    return agreement.set_scores(both).join(resample.mean_intervals(agreement.score_units(both), ["precision", "recall", "f1"], ("pair", "code_type")), ["pair", "code_type"])
+
+
+def q_outlier_contrast_interval(spark, sf):
+    """q_outlier_contrast with intervals."""
+    units = agreement.contrast_units(rated(spark, sf), list(CLINICIANS))
+    return agreement.outlier_contrast(rated(spark, sf), list(CLINICIANS)).join(resample.mean_intervals(units, ["contrast"], ("rater",)), "rater")
+
+
 def q_outlier_contrast(spark, sf):
     return rounded(agreement.outlier_contrast(rated(spark, sf), list(CLINICIANS)), "contrast")
 
@@ -262,7 +293,7 @@ def q_bootstrap_lcg(spark, sf):
 
 def q_bootstrap_interval(spark, sf):
     units = agreement.kappa_units(compared(spark, sf, CLINICIAN_PAIRS))
-    return agreement.category_average(units).join(resample.category_interval(units, 500), "pair")
+    return agreement.category_average(units).join(resample.category_interval(units), "pair")
 
 
 def h1_units(spark, sf) -> DataFrame:
@@ -277,7 +308,7 @@ def q_h1_tests(spark, sf):
     """H1 by model: counts, McNemar's p, paired bootstrap differences and adjusted p-values."""
     units = h1_units(spark, sf)
     point = units.groupBy("pair").agg(((F.avg("dx_m") + F.avg("px_m")) / 2).alias("model_kappa"), ((F.avg("dx_c") + F.avg("px_c")) / 2).alias("coder_kappa"))
-    tests = agreement.mcnemar(units, "m", "c").join(point, "pair").join(resample.paired_test(units, 500), "pair")
+    tests = agreement.mcnemar(units, "m", "c").join(point, "pair").join(resample.paired_test(units), "pair")
     tests = tests.withColumn("delta_kappa", F.col("model_kappa") - F.col("coder_kappa")).withColumn("mcnemar_p", resample.chi2_tail(F.col("chi2")))
     tests = agreement.benjamini_hochberg(tests, "mcnemar_p", out="mcnemar_p_fdr")
     return agreement.benjamini_hochberg(tests, "delta_kappa_p", out="delta_kappa_p_fdr")
@@ -287,7 +318,7 @@ def h2_tests(spark, sf) -> DataFrame:
     units = agreement.kappa_units(compared(spark, sf, [*CLINICIAN_PAIRS[:2], *((r, "reference") for r in ("coder", *MODELS))]))
     ceiling = units.where(F.col("pair").startswith("reference")).select(F.lit("ceiling").alias("pair"), F.concat_ws("/", "pair", F.col("key").cast("string")).alias("key"), "dx", "px")
     others = units.where(~F.col("pair").startswith("reference")).withColumn("pair", F.split_part("pair", F.lit(" "), F.lit(1)))
-    return agreement.benjamini_hochberg(resample.one_sided_test(ceiling, others, 500), "p_one_sided", out="p_fdr")
+    return agreement.benjamini_hochberg(resample.one_sided_test(ceiling, others), "p_one_sided", out="p_fdr")
 
 
 def q_h2_tests(spark, sf):
@@ -300,7 +331,7 @@ def q_chart_h1(spark, sf):
 
 def q_chart_h2(spark, sf):
     units = agreement.kappa_units(compared(spark, sf, [(r, "reference") for r in ("coder", *MODELS)])).withColumn("pair", F.split_part("pair", F.lit(" "), F.lit(1)))
-    shown = agreement.category_average(units).join(resample.category_interval(units, 500), "pair").withColumnRenamed("pair", "label")
+    shown = agreement.category_average(units).join(resample.category_interval(units), "pair").withColumnRenamed("pair", "label")
     return charts.against_ceiling(shown, h2_tests(spark, sf).select(F.col("pair").alias("comparator"), "p_fdr"))
 
 
