@@ -206,7 +206,9 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     release(spark)
     # one text for every node that has a candidate at all
     wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"), "node")
-    found = with_nodes(part.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "_text", bands=False)
+    # an equi-join finds no null ids; rows that have none are found by their node below
+    own = part.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(part.where("doc_id is null"))
+    found = with_nodes(own, "_text", bands=False)
     texts = found.join(wanted, (found._node == wanted.node) & found.doc_id.eqNullSafe(wanted.doc_id)).groupBy("node").agg(F.first("_text").alias("text"))
     texts = written(texts, "texts")
     release(spark)

@@ -133,6 +133,20 @@ def test_near_copies_with_a_repeated_line(spark):
     assert got == jaccard_classes(rows) == [(k, k - k % 2) for k in range(len(rows))]
 
 
+def test_near_copies_without_ids(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(4):
+        w = prose(rng, 80, 100_000)
+        rows += [(k, " ".join(w)), (None, " ".join([*w[:-1], "end"]))]
+    w = prose(rng, 80, 100_000)
+    rows += [(None, " ".join(w)), (None, " ".join([*w[:-1], "end"]))]
+    kept = [r.doc_id for r in near_dedup.first_of_each(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == [0, 1, 2, 3, None]
+    sizes = [(r.class_id, r.class_size) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(sizes, key=str) == [(k, 2) for k in range(4) for _ in range(2)] + [(None, 2)] * 2
+
+
 def test_candidate_keys():
     rng = np.random.default_rng(6)
     doc, key = np.repeat(np.arange(4), 50), rng.integers(0, 1 << 62, 200).astype(np.uint64)
