@@ -38,3 +38,15 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores as keep it apart from ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,9 +1,10 @@
 """Substring and near-duplicate removal against brute force, with odd rows."""
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -159,6 +160,117 @@ def test_candidate_keys():
     assert all(set(a.tolist()) <= set(b.tolist()) for a, b in zip(one, each))
 
 
+def linked(a, b):
+    """Whether two weighted sets (shingle to weight) are linked, by the definitions."""
+    both = a.keys() & b.keys()
+    if not both:
+        return False
+    if len(both) >= 0.8 * len(a.keys() | b.keys()) - 1e-9:
+        return True
+    if min(sum(d[e] for e in both) / sum(d.values()) for d in (a, b)) < 0.8:
+        return False  # too much of one text is not in the other
+    own = lambda d: sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys())
+    return sum(1 / own(d) for d in both) >= 0.8 - 1e-9
+
+
+def weights(text):
+    w = text.split()
+    count = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else {tuple(w): 1} if w else {}
+    return {e: 1 + math.log(n) for e, n in count.items()}
+
+
+def crowd(rows=2200):
+    """Families of edited copies from none to many edits, with repeated lines; families share passages; and texts of their own."""
+    rng = random.Random(21)
+    passages = [prose(rng, 60, 100_000) for _ in range(4)]
+    out = []
+    while len(out) < rows:
+        base = prose(rng, rng.randint(40, 160), 100_000)
+        base[10:10] = rng.choice(passages)[: rng.choice([0, 0, 30, 60])]
+        for _ in range(rng.choice([1, 1, 2, 5, 60])):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 8])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.3:  # other counts of the same terms
+                at = rng.randrange(len(w) - 12)
+                w += w[at : at + rng.randint(6, 12)] * rng.choice([1, 2, 20])
+            out.append((len(out), " ".join(w)))
+    return out[:rows]
+
+
+def test_recall_against_every_pair(spark):
+    rows = crowd()
+    sets = [weights(t) for _, t in rows]
+    at = defaultdict(list)
+    for k, s in enumerate(sets):
+        for e in s:
+            at[e].append(k)
+    pairs = Counter((a, b) for own in at.values() if len(own) < 400 for a in own for b in own if a < b)
+    links = [(a, b) for (a, b), n in pairs.items() if n >= 5 and linked(sets[a], sets[b])]
+    assert len(links) > 3000
+    mixed = [x for x in links if any(w > 1 for k in x for w in sets[k].values())]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for some in (links, mixed):
+        assert len(some) > 1000 and sum(got[a] == got[b] for a, b in some) >= 0.999 * len(some)
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    # and no text is in a class that no chain of links leads to
+    assert all(find(k) == find(c) for k, c in got.items())
+
+
+def test_prefix_and_bits_lose_no_link():
+    rng = random.Random(22)
+    pairs = 0
+    for _ in range(1500):
+        w = prose(rng, rng.randint(5, 120), 10_000)
+        v = list(w)
+        for _ in range(rng.choice([0, 1, 2])):
+            v[rng.randrange(len(v))] = "edit"
+        if rng.random() < 0.5:
+            at = rng.randrange(len(v))
+            v += v[at : at + 12] * rng.choice([1, 3])
+        a, b = weights(" ".join(w)), weights(" ".join(v))
+        if not linked(a, b):
+            continue
+        pairs += 1
+        texts = [" ".join(w).encode(), " ".join(v).encode()]
+        doc, key, weight = near_dedup.shingles(np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])]))
+        size, total = np.bincount(doc), np.bincount(doc, weight)
+        bits = near_dedup.parity(doc, key, 2)
+        differ = sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64))
+        alone = len(set(key[doc == 0].tolist()) ^ set(key[doc == 1].tolist()))
+        root = np.sqrt(total[0]) + np.sqrt(total[1])
+        most = max(size.sum() / 9, (total.sum() - root * root / 2.25) if (total > size + 1e-9).any() else 0)
+        assert differ <= alone <= most + 1e-6
+        d, e, before, share = near_dedup.prefixes(doc, key, weight, 2, np.arange(1 << 10) % 7)
+        one, two = ({k: (n, s) for x, k, n, s in zip(d, e, before, share) if x == side} for side in (0, 1))
+        first = next(k for k in one if k in two)
+        (ca, sa), (cb, sb) = one[first], two[first]
+        plain = 1.8 * min(size[0] - ca, size[1] - cb) >= 0.8 * size.sum() - 1e-6
+        assert plain or (1 - sa) * (1 - sb) >= 0.8 * (1 - sa * sb) - 1e-6
+    assert pairs > 500
+
+
+def test_near_rows_of_other_kinds(spark):
+    """Very long texts, a table of repeated rows only, and columns with the names of inner ones."""
+    rng = random.Random(23)
+    long_ = prose(rng, 40_000, 10**6)
+    rows = [(1, " ".join(long_)), (2, " ".join([*long_[:-50], *["x"] * 50])), (3, " ".join(long_[:20_000])), (4, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g")]
+    names = "doc_id long, text string, node string, _node string, _id int, first_id int, NODE_ string, class_id long, bands string"
+    docs = spark.createDataFrame([(d, t, "n", "m", k, 1, "o", 5, "b") for k, (d, t) in enumerate(rows)], names)
+    kept = near_dedup.first_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (4, 4)]
+
+
 def test_first_of_each(spark):
     rows = near_rows()
     kept = near_dedup.first_of_each(frame(spark, rows))
