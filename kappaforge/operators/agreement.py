@@ -12,10 +12,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kappaforge.functions.codes import at_level
+from kappaforge.operators.ranked import least_from_here, numbered
 
 CODE_TYPES = ("dx", "px", "combined")
 
 
+def rater_pairs(raters: DataFrame) -> DataFrame:
+    """(pair, rater_a, rater_b) of every two of ``raters`` (ord, rater; a row for each rater of a study), the earlier one first."""
+    listed = raters.groupBy().agg(F.transform(F.array_sort(F.collect_set(F.struct("ord", "rater"))), lambda x: x["rater"]).alias("r"))
+    first = listed.select("r", F.posexplode("r").alias("at", "rater_a"))
+    both = first.select("rater_a", F.explode(F.slice("r", F.col("at") + 2, F.size("r"))).alias("rater_b"))
+    return both.select(F.concat_ws(" vs ", "rater_a", "rater_b").alias("pair"), "rater_a", "rater_b")
+
+
 def comparisons(annotations: DataFrame, pairs: DataFrame, level: str = "category", both: bool = True) -> DataFrame:
     """(pair, key, a, b): the annotations of each pair's raters, sorted (kind, pos, code).
 
@@ -127,10 +136,7 @@ def mcnemar(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = ("pair",)) ->
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", family: tuple[str, ...] = (), out: str = "q") -> DataFrame:
-    """Adjusted p-values per family. Tests of one family are ranked together, so a family is a table of tests, not of rows."""
-    by = [F.col(f) for f in family] or [F.lit(0)]
-    size = W.partitionBy(*by)
-    rank = F.row_number().over(size.orderBy(F.col(p)))
-    ranked = tests.withColumn("_rank", rank).withColumn("_m", F.count("*").over(size))
-    down = size.orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
+    """Adjusted p-values per family, of any number of tests."""
+    ranked = numbered(tests, list(family), [p])
+    ranked = least_from_here(ranked, list(family), F.col(p) * F.col("_size") / (F.col("_n") + 1))
+    return ranked.select(*tests.columns, F.least(F.lit(1.0), "_least").alias(out))

@@ -65,3 +65,8 @@ def resolve_selection(stage1: DataFrame, picks: DataFrame) -> DataFrame:
     best = joined.withColumn("n", F.row_number().over(W.partitionBy("episode_id", "category", "rank").orderBy("by", "idx"))).where("n = 1")
     once = best.withColumn("n", F.row_number().over(W.partitionBy("episode_id", "category", "idx").orderBy("rank"))).where("n = 1")
     return once.withColumn("primary_secondary", F.when(F.col("rank") == 0, "primary").otherwise("secondary")).drop("n", "by", "code", "ref")
+
+
+def linked(rows: DataFrame, links: DataFrame, on: str = "nid") -> DataFrame:
+    """``rows`` with the columns of their link; rows without one stay, with nulls."""
+    return rows.join(links, on, "left")

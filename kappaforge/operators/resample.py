@@ -1,9 +1,9 @@
 """Bootstrap intervals and tests over units, one row per episode.
 
-Two generators. 'lcg' draws n units with replacement by an integer generator
-that SQL engines compute alike, as a join of counted indices. The other gives
-every unit a Poisson(1) weight in every draw, from a hash of the unit and the
-draw: tasks sum weighted values per draw, so no draw and no group is gathered
+Two generators, both of integers that SQL engines compute alike. 'lcg' draws n
+units with replacement, as a join of counted indices. The other gives every unit
+a Poisson(1) weight in every draw, from the digest of the unit and the draw:
+tasks sum weighted values per draw, so no draw and no group is gathered
 anywhere, units may be any number, and results do not depend on partitions.
 """
 
@@ -18,8 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kappaforge.operators.ranked import numbered
+
 N_BOOT, SEED = 2000, 42
 _A, _B, _C, _M = 7919, 104729, 12345, 1000003
+#: places of a draw in a row
+BLOCK = 8192
+#: modulus and factors of the numbers that Poisson weights come from, and the numbers at which the weight goes up
+MODULUS, FACTORS = 2**31 - 1, (48271, 69621, 16807)
+POISSON = tuple(int(MODULUS * sum(math.exp(-1.0) / math.factorial(k) for k in range(n))) for n in range(1, 11))
 
 
 def lcg_index(draw: Column, pos: Column, n: Column) -> Column:
@@ -29,11 +36,13 @@ def lcg_index(draw: Column, pos: Column, n: Column) -> Column:
 
 def lcg_means(units: DataFrame, columns: list[str], n_boot: int, by: str = "pair", order: str = "key") -> DataFrame:
     """(by, draw, mean of every column over the draw's units), nulls skipped, by the integer generator."""
-    from pyspark.sql import Window as W
-
-    packed = units.withColumn("idx", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1)
+    packed = numbered(units, [by], [order]).withColumnRenamed("_n", "idx")
     size = packed.groupBy(by).agg(F.count("*").alias("n"))
-    places = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("pos", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    # blocks of places, so that no row holds a whole study, and their tasks as many as there are
+    blocks = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK))))
+    blocks = blocks.repartition(by, "draw", "block")
+    first = F.col("block") * BLOCK
+    places = blocks.withColumn("pos", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n")) - 1)))
     # many places of a draw take the same unit: count first, then join the counts
     weights = places.groupBy(by, "draw", lcg_index(F.col("draw").cast("long"), F.col("pos").cast("long"), F.col("n")).alias("idx")).agg(F.count("*").alias("w"))
     rows = weights.join(packed.select(by, "idx", *columns), [by, "idx"])
@@ -48,10 +57,11 @@ def interval(draws: DataFrame, value: str, by: tuple[str, ...] = ("pair",)) -> D
 def bootstrap(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int = SEED, by: str = "pair", order: str = "key") -> DataFrame:
     """(by, draw, mean of every column), nulls skipped, with Poisson weights per unit and draw."""
     kind = units.schema[by].dataType.simpleString()
-    rows = units.select(by, F.xxhash64(by, order, F.lit(seed)).alias("_unit"), *(F.col(c).cast("double").alias(c) for c in columns))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), by, order).cast("binary"))
+    part = lambda k: F.conv(F.substring(digest, k, 7), 16, 10).cast("long")
+    rows = units.select(by, part(1).alias("_u"), part(8).alias("_v"), *(F.col(c).cast("double").alias(c) for c in columns))
     sums = [f"{c}_{x}" for c in columns for x in ("sum", "w")]
-    mult, draws = np.uint64(0x9E3779B97F4A7C15), np.arange(1, n_boot + 1, dtype=np.uint64)
-    cdf = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
+    draws = np.arange(n_boot, dtype=np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
@@ -60,10 +70,10 @@ def bootstrap(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed:
                 acc = total.setdefault(group, np.zeros((n_boot, 2 * len(columns))))
                 for at in range(0, len(part), 128):
                     some = part.iloc[at : at + 128]
-                    x = some["_unit"].to_numpy(np.int64).view(np.uint64)[:, None] + draws * mult
-                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    weight = np.searchsorted(cdf, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(float)
+                    u, v = (some[c].to_numpy(np.int64)[:, None] for c in ("_u", "_v"))
+                    x = (u * FACTORS[0] + draws * FACTORS[1] + _C) % MODULUS
+                    y = (x * x + v + draws * FACTORS[2]) % MODULUS
+                    weight = np.searchsorted(POISSON, (y * y + x) % MODULUS, "right").astype(float)
                     values = some[columns].to_numpy(float)
                     there = ~np.isnan(values)
                     acc[:, 0::2] += weight.T @ np.where(there, values, 0)
@@ -97,7 +107,7 @@ def paired_test(units: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> Dat
     p is twice the smaller tail, not capped, as it is adjusted afterwards.
     """
     d = bootstrap(units, ["m", "c", "dx_m", "px_m", "dx_c", "px_c"], n_boot, seed)
-    d = d.select("pair", (F.col("m") - F.col("c")).alias("dp"), (((F.col("dx_m") - F.col("dx_c")) + (F.col("px_m") - F.col("px_c"))) / 2).alias("dk"))
+    d = d.select("pair", (F.col("m") - F.col("c")).alias("dp"), F.round(((F.col("dx_m") - F.col("dx_c")) + (F.col("px_m") - F.col("px_c"))) / 2, 9).alias("dk"))
     tail = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     q = lambda c, p, name: F.percentile(c, F.lit(p)).alias(name)
     return d.groupBy("pair").agg(
@@ -109,7 +119,7 @@ def one_sided_test(ceiling: DataFrame, others: DataFrame, n_boot: int = N_BOOT,
     """Does the ceiling exceed each comparator? Independent draws of both; p is the share of differences at or below 0."""
     a = bootstrap(ceiling, ["dx", "px"], n_boot, seed).select("draw", ((F.col("dx") + F.col("px")) / 2).alias("top"))
     b = bootstrap(others, ["dx", "px"], n_boot, seed + 1).select("pair", "draw", ((F.col("dx") + F.col("px")) / 2).alias("own"))
-    rows = b.join(a, "draw").withColumn("d", F.col("top") - F.col("own"))
+    rows = b.join(a, "draw").withColumn("d", F.round(F.col("top") - F.col("own"), 9))
     return rows.groupBy("pair").agg(F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), F.avg(F.when(F.col("d") <= 0, 1.0).otherwise(0.0)).alias("p_one_sided"))
 
 

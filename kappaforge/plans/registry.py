@@ -23,6 +23,11 @@ def pair_table(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame([(f"{a} vs {b}", a, b) for a, b in pairs], "pair string, rater_a string, rater_b string")
 
 
+def clinician_pairs(spark: SparkSession) -> DataFrame:
+    """Every two clinicians."""
+    return agreement.rater_pairs(spark.createDataFrame(list(enumerate(CLINICIANS)), "ord int, rater string"))
+
+
 def compared(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]]) -> DataFrame:
     raters = sorted({r for p in pairs for r in p})
     return agreement.comparisons(rated(spark, sf_dir).where(F.col("rater").isin(raters)), pair_table(spark, pairs))
@@ -71,7 +76,8 @@ def q_category_average(spark, sf):
 
 def pooled_units(spark, sf) -> DataFrame:
     """(comparison, key, dx, px) of the clinician pairs, the ceiling, all pairs and the coder; a unit of a pool is an episode of one pair."""
-    units = agreement.kappa_units(compared(spark, sf, [*CLINICIAN_PAIRS, ("reference", "coder")]))
+    pairs = clinician_pairs(spark).unionByName(pair_table(spark, [("reference", "coder")]))
+    units = agreement.kappa_units(agreement.comparisons(rated(spark, sf).where(F.col("rater").isin(*CLINICIANS, "coder")), pairs))
     clinical = F.col("pair") != "reference vs coder"
     names = F.array(F.col("pair"), F.when(F.col("pair").isin("reference vs clinician_2", "reference vs clinician_3"), "ceiling (pairs with reference)"), F.when(clinical, "all clinician pairs"))
     return units.select(F.explode(F.array_compact(names)).alias("comparison"), F.concat_ws("/", "pair", F.col("key").cast("string")).alias("key"), "dx", "px")
@@ -84,7 +90,8 @@ def q_clinician_agreement(spark, sf):
 def q_clinician_agreement_interval(spark, sf):
     """q_clinician_agreement with intervals."""
     units = pooled_units(spark, sf).withColumnRenamed("comparison", "pair")
-    return agreement.category_average(units).join(resample.category_interval(units), "pair").withColumnRenamed("pair", "comparison")
+    found = agreement.category_average(units).join(resample.category_interval(units), "pair").withColumnRenamed("pair", "comparison")
+    return rounded(found, "kappa", "lo", "hi")
 
 
 def q_model_agreement(spark, sf):
@@ -99,7 +106,8 @@ def q_model_agreement_interval(spark, sf):
     units, scores = agreement.kappa_units(both), agreement.score_units(both).where("code_type = 'combined'")
     found = agreement.category_average(units).join(resample.category_interval(units), "pair")
     means = scores.groupBy("pair").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1")))
-    return found.join(means, "pair").join(resample.mean_intervals(scores, ["precision", "recall", "f1"]), "pair")
+    found = found.join(means, "pair").join(resample.mean_intervals(scores, ["precision", "recall", "f1"]), "pair")
+    return rounded(found, *(c for c in found.columns if c not in ("pair", "n")))
 
 
 def q_overlap(spark, sf):
@@ -119,13 +127,14 @@ def q_set_scores(spark, sf):
 def q_set_scores_interval(spark, sf):
     """q_set_scores with intervals."""
     both = compared(spark, sf, [(m, "reference") for m in MODELS])
-    return agreement.set_scores(both).join(resample.mean_intervals(agreement.score_units(both), ["precision", "recall", "f1"], ("pair", "code_type")), ["pair", "code_type"])
+    found = agreement.set_scores(both).join(resample.mean_intervals(agreement.score_units(both), ["precision", "recall", "f1"], ("pair", "code_type")), ["pair", "code_type"])
+    return rounded(found, *(c for c in found.columns if c not in ("pair", "code_type", "n")))
 
 
 def q_outlier_contrast_interval(spark, sf):
     """q_outlier_contrast with intervals."""
     units = agreement.contrast_units(rated(spark, sf), list(CLINICIANS))
-    return agreement.outlier_contrast(rated(spark, sf), list(CLINICIANS)).join(resample.mean_intervals(units, ["contrast"], ("rater",)), "rater")
+    return rounded(agreement.outlier_contrast(rated(spark, sf), list(CLINICIANS)).join(resample.mean_intervals(units, ["contrast"], ("rater",)), "rater"), "contrast", "contrast_lo", "contrast_hi")
 
 
 def q_outlier_contrast(spark, sf):
@@ -186,8 +195,8 @@ def q_date_parse(spark, sf):
 
 def pilot_scored(spark, sf) -> DataFrame:
     """(coder, rated): category codes of linked pilot episodes, the clinician's being the coder's on a match."""
-    ref = annotations.ordered_codes(view(spark, sf, "pilot_reference"), ["patient_id", "admission"], ["l_orderkey", "l_linenumber"])
-    both = view(spark, sf, "pilot_coder").join(ref, ["patient_id", "admission"])
+    ref = annotations.ordered_codes(view(spark, sf, "pilot_reference"), ["patient_id", "admission", "discharge"], ["l_orderkey", "l_linenumber"])
+    both = view(spark, sf, "pilot_coder").join(ref, ["patient_id", "admission", "discharge"])
     code, all_codes = F.substring("code", 1, 3), codes.truncated(F.col("codes"))
     matched = F.array_contains(all_codes, code)
     return both.select(code.alias("coder"), F.when(matched, code).otherwise(F.get(all_codes, F.lit(0))).alias("rated"), matched.cast("int").alias("hit"))
@@ -238,8 +247,8 @@ def q_note_window(spark, sf):
 
 
 def q_format_episode(spark, sf):
-    """The notes of every source and week under numbered headers."""
-    n = view(spark, sf, "note").select(F.concat_ws("-", "note_class", F.floor(F.unix_date("note_date") / 7).cast("string")).alias("episode"), "note_date", "note_id", "note_class", F.col("note_text").alias("text"))
+    """The notes of every source and seven ids under numbered headers."""
+    n = view(spark, sf, "note").select(F.concat_ws("-", "note_class", F.floor(F.col("note_id") / 7).cast("string")).alias("episode"), "note_date", "note_id", "note_class", F.col("note_text").alias("text"))
     listed = n.groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("note_date", "note_id", "note_class", "text"))).alias("notes"))
     return listed.select("episode", texts.numbered_notes(F.col("notes")).alias("body"))
 
@@ -264,13 +273,13 @@ def q_chart_performance(spark, sf):
 
 
 #: prices per million tokens by event type, which stands for a model here
-PRICES = (("click", 2.5, 10.0), ("view", 1.25, 10.0), ("purchase", 0.0, 0.0))
+PRICES = (("click", 2.5, 10.0), ("view", 1.25, 10.0), ("purchase", 0.0, 0.0), ("signup", 2.5, 10.0), ("error", 1.25, 10.0))
 
 
 def q_cost_report(spark, sf):
     prices = spark.createDataFrame(list(PRICES), "model string, price_in double, price_out double")
     runs = view(spark, sf, "run_metadata").withColumn("elapsed_seconds", F.col("elapsed_seconds").cast("decimal(18,6)"))
-    return costs.summarise(costs.with_cost(runs, prices)).select("model", "episodes", "llm_calls_per_episode", "tokens_per_episode", F.round("total_hours", 2).cast("double").alias("total_hours"))
+    return costs.summarise(costs.with_cost(runs, prices)).withColumns({c: F.col(c).cast("double") for c in ("seconds_per_episode", "total_hours")})
 
 
 def q_conversation_log(spark, sf):
@@ -293,7 +302,7 @@ def q_bootstrap_lcg(spark, sf):
 
 def q_bootstrap_interval(spark, sf):
     units = agreement.kappa_units(compared(spark, sf, CLINICIAN_PAIRS))
-    return agreement.category_average(units).join(resample.category_interval(units), "pair")
+    return rounded(agreement.category_average(units).join(resample.category_interval(units), "pair"), "kappa", "lo", "hi")
 
 
 def h1_units(spark, sf) -> DataFrame:
@@ -311,14 +320,15 @@ def q_h1_tests(spark, sf):
     tests = agreement.mcnemar(units, "m", "c").join(point, "pair").join(resample.paired_test(units), "pair")
     tests = tests.withColumn("delta_kappa", F.col("model_kappa") - F.col("coder_kappa")).withColumn("mcnemar_p", resample.chi2_tail(F.col("chi2")))
     tests = agreement.benjamini_hochberg(tests, "mcnemar_p", out="mcnemar_p_fdr")
-    return agreement.benjamini_hochberg(tests, "delta_kappa_p", out="delta_kappa_p_fdr")
+    tests = agreement.benjamini_hochberg(tests, "delta_kappa_p", out="delta_kappa_p_fdr")
+    return rounded(tests, *(c for c, kind in tests.dtypes if kind == "double"))
 
 
 def h2_tests(spark, sf) -> DataFrame:
     units = agreement.kappa_units(compared(spark, sf, [*CLINICIAN_PAIRS[:2], *((r, "reference") for r in ("coder", *MODELS))]))
     ceiling = units.where(F.col("pair").startswith("reference")).select(F.lit("ceiling").alias("pair"), F.concat_ws("/", "pair", F.col("key").cast("string")).alias("key"), "dx", "px")
     others = units.where(~F.col("pair").startswith("reference")).withColumn("pair", F.split_part("pair", F.lit(" "), F.lit(1)))
-    return agreement.benjamini_hochberg(resample.one_sided_test(ceiling, others), "p_one_sided", out="p_fdr")
+    return rounded(agreement.benjamini_hochberg(resample.one_sided_test(ceiling, others), "p_one_sided", out="p_fdr"), "lo", "hi", "p_one_sided", "p_fdr")
 
 
 def q_h2_tests(spark, sf):
@@ -332,7 +342,7 @@ def q_chart_h1(spark, sf):
 def q_chart_h2(spark, sf):
     units = agreement.kappa_units(compared(spark, sf, [(r, "reference") for r in ("coder", *MODELS)])).withColumn("pair", F.split_part("pair", F.lit(" "), F.lit(1)))
     shown = agreement.category_average(units).join(resample.category_interval(units), "pair").withColumnRenamed("pair", "label")
-    return charts.against_ceiling(shown, h2_tests(spark, sf).select(F.col("pair").alias("comparator"), "p_fdr"))
+    return rounded(charts.against_ceiling(shown, h2_tests(spark, sf).select(F.col("pair").alias("comparator"), "p_fdr")), "estimate", "lo", "hi")
 
 
 def q_shared_triples(spark, sf):
@@ -431,13 +441,76 @@ _EVAL = (
  round(fp_hard * 1.0e0 / nullif(tp + fp_soft + fp_hard, 0), 6) as hallucination_rate from pr)""",
 )
 _PILOT = (
-    "firsts as (select patient_id, admission, substr(code, 1, 3) as code, min(l_orderkey * 100 + l_linenumber) as o from pilot_reference group by all)",
-    "lead as (select patient_id, admission, arg_min(code, o) as first_code from firsts group by all)",
-    "scored as (select substr(c.code, 1, 3) as coder, case when f.code is not null then substr(c.code, 1, 3) else l.first_code end as rated, case when f.code is not null then 1 else 0 end as hit from pilot_coder c join lead l on l.patient_id = c.patient_id and l.admission = c.admission left join firsts f on f.patient_id = c.patient_id and f.admission = c.admission and f.code = substr(c.code, 1, 3))",
+    "firsts as (select patient_id, admission, discharge, substr(code, 1, 3) as code, min(l_orderkey * 100 + l_linenumber) as o from pilot_reference group by all)",
+    "lead as (select patient_id, admission, discharge, arg_min(code, o) as first_code from firsts group by all)",
+    "scored as (select substr(c.code, 1, 3) as coder, case when f.code is not null then substr(c.code, 1, 3) else l.first_code end as rated, case when f.code is not null then 1 else 0 end as hit from pilot_coder c join lead l using (patient_id, admission, discharge) left join firsts f on f.patient_id = c.patient_id and f.admission = c.admission and f.discharge = c.discharge and f.code = substr(c.code, 1, 3))",
 )
 _AVG = "round((avg(dx) + avg(px)) / 2, 6) as kappa"
 _PART = "select p_partkey, concat(lower(substr(p_type, 1, 1)), lpad(cast(p_size % 100 as varchar), 2, '0'), case when p_partkey % 3 = 0 then '.X' else concat('.', substr(p_brand, 7, 1)) end) as raw from part"
 
+
+
+def _boot(source: str, columns: tuple[str, ...], seed: int = resample.SEED, name: str = "draws", by: str = "pair", key: str = "key") -> tuple[str, ...]:
+    """CTEs of the bootstrap of ``source``: ``name`` has (by, draw, weighted mean of every column)."""
+    p, (f0, f1, f2) = resample.MODULUS, resample.FACTORS
+    weight = " + ".join(f"cast(z >= {c} as int)" for c in resample.POISSON)
+    kept = ", ".join((by, *columns))
+    sums = ", ".join(f"sum(w * {c}) * 1.0e0 / nullif(sum(case when {c} is not null then w end), 0) as {c}" for c in columns)
+    return (
+        f"{name}_h as (select {kept}, md5(concat_ws('/', '{seed}', {by}, {key})) as h from {source})",
+        f"{name}_u as (select {kept}, cast(concat('0x', substr(h, 1, 7)) as bigint) as u, cast(concat('0x', substr(h, 8, 7)) as bigint) as v from {name}_h)",
+        f"{name}_x as (select {kept}, v, draw, (u * {f0} + draw * {f1} + 12345) % {p} as x from {name}_u cross join (select unnest(range({resample.N_BOOT})) as draw) d)",
+        f"{name}_y as (select {kept}, draw, x, (x * x + v + draw * {f2}) % {p} as y from {name}_x)",
+        f"{name}_w as (select {kept}, draw, {weight} as w from (select *, (y * y + x) % {p} as z from {name}_y))",
+        f"{name} as (select {by}, draw, {sums} from {name}_w group by {by}, draw)",
+    )
+
+
+def _ends(value: str, lo: str = "lo", hi: str = "hi") -> str:
+    return f"round(quantile_cont({value}, 0.025), 6) as {lo}, round(quantile_cont({value}, 0.975), 6) as {hi}"
+
+
+def _adjusted(p: str, source: str, columns: str, out: str) -> str:
+    """``source`` with p adjusted over all its rows."""
+    return f"""(select {columns}, least(1.0e0, min({p} * m_ / rk_) over (order by rk_ desc rows between unbounded preceding and current row)) as {out}
+ from (select *, row_number() over (order by {p}) as rk_, count(*) over () as m_ from {source}))"""
+
+
+_SET_UNITS = """scoreu as (select pair, code_type, key, case when na > 0 then hit * 1.0e0 / na end as precision, case when nb > 0 then hit * 1.0e0 / nb end as recall, case when na > 0 and nb > 0 then 2.0e0 * hit / (na + nb) end as f1 from ov where na + nb > 0)"""
+_SCORE_ENDS = ", ".join(_ends(c, f"{c}_lo", f"{c}_hi") for c in ("precision", "recall", "f1"))
+_H1 = (
+    """h1u as (select p.pair, p.key, p.m, p.c, um.dx as dx_m, um.px as px_m, uc.dx as dx_c, uc.px as px_c from pm p join units um on um.pair = concat(p.pair, ' vs reference') and um.key = p.key join units uc on uc.pair = 'coder vs reference' and uc.key = p.key)""",
+    *_boot("h1u", ("m", "c", "dx_m", "px_m", "dx_c", "px_c")),
+    "diffs as (select pair, m - c as dp, round(((dx_m - dx_c) + (px_m - px_c)) / 2, 9) as dk from draws)",
+    f"""tested as (select pair, {_ends("dp", "delta_p_lo", "delta_p_hi")}, {_ends("dk", "delta_kappa_lo", "delta_kappa_hi")}, 2 * least(avg(case when dk <= 0 then 1.0e0 else 0 end), avg(case when dk >= 0 then 1.0e0 else 0 end)) as delta_kappa_p from diffs group by pair)""",
+    """cells as (select pair, count(*) as n, sum(m * c) as both_hit, sum(m * (1 - c)) as a_only, sum((1 - m) * c) as b_only, sum((1 - m) * (1 - c)) as neither, (avg(dx_m) + avg(px_m)) / 2 as model_kappa, (avg(dx_c) + avg(px_c)) / 2 as coder_kappa from h1u group by pair)""",
+    "chi as (select *, case when a_only + b_only = 0 then 0 else power(abs(a_only - b_only) - 1, 2) * 1.0e0 / (a_only + b_only) end as chi2 from cells)",
+    # the upper tail of chi-square is 1 - erf(sqrt(chi2 / 2)), erf by its series of positive terms
+    """tails as (select *, case when chi2 = 0 then 1.0e0 when chi2 > 200 then 0.0e0 else 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(400), lambda i: exp(i * ln(4.0e0) + (2 * i + 1) * ln(chi2 / 2) / 2 + lgamma(i + 1) - lgamma(2 * i + 2) - chi2 / 2))) end as mcnemar_p from chi)""",
+    "joined as (select t.*, d.delta_p_lo, d.delta_p_hi, d.delta_kappa_lo, d.delta_kappa_hi, d.delta_kappa_p, t.model_kappa - t.coder_kappa as delta_kappa from tails t join tested d on d.pair = t.pair)",
+    "h1 as (select * from " + _adjusted("delta_kappa_p", _adjusted("mcnemar_p", "joined", "* exclude (rk_, m_)", "mcnemar_p_fdr"), "* exclude (rk_, m_)", "delta_kappa_p_fdr") + ")",
+)
+_H1_PAIRS = [(r, "reference") for r in (*MODELS, "coder")]
+_H2 = (
+    "top as (select 'ceiling' as pair, concat_ws('/', pair, key) as key, dx, px from units where pair like 'reference%')",
+    "below as (select split_part(pair, ' ', 1) as pair, key, dx, px from units where pair not like 'reference%')",
+    *_boot("top", ("dx", "px"), name="da"),
+    *_boot("below", ("dx", "px"), resample.SEED + 1, "db"),
+    "gaps as (select db.pair, round((da.dx + da.px) / 2 - (db.dx + db.px) / 2, 9) as d from db join da on da.draw = db.draw)",
+    f"one as (select pair, {_ends('d')}, avg(case when d <= 0 then 1.0e0 else 0 end) as p_one_sided from gaps group by pair)",
+    "h2 as (select * from " + _adjusted("p_one_sided", "one", "* exclude (rk_, m_)", "p_fdr") + ")",
+)
+_H2_PAIRS = [*CLINICIAN_PAIRS[:2], *((r, "reference") for r in ("coder", *MODELS))]
+_POOLED = """pooled as (select pair as comparison, concat_ws('/', pair, key) as key, dx, px from units union all select 'ceiling (pairs with reference)', concat_ws('/', pair, key), dx, px from units where pair in ('reference vs clinician_2', 'reference vs clinician_3')
+ union all select 'all clinician pairs', concat_ws('/', pair, key), dx, px from units where pair <> 'reference vs coder')"""
+_WITH_ENDS = f"select a.*, b.lo, b.hi from (select {{by}}, count(*) as n, {_AVG} from {{units}} group by all) a join (select {{by}}, {_ends('(dx + px) / 2')} from draws group by all) b on b.{{by}} = a.{{by}}"
+_CONTRAST = (
+    "s as (select key, list(distinct code) filter (rater = 'reference') as a, list(distinct code) filter (rater = 'clinician_2') as b, list(distinct code) filter (rater = 'clinician_3') as c from ann group by key)",
+    """j as (select key, len(list_intersect(a, b)) * 1.0e0 / len(list_distinct(list_concat(a, b))) as j12, len(list_intersect(a, c)) * 1.0e0 / len(list_distinct(list_concat(a, c))) as j13, len(list_intersect(b, c)) * 1.0e0 / len(list_distinct(list_concat(b, c))) as j23
+ from s where len(a) > 0 and len(b) > 0 and len(c) > 0)""",
+    "contrasts as (select 'reference' as rater, key, (j12 + j13) / 2 - j23 as contrast from j union all select 'clinician_2', key, (j12 + j23) / 2 - j13 from j union all select 'clinician_3', key, (j13 + j23) / 2 - j12 from j)",
+)
+
 ORACLES = {
     "q_kappa_units": _units_sql("select key, round(dx, 6) as dx, round(px, 6) as px from units", PAIR),
     "q_category_average": _units_sql(f"select pair, count(*) as n, {_AVG} from units group by all", PAIR),
@@ -505,13 +578,17 @@ ORACLES = {
     ),
     "q_format_episode": with_views(
         """select episode, string_agg(concat('--- Note ', rn, ' | ', note_date, ' | ', note_class, ' ---', chr(10), body), chr(10) || chr(10) order by rn) as body from
- (select concat(note_class, '-', cast(floor(date_diff('day', date '1970-01-01', note_date) / 7) as bigint)) as episode, note_date, note_class, note_text as body, row_number() over (partition by note_class, floor(date_diff('day', date '1970-01-01', note_date) / 7) order by note_date, note_id) as rn from note) group by 1"""
+ (select concat(note_class, '-', note_id // 7) as episode, note_date, note_class, note_text as body, row_number() over (partition by note_class, note_id // 7 order by note_date, note_id) as rn from note) group by 1"""
     ),
     "q_verdict_counts": with_views("select model, qualifier, category, count(*) as n from vd where category is not null group by all", _VERDICTS),
     "q_adjudication": with_views("select * from ev", _VERDICTS, *_EVAL),
     "q_chart_performance": with_views(" union all ".join(f"select model, '{t}' as tier, '{m}' as metric, {t}_{m} as score from ev" for t in ("validity", "alignment") for m in ("precision", "recall", "f1")), _VERDICTS, *_EVAL),
     "q_cost_report": with_views(
-        """select model, count(*) as episodes, round(avg(n_llm_calls), 3) as llm_calls_per_episode, round(avg(prompt_tokens + completion_tokens), 3) as tokens_per_episode, cast(round(round(sum(cast(elapsed_seconds as decimal(18,6))) / 3600, 3), 2) as double) as total_hours from run_metadata where elapsed_seconds is not null group by 1"""
+        """select model, count(*) as episodes, cast(round_even(sum(s) / count(s), 3) as double) as seconds_per_episode, round_even(avg(n_llm_calls), 3) as llm_calls_per_episode, round_even(avg(tokens), 3) as tokens_per_episode, round_even(avg(cost), 3) as cost_per_episode_usd,
+ cast(round_even(sum(s) / 3600, 3) as double) as total_hours, round_even(sum(cost), 3) as total_cost_usd from priced group by 1""",
+        "prices(model, price_in, price_out) as (values " + ", ".join(f"('{m}', {i}e0, {o}e0)" for m, i, o in PRICES) + ")",
+        """priced as (select r.model, cast(r.elapsed_seconds as decimal(18,6)) as s, r.n_llm_calls, r.prompt_tokens + r.completion_tokens as tokens, round_even(r.prompt_tokens / 1e6 * p.price_in + r.completion_tokens / 1e6 * p.price_out, 6) as cost
+ from run_metadata r join prices p on p.model = r.model where r.elapsed_seconds is not null)""",
     ),
     "q_conversation_log": "select conv_id as episode_id, cast(sum(case when role = 'user' then length(text) else 0 end) as bigint) as prompt_tokens, cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as completion_tokens, count(*) as n_llm_calls from conversations group by 1",
     "q_first_turn": "select conv_id, cast(count(*) as int) as turns, arg_min(role, turn) as first_role, arg_max(role, turn) as last_role from conversations group by 1",
@@ -533,6 +610,32 @@ ORACLES = {
         "s1 as (select episode as episode_id, pos - 1 as idx, kind, lower(raw_code) as body, regexp_replace(upper(raw_code), '[^A-Z0-9]', '', 'g') as code from annotation)",
         "picked as (select episode_id, 0 as rank, '0' as ref from s1 where idx = 2 union all select episode_id, 1, code from s1 where idx = 2 union all select episode_id, 2, substr(body, 1, 3) from s1 where idx = 2)",
     ),
+    "q_bootstrap_interval": with_views(_WITH_ENDS.format(by="pair", units="units"), _ANN, _pairs_sql(CLINICIAN_PAIRS), *_KAPPA, *_boot("units", ("dx", "px"))),
+    "q_clinician_agreement_interval": with_views(_WITH_ENDS.format(by="comparison", units="pooled"), _ANN, _pairs_sql([*CLINICIAN_PAIRS, ("reference", "coder")]), *_KAPPA, _POOLED, *_boot("pooled", ("dx", "px"), by="comparison")),
+    "q_model_agreement_interval": with_views(
+        f"select k.*, s.* exclude (pair), e.* exclude (pair) from ({_WITH_ENDS.format(by='pair', units='units')}) k join (select pair, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1 from combined group by 1) s on s.pair = k.pair join (select pair, {_SCORE_ENDS} from score_draws group by 1) e on e.pair = k.pair",
+        _ANN, _pairs_sql(MODEL_PAIRS), *_KAPPA, *_COMB, _SET_UNITS, *_boot("units", ("dx", "px")),
+        "combined as (select *, concat('{\"pair\":\"', pair, '\"}') as grp from scoreu where code_type = 'combined')",
+        *_boot("combined", ("precision", "recall", "f1"), name="sd", by="grp"), "score_draws as (select substr(grp, 10, length(grp) - 11) as pair, * from sd)",
+    ),
+    "q_set_scores_interval": with_views(
+        f"select a.*, e.* exclude (grp) from ({_SCORES}) a join (select grp, {_SCORE_ENDS} from draws group by 1) e on e.grp = concat('{{\"pair\":\"', a.pair, '\",\"code_type\":\"', a.code_type, '\"}}')",
+        _ANN, _pairs_sql([(m, "reference") for m in MODELS]), *_COMB, _SET_UNITS, "tagged as (select *, concat('{\"pair\":\"', pair, '\",\"code_type\":\"', code_type, '\"}') as grp from scoreu)", *_boot("tagged", ("precision", "recall", "f1"), by="grp"),
+    ),
+    "q_outlier_contrast_interval": with_views(
+        f"select a.*, e.* exclude (grp) from (select rater, count(*) as n_triples, round(avg(contrast), 6) as contrast from contrasts group by 1) a join (select grp, {_ends('contrast', 'contrast_lo', 'contrast_hi')} from draws group by 1) e on e.grp = concat('{{\"rater\":\"', a.rater, '\"}}')",
+        _ANN, *_CONTRAST, "tagged as (select *, concat('{\"rater\":\"', rater, '\"}') as grp from contrasts)", *_boot("tagged", ("contrast",), by="grp"),
+    ),
+    "q_h1_tests": with_views(
+        "select pair, n, cast(both_hit as bigint) as both_hit, cast(a_only as bigint) as a_only, cast(b_only as bigint) as b_only, cast(neither as bigint) as neither, " + ", ".join(f"round({c}, 6) as {c}" for c in ("chi2", "model_kappa", "coder_kappa", "delta_p_lo", "delta_p_hi", "delta_kappa_lo", "delta_kappa_hi", "delta_kappa_p", "delta_kappa", "mcnemar_p", "mcnemar_p_fdr", "delta_kappa_p_fdr")) + " from h1",
+        _ANN, _pairs_sql(_H1_PAIRS), *_KAPPA, *_MATCHES[:3], *_H1,
+    ),
+    "q_chart_h1": with_views("select pair as label, round(delta_kappa, 6) as estimate, delta_kappa_lo as lo, delta_kappa_hi as hi, delta_kappa_p_fdr < 0.05 as filled from h1", _ANN, _pairs_sql(_H1_PAIRS), *_KAPPA, *_MATCHES[:3], *_H1),
+    "q_h2_tests": with_views("select pair, lo, hi, round(p_one_sided, 6) as p_one_sided, round(p_fdr, 6) as p_fdr from h2", _ANN, _pairs_sql(_H2_PAIRS), *_KAPPA, *_H2),
+    "q_chart_h2": with_views(
+        f"select a.pair as label, a.estimate, b.lo, b.hi, h.p_fdr < 0.05 as filled from (select pair, round((avg(dx) + avg(px)) / 2, 6) as estimate from below group by 1) a join (select pair, {_ends('(dx + px) / 2')} from draws group by 1) b on b.pair = a.pair join h2 h on h.pair = a.pair",
+        _ANN, _pairs_sql(_H2_PAIRS), *_KAPPA, *_H2, *_boot("below", ("dx", "px")),
+    ),
     "q_linkage": "select ltrim(cast(o_custkey as varchar), '0') as nid, arg_max(o_orderstatus, o_orderkey) as person from orders group by 1",
 }
 

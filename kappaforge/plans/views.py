@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -31,8 +32,8 @@ VIEWS = {
     "note": """select doc_id as note_id, cast(date_add(date '2024-01-01', cast(doc_id % 365 as int)) as date) as note_date, source as note_class, text as note_text from documents""",
     "snippet": "select item_id % 10 as episode, item_id as snippet_id, text as snippet from benchmark",
     "snippet_coder_date": "select distinct item_id % 10 as episode, cast(date_add(date '2024-01-01', cast((item_id * 37) % 365 as int)) as date) as adm from benchmark",
-    "pilot_coder": "select o_custkey as patient_id, cast(o_orderdate as date) as admission, o_orderkey as ord, concat('P0', substr(o_orderpriority,1,1)) as code from orders",
-    "pilot_reference": """select o_custkey as patient_id, cast(o_orderdate as date) as admission, concat('P0', cast(1 + l_linenumber % 5 as varchar(2))) as code, l_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey""",
+    "pilot_coder": "select o_custkey as patient_id, cast(o_orderdate as date) as admission, cast(date_add(cast(o_orderdate as date), cast(o_orderkey % 9 as int)) as date) as discharge, o_orderkey as ord, concat('P0', substr(o_orderpriority,1,1)) as code from orders",
+    "pilot_reference": """select o_custkey as patient_id, cast(o_orderdate as date) as admission, cast(date_add(cast(o_orderdate as date), cast(o_orderkey % 9 + case when o_orderkey % 11 = 0 then 1 else 0 end as int)) as date) as discharge, concat('P0', cast(1 + l_linenumber % 5 as varchar(2))) as code, l_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey""",
     "binary_rating": "select doc_id as episode, quality as rater_a, 1 - toxic as rater_b from labels",
 }
 
@@ -46,8 +47,16 @@ def needed(sql: str) -> list[str]:
     return [v for v in VIEWS if v in words]
 
 
+#: what rows of annotation a rater has, as in the SQL of rater_annotation
+RATERS = {"reference": "rf <> 'A'", "clinician_2": "rf <> 'N'", "clinician_3": "rf <> 'R'", "coder": "ls = 'F'", "model_1": "ls = 'O'", "model_2": "pos <= 3"}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view or table as a DataFrame."""
+    if name == "rater_annotation":  # one scan, whose rows go to their raters
+        raters = F.array_compact(F.array(*(F.when(F.expr(where), F.lit(rater)) for rater, where in RATERS.items())))
+        rows = view(spark, sf_dir, "annotation")
+        return rows.select(F.explode(raters).alias("rater"), *rows.columns)
     sql = f"select * from {name}"
     chain = needed(sql)
     words = set(re.findall(r"\w+", " ".join([sql, *(VIEWS[v] for v in chain)])))

@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 from statistics import NormalDist
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kappaforge.operators import adjudication, agreement, annotations, mapping, matching, notes, power, resample
+from kappaforge.operators import adjudication, agreement, annotations, mapping, matching, notes, power, ranked, resample
 
 ANN = "rater string, key string, kind string, pos long, code string"
 
@@ -154,6 +155,81 @@ def test_anchor(spark):
     assert [x.note_id for x in b["e"].notes] == [1, 3] and b["e"].anchor_suspect and b["e"].episode_id == "e_20240101" and not b["f"].anchor_suspect
 
 
+def plain_anchor(notes_, snippets):
+    """(episode, note) -> snippets contained, by plain string search."""
+    import re
+
+    canonical = lambda t: re.sub("[^a-z0-9 ]", " ", re.sub(r"\s+", " ", (t or "").lower())).strip(" ")
+    out = {}
+    for e, s in snippets:
+        c = canonical(s)
+        for n, t in notes_:
+            if len(c) >= 12 and c[:60] in canonical(t):
+                out[e, n] = out.get((e, n), 0) + 1
+    return out
+
+
+def test_anchors_against_plain_search(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 6, 8, 14, 20])))
+    texts = ["".join(rng.choice([" ", "  ", ", ", "-"]) + word() for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "x" * 50_000]
+    snippets = []
+    for e in range(120):
+        t = rng.choice(texts[:60])
+        at = rng.randint(0, max(0, len(t) - 12))
+        snippets.append((e % 30, t[at : at + rng.choice([12, 13, 14, 18, 25, 80])]))  # begins and ends inside words
+    snippets += snippets[:5] + [(1, "too short"), (2, None), (3, "x" * 30)]
+    rows = [(k, datetime.date(2024, 1, 1 + k % 28), t, k % 2) for k, t in enumerate(texts)]
+    n = spark.createDataFrame(rows, "note_id long, note_date date, note_text string, person int")
+    asked = spark.createDataFrame([(e, s, e % 2) for e, s in snippets], "episode long, snippet string, person int")
+    none = spark.createDataFrame([], "episode long, adm date")
+    for on in (None, ["person"]):
+        want = {}
+        found = plain_anchor([(k, t) for k, _, t, _ in rows], snippets)
+        for (e, k), m in sorted(found.items()):
+            if on is None or e % 2 == k % 2:
+                want[e] = min(want.get(e, (0,)), (-m, rows[k][1], k))
+        got = {r.episode: (-r.matched, r.note_date, r.note_id) for r in notes.anchors(n, asked, none, on).collect()}
+        assert got == want and len(want) >= 20
+    assert "NestedLoop" not in notes.anchors(n, asked, none)._jdf.queryExecution().toString()
+
+
+def test_numbers_and_minima_of_groups(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.01, 0.02, 0.5, 1.0]) if rng.random() < 0.7 else rng.random(), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "family string, p double, k int").repartition(7)
+    got = ranked.numbered(df, ["family"], ["p"]).collect()
+    for f in ("a", "b", None):
+        own = sorted((r._n, r.p, r._size) for r in got if r.family == f)
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1] for x in own] == sorted(x[1] for x in own) and {x[2] for x in own} == {len(own)}
+    q = agreement.benjamini_hochberg(df, family=("family",)).collect()
+    assert len(q) == len(rows)
+    for f in ("a", "b", None):
+        own = sorted((r.p, r.q) for r in q if r.family == f)
+        least = 1.0
+        for rank in range(len(own), 0, -1):
+            least = min(least, own[rank - 1][0] * len(own) / rank)
+            assert abs(own[rank - 1][1] - least) < 1e-12
+    assert agreement.benjamini_hochberg(df.limit(0), family=("family",)).count() == 0
+
+
+def test_lcg_means_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK", 7)
+    units = [(pair, k, float(k * k % 11) if k % 5 else None) for pair, n in (("p", 40), ("q", 3)) for k in range(n)]
+    got = {(r.pair, r.draw): r.x for r in resample.lcg_means(spark.createDataFrame(units, "pair string, key int, x double"), ["x"], 6).collect()}
+    for pair, n in (("p", 40), ("q", 3)):
+        own = [x for p, _, x in units if p == pair]
+        for draw in range(6):
+            taken = [own[(draw * 7919 + pos * 104729 + draw * pos + 12345) % 1000003 % n] for pos in range(n)]
+            taken = [x for x in taken if x is not None]
+            assert got[pair, draw] == pytest.approx(sum(taken) / len(taken)) if taken else got[pair, draw] is None
+
+
+def test_rater_pairs(spark):
+    found = agreement.rater_pairs(spark.createDataFrame([(2, "c"), (0, "b"), (1, "a"), (1, "a")], "ord int, rater string")).collect()
+    assert sorted(map(tuple, found)) == [("a vs c", "a", "c"), ("b vs a", "b", "a"), ("b vs c", "b", "c")]
+
+
 def test_adjudication(spark):
     rows = [("m", c) for c, k in (("TP", 6), ("FP_soft", 3), ("FP_hard", 1), ("FN_coding", 2), ("FN_miss", 2)) for _ in range(k)] + [("z", "FP_hard"), ("z", "FN_other"), ("z", "AMBIG")]
     got = {r.model: r for r in adjudication.evaluate(spark.createDataFrame(rows, "model string, category string")).collect()}
