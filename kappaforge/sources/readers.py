@@ -7,10 +7,11 @@ may lie in any store that Spark reads.
 from __future__ import annotations
 
 import io
+import os
 import re
 import tomllib
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
@@ -166,6 +167,17 @@ def sheet_rows(cells: DataFrame, columns: list[str], header: int = 1) -> DataFra
     return body.groupBy("sheet", F.col("row").alias("ord")).pivot("name", columns).agg(F.first("value"))
 
 
+LOOKUP = "refset string, sctid string, code string, candidates string"
+
+
+def lookup(spark: SparkSession, path: str) -> DataFrame:
+    """Chosen map targets as writers.lookup left them; an empty table where nothing lies at ``path``, so that all labels stay unmapped."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LOOKUP)
+    return spark.read.schema(LOOKUP).parquet(path)
+
+
 @dataclass
 class Study:
     """A study's configuration, read on the driver."""
@@ -174,7 +186,7 @@ class Study:
     settings: dict = field(default_factory=dict)
 
 
-def study(text: str) -> Study:
-    """The configuration from TOML text; output_dir defaults to results."""
+def study(text: str, environment: Mapping[str, str] = os.environ) -> Study:
+    """The configuration from TOML text; output_dir is results if not given, and KAPPAFORGE_OUTPUT_DIR of ``environment`` goes before both."""
     settings = tomllib.loads(text)
-    return Study(settings.get("output_dir", "results"), settings)
+    return Study(environment.get("KAPPAFORGE_OUTPUT_DIR") or settings.get("output_dir", "results"), settings)

@@ -16,8 +16,9 @@ def result_parquet(df: DataFrame, path: str) -> None:
 
 
 def bundle_json(bundles: DataFrame, path: str) -> None:
-    """Bundles as JSON lines by episode; a later bundle of an id overwrites."""
-    bundles.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A folder of JSON documents for each episode_id; a later bundle of an id overwrites the earlier one, and no other."""
+    one = bundles.repartition("episode_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
+    one.partitionBy("episode_id").json(path)
 
 
 def stage_documents(envelopes: DataFrame, path: str) -> None:
