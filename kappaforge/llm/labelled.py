@@ -28,3 +28,13 @@ def first_by_hash(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def split_column(doc_id: str, modulus: int, held_out: int) -> Column:
     """True for held-out ids; null ids are not held out."""
     return F.coalesce(remainder(doc_id, modulus) == held_out, F.lit(False))
+
+
+def sampled(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``ids`` with ``column`` of ``rows``: one row an id, however many rows have it (that of the smallest hash).
+
+    ``ids`` is a bounded sample, so its broadcast and the result are bounded too.
+    The order of rows is the same in every run.
+    """
+    found = rows.select("doc_id", column).join(F.broadcast(ids), "doc_id")
+    return found.groupBy(*ids.columns).agg(F.min_by(column, F.xxhash64(column)).alias(column)).sortWithinPartitions(*ids.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kappaforge.llm.labelled import first_by_hash, known_labels, split_column
+from kappaforge.llm.labelled import first_by_hash, known_labels, sampled, split_column
 from kappaforge.llm.store import written
 from kappaforge.llm.text_stats import FEATURES, features
 from kappaforge.llm.words import blocks
@@ -173,8 +173,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
     ``docs`` other than doc_id and ``text`` are not read.
     """
     rows = written(feature_rows(docs, text), "gam")
-    ids = first_by_hash(known_labels(labels, "quality", MODULUS, HELD_OUT), max_rows)  # bounded, so the broadcast is
-    known = rows.join(F.broadcast(ids), "doc_id").select("features", "y").toArrow()
+    known = sampled(rows, first_by_hash(known_labels(labels, "quality", MODULUS, HELD_OUT), max_rows), "features").select("features", "y").toArrow()
     model = fit(_matrix(known.column("features")), np.asarray(known.column("y"), np.float64))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,7 +1,7 @@
 """Quality rules: fixed counting rules and a hashed n-gram classifier.
 
 The classifier is a logistic regression over hashed word 1- and 2-grams and
-byte-character 3- and 5-grams, each family as relative frequencies. A hash of
+3- and 5-grams of code points, each family as relative frequencies. A hash of
 the id deals labelled rows into four folds, at every size: three are fitted on,
 at most ``max_rows`` rows of each class, and Platt scaling takes at most
 ``max_calibration`` rows, in their natural mix, of the fourth. Text is scored in Arrow batches: a document's score is the sum of its n-grams' mean
@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kappaforge.llm.labelled import first_by_hash, known_labels
+from kappaforge.llm.labelled import first_by_hash, known_labels, sampled
 from kappaforge.llm.text_stats import base_counts
-from kappaforge.llm.words import NON_SPACE, Poly, U, blocks, mix, spans, window_starts
+from kappaforge.llm.words import NON_SPACE, Poly, U, blocks, code_points, mix, spans, window_starts
 
 BITS = 16
 MAX_ROWS, MAX_CALIBRATION = 1200, 4000
@@ -29,7 +29,10 @@ THRESHOLD = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MODULUS, HELD_OUT = 4, 2
 _WORD, _PAIR = Poly(31), Poly(32)
+_STEP = U(0x9E3779B97F4A7C15)
 _FAMILIES = 4
+#: entries of a step of the fit, so that its temporaries stay small beside the rows
+_CHUNK = 1 << 18
 FOLDS = 4
 
 
@@ -49,12 +52,12 @@ def _grams(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     yield out(words, np.repeat(np.arange(n), np.diff(first)))
     at, doc = window_starts(first, 2)
     yield out(_PAIR.slices(words, at, at + 2), doc)
-    wide = buf.astype(np.uint64)
+    points, begin = code_points(buf, offsets)
     for size in (3, 5):
-        at, doc = window_starts(offsets, size)
+        at, doc = window_starts(begin, size)
         keys = np.zeros(len(at), np.uint64)
         for k in range(size):
-            keys = keys << U(8) | wide[at + k]
+            keys = keys * _STEP + points[at + k]
         yield out(mix(keys), doc)
 
 
@@ -90,25 +93,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def _fit(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, y: np.ndarray, steps: int = 120, l2: float = 1e-6, rate: float = 1.0) -> Model:
-    """Full-batch Adam on balanced log loss; buckets are used in compact form."""
-    used, col = np.unique(bucket, return_inverse=True)
-    n, k = len(y), len(used)
-    w, b = np.zeros(k + 1), 0.0
+def _fit(begin: np.ndarray, bucket: np.ndarray, value: np.ndarray, y: np.ndarray, steps: int = 120, l2: float = 1e-6, rate: float = 1.0) -> Model:
+    """Full-batch Adam on balanced log loss. Row k has the entries begin[k] to begin[k + 1] of ``bucket`` and ``value``."""
+    n, k = len(y), 1 << BITS
+    w, b = np.zeros(k), 0.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, begin[-1], _CHUNK)), n))
     for t in range(1, steps + 1):
-        b = w[k]
-        z = b + np.bincount(doc, value * w[col], n)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
-        grad = np.append(np.bincount(col, value * g[doc], k) + l2 * w[:k], g.sum())
+        grad = np.append(l2 * w, 0.0)
+        for first, last in zip(np.append(0, cuts), cuts):
+            own = slice(begin[first], begin[last])
+            doc = np.repeat(np.arange(last - first), np.diff(begin[first : last + 1]))
+            z = b + np.bincount(doc, value[own] * w[bucket[own]], last - first)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[first:last]) * each[first:last]
+            grad[:k] += np.bincount(bucket[own], value[own] * g[doc], k)
+            grad[k] += g.sum()
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
-        step = (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w -= rate * 0.3 * step / np.sqrt(1 + t / 20)
-    weights = np.zeros(1 << BITS)
-    weights[used] = w[:k]
-    return Model(weights, float(w[k]))
+        step = rate * 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) / np.sqrt(1 + t / 20)
+        w -= step[:k]
+        b -= step[k]
+    return Model(w, float(b))
 
 
 def _platt(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -153,8 +159,7 @@ def folds(known: DataFrame, max_rows: int = MAX_ROWS, max_calibration: int = MAX
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int = MAX_ROWS, max_calibration: int = MAX_CALIBRATION) -> Model:
     """Fit on labelled rows. Without rows of both classes the model accepts all texts."""
     ids = folds(known_labels(labels, "quality", MODULUS, HELD_OUT), max_rows, max_calibration)
-    # at most 2 * max_rows + max_calibration ids: a proven bound for the broadcast
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(ids), "doc_id")
+    rows = sampled(docs.select("doc_id", F.col(text).alias("_text")), ids, "_text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +176,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int
     y = np.asarray(got.column("y"), np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), 10.0)
-    bucket = [np.frombuffer(x.as_py(), np.uint16) for x in got.column("buckets")]
-    value = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in got.column("values")])
+    bucket = [np.frombuffer(x.as_buffer(), np.uint16) for x in got.column("buckets")]
+    value = [np.frombuffer(x.as_buffer(), np.float32) for x in got.column("values")]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in bucket])]).astype(np.int64)
+    bucket, value = np.concatenate(bucket), np.concatenate(value)
     del got
-    model = _fit(np.repeat(np.arange(len(y)), [len(x) for x in bucket]), np.concatenate(bucket), value, y)
+    model = _fit(begin, bucket, value, y)
+    del bucket, value
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

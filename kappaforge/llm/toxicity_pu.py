@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kappaforge.llm.labelled import first_by_hash, known_labels, remainder, split_column
+from kappaforge.llm.labelled import first_by_hash, known_labels, remainder, sampled, split_column
 from kappaforge.llm.words import ALNUM_LOWER, LOWER, Poly, U, blocks, spans
 
 BITS = 22
@@ -118,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", prior: float |
         prior = known.agg(((F.sum("y") + 1) / (F.count("y") + 2)).alias("p")).first().p or 0.5
     positives = first_by_hash(known.where("y = 1").select("doc_id"), max_positive)
     unlabelled = first_by_hash(docs.select("doc_id").where(F.col("doc_id").isNotNull() & (remainder("doc_id", MODULUS) != HELD_OUT)).distinct(), max_unlabelled, seed=2)
-    ids = positives.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))  # bounded, so the broadcast is
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(ids), "doc_id").select("positive", "_text")
+    ids = positives.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
+    rows = sampled(docs.select("doc_id", F.col(text).alias("_text")), ids, "_text").select("positive", "_text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -79,6 +79,19 @@ def spans(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def code_points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number a code point (its UTF-8 bytes, packed), and where each document's begin."""
+    lead = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    points = buf[at].astype(np.uint64)
+    if len(at) < len(buf):
+        length = np.diff(np.append(at, len(buf)))
+        for k in range(1, 4):
+            more = np.flatnonzero(length > k)
+            points[more] |= buf[at[more] + k].astype(np.uint64) << U(8 * k)
+    return points, np.searchsorted(at, offsets)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
