@@ -15,44 +15,59 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret of spark.kappaforge.surrogate.key. Where none is set, as in tests, a published one that protects nothing."""
+    return (spark.conf.get("spark.kappaforge.surrogate.key", None) or "published key of the registered queries").encode()
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` outside passages of 50 words that a smaller doc_id has too. Nulls, ties and repeated rows are as the operator says."""
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every text of ``documents``, by phrase and by template. Nulls, ties and repeated rows are as the operator says."""
     return license_templates.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.surrogates(table(spark, sf_dir, "documents"))
+    """Every text of ``documents`` with surrogates for personal data. Nulls, ties and repeated rows are as the operator says."""
+    return pii_surrogates.surrogates(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text of ``documents`` by an additive model of ``labels``. Nulls, ties and repeated rows are as the operator says."""
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text of ``documents``, and what they decode to. Nulls, ties and repeated rows are as the operator says."""
     return byte_bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every text of ``documents``. Nulls, ties and repeated rows are as the operator says."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learned from positives of ``labels`` and unlabelled texts. Nulls, ties and repeated rows are as the operator says."""
     return toxicity_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every row of ``documents``. Nulls, ties and repeated rows are as the operator says."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text of ``documents``. Nulls, ties and repeated rows are as the operator says."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of ``benchmark`` that texts of ``documents`` leak. Nulls, ties and repeated rows are as the operator says."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -61,4 +76,12 @@ _ALL = (
     op6_quality_rules, op7_toxicity_pu, op8_probminhash, op9_token_counts, op10_string_tiling,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+_OP1 = r"""with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+ windows as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+ firsts as (select h, min(doc_id) as first_id from windows group by h having min(doc_id) < max(doc_id)),
+ gone as (select distinct doc_id, unnest(range(i, i + 50)) as i from (select doc_id, i from windows join firsts using (h) where first_id < doc_id)),
+ words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+ kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by i) as body from words anti join gone using (doc_id, i) group by doc_id)
+ select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id"""
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1}
