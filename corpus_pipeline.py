@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kappaforge.llm import byte_bpe, decontamination, near_dedup, pii_surrogates, quality_rules
-from kappaforge.llm.registry import tokenizer_path
+from kappaforge.llm.registry import surrogate_key, tokenizer_path
 from kappaforge.llm.store import table, written
 
 
@@ -27,7 +27,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates for personal data; n_chars follows the text."""
-    done = pii_surrogates.rewrite(docs)
+    done = pii_surrogates.rewrite(docs, surrogate_key(spark))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
