@@ -38,23 +38,49 @@ TEMPLATES = {
         "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software " + "the software " + _AS_IS + " without warranty of any kind",
     ),
     "apache-2": (
+        "apache license version 2 0 january 2004",
         "licensed under the apache license version 2 0 [[the license you may not use this file except in compliance with the license]]",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ),
+    "agpl-3": (
+        "under the [[terms of the]] gnu affero general public license [[as published by the free software foundation]] [[either]] version 3",
+        "gnu affero general public license version 3 19 november 2007",
+    ),
+    "boost": ("distributed under the boost software license version 1 0", "boost software license version 1 0 august 17th 2003"),
+    "cc-by": (
+        "creative commons attribution {{version;1-2;[0-9]+}} [[international|unported|generic]] license", "licensed under cc by {{version;1-2;[0-9]+}}", "licensed under a cc by {{version;1-2;[0-9]+}}",
+    ),
+    "cc-by-sa": (
+        "creative commons attribution sharealike {{version;1-2;[0-9]+}} [[international|unported|generic]] license", "creative commons attribution share alike {{version;1-2;[0-9]+}} [[international|unported|generic]] license", "licensed under [[a]] cc by sa [[{{version;1-2;[0-9]+}}]]",
+    ),
+    "cc0": (
+        "cc0 1 0 universal", "to the extent possible under law {{holder;1-10}} {{verb;1-1;has|have}} waived all copyright and related or neighboring rights to",
+    ),
+    "epl": ("under the terms of the eclipse public license [[v|version]] {{version;1-2;[0-9]+}}", "eclipse public license [[v|version]] {{version;1-2;[0-9]+}}"),
+    "lgpl": (
+        "under the [[terms of the]] gnu {{kind;1-1;lesser|library}} general public license [[as published by the free software foundation]] [[either]] version {{version;1-2;[0-9]+}}",
+        "gnu lesser general public license version {{version;1-2;[0-9]+}} {{date;1-3}}",
+    ),
+    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license version 2 0"),
+    "wtfpl": ("do what the fuck you want to public license",),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",),
     "cc-by-nc": (
         "licensed under [[a]] cc by nc [[{{version;1-2;[0-9]+}}]]",
         "creative commons attribution noncommercial {{version;1-2;[0-9]+}} [[international|unported]] license",
     ),
-    "gpl-2": ("under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2",),
-    "gpl-3": ("under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3",),
+    "gpl-2": ("under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2", "gnu general public license version 2 june 1991"),
+    "gpl-3": ("under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3", "gnu general public license version 3 29 june 2007"),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice "
         "this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     ),
+    "bsd-3": (
+        "neither the name of {{holder;1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
     "all-rights-reserved": ("[[copyright [[c]] {{years;1-2;[0-9]+}} {{holder;1-8}}]] all rights reserved",),
-}
+}
 
 ANCHOR = 3
 _WORD, _RUN = Poly(61), Poly(62)
@@ -219,7 +245,7 @@ class Scanner:
                             out["places"].add((start, end, what.label))
                             out["score"] = 1.0
                         else:
-                            out["score"] = max(out["score"], best / what.mandatory * 0.99)
+                            out["score"] = max(out["score"], min(1.0, best / what.mandatory) * 0.99)
         return np.diff(first), found
 
 
@@ -228,7 +254,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     places lists (start word, end word, label) of accepted templates. The score
     is 1 if a template accepts, else the larger of one half for a base phrase
-    and the best share of mandatory words that a template got through, else 0.
+    and the best share of its wording that a template got through, else 0.
     Null and empty texts have no words; repeated rows stay; an empty table gives
     an empty result; columns beyond ``keep`` are dropped.
     """
