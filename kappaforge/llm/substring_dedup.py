@@ -83,8 +83,10 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 
     part = docs.where("doc_id is not null")
     rows = written(part.mapInArrow(digests, part.select("doc_id").schema.add("n_words", "long").add("digest", "binary")), "digests")
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size"))
-    return rows.join(classes, "digest")
+    several = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    # both sides are read, so that the rows of a large class can be split; a text of one row needs no class
+    out = rows.join(written(several, "several"), "digest", "left")
+    return out.withColumns({"first_id": F.coalesce("first_id", "doc_id"), "class_size": F.coalesce("class_size", F.lit(1))})
 
 
 def earlier_windows(docs: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
