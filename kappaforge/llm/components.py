@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kappaforge.llm.store import written
+from kappaforge.llm.store import dropped, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
-        edges = written(_star(_star(edges, True), False), "stars")
+        before, edges = edges, written(_star(_star(edges, True), False), "stars")
+        dropped(before)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break

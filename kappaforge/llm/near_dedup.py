@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaforge.llm.components import components
-from kappaforge.llm.store import release, unused, written
+from kappaforge.llm.store import dropped, release, unused, written
 from kappaforge.llm.words import NON_SPACE, Poly, U, blocks, mix, spans, window_starts
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -343,7 +343,7 @@ def _candidates(part: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, node and class_node of every row; rows of one class_node are near copies.
+    """doc_id, node and class_node of every row, as a written table; rows of one class_node are near copies.
 
     A row whose text is null or has no words is alone and has a null node.
     """
@@ -353,10 +353,10 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     exploded = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(exploded.join(shared, "bucket"), "buckets")
+    whole = written(exploded.join(shared, "bucket"), "buckets")
     # a text that many others are near to shares more and larger buckets than they do with each other
-    central = written(members.groupBy("node").agg(F.sum("n").alias("central")), "central")
-    members = members.drop("n")
+    central = written(whole.groupBy("node").agg(F.sum("n").alias("central")), "central")
+    members = whole.drop("n")
     release(spark)
     texts = written(_candidates(part, nodes, members), "texts")
     light = texts.drop("text")
@@ -387,7 +387,11 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
         if links.take(1):
             labels = _merged(labels, links)
         release(spark)
-    return rows.select("doc_id", "node").join(labels.withColumnRenamed("label", "class_node"), "node", "left").select("doc_id", "node", F.coalesce("class_node", "node").alias("class_node"))
+    found = rows.select("doc_id", "node").join(labels.withColumnRenamed("label", "class_node"), "node", "left")
+    found = written(found.select("doc_id", "node", F.coalesce("class_node", "node").alias("class_node")), "classes")
+    dropped(rows, whole, central, texts)
+    release(spark)
+    return found
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -397,7 +401,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     the class of its copies if one of them has a doc_id. Repeated rows stay, and
     an empty table gives an empty result. Other columns are not read.
     """
-    found = written(classes(docs, text), "classes")
+    found = classes(docs, text)
     ids = found.where("class_node is not null").groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     ids = written(ids, "ids")  # beside a table that is read, the rows of a large class can be split
     return found.join(ids, "class_node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("class_size"))
@@ -408,7 +412,7 @@ def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Texts without words all stay; of repeated rows one stays. Columns may have any names.
     """
-    found = written(classes(docs, text), "classes")
+    found = classes(docs, text)
     stay = found.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("s"))
     own_node, first_id, first_node = unused(docs.columns, "node", "first_id", "first_node")
     stay = stay.select(F.col("s.doc_id").alias(first_id), F.col("s.node").alias(first_node))
