@@ -70,3 +70,15 @@ def resolve_selection(stage1: DataFrame, picks: DataFrame) -> DataFrame:
 def linked(rows: DataFrame, links: DataFrame, on: str = "nid") -> DataFrame:
     """``rows`` with the columns of their link; rows without one stay, with nulls."""
     return rows.join(links, on, "left")
+
+
+def without(rows: DataFrame, excluded: DataFrame, on: str) -> DataFrame:
+    """``rows`` whose key is not among the excluded ones; rows without a key stay."""
+    return rows.join(excluded.select(on), on, "left_anti")
+
+
+def merged_labels(labels: DataFrame, by: list[str], text: str = "text", order: str = "ord") -> DataFrame:
+    """One row for each text of a group, as merging parts does: the last row's values, at the place of the first."""
+    rest = [c for c in labels.columns if c not in (*by, text, order)]
+    one = labels.groupBy(*by, text).agg(F.max_by(F.struct(*rest), order).alias("last"), F.min(order).alias(order))
+    return one.select(*by, text, order, "last.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kappaforge.functions import codes, dates, labels, texts
 from kappaforge.operators import adjudication, agreement, annotations, charts, costs, mapping, matching, notes, power, resample
 from kappaforge.plans.views import view, with_views
+from kappaforge.sources import readers
 
 FLAGSHIP = "q_category_average"
 CLINICIANS = ("reference", "clinician_2", "clinician_3")
@@ -395,6 +396,53 @@ def q_resolve_selection(spark, sf):
     return matching.resolve_selection(rows, picks).select("episode_id", "idx", "primary_secondary")
 
 
+def q_candidate_lines(spark, sf):
+    """The lines of a scoping prompt, with the tag and whether there is a code."""
+    rows = stage1(spark, sf)
+    code = codes.code_for(F.col("qualifier"), F.col("icd10"), F.col("opcs4"))
+    return rows.select("episode_id", "idx", texts.candidate_line(F.col("idx"), F.col("qualifier"), F.col("text"), code).alias("line"), texts.semantic_tag(F.col("qualifier")).alias("tag"), codes.no_code(code).alias("no_code"))
+
+
+def q_linked(spark, sf):
+    """Customers with the person of their last order; those without one stay."""
+    rows = view(spark, sf, "customer").select("c_custkey", codes.norm_id(F.col("c_custkey").cast("string")).alias("nid"))
+    return matching.linked(rows, q_linkage(spark, sf)).select("c_custkey", "person")
+
+
+def q_excluded(spark, sf):
+    """Clinical episodes of patients whom the coder never saw."""
+    return matching.without(view(spark, sf, "clinician_episode"), view(spark, sf, "coder_admission"), "nid").select("ep_key", "nid")
+
+
+def q_merged_labels(spark, sf):
+    """Line items as labels of an order, given in parts: a later one of the same text wins at the first one's place."""
+    rows = view(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 3).alias("text"), (F.col("l_linenumber") * 100_000 + F.col("l_suppkey")).cast("long").alias("ord"), F.col("l_returnflag").alias("presence"))
+    rows = rows.groupBy("l_orderkey", "text", "ord").agg(F.max("presence").alias("presence"))
+    return matching.merged_labels(rows, ["l_orderkey"])
+
+
+def q_cohort_notes(spark, sf):
+    """Notes of a cohort with the names of their classes; a class without a name has none."""
+    rows = view(spark, sf, "note").select("note_id", (F.col("note_id") % 500).alias("person_id"), "note_date", F.regexp_extract("note_class", "([0-9]+)$", 1).try_cast("long").alias("note_class_concept_id"))
+    persons = view(spark, sf, "supplier").select(F.col("s_suppkey").alias("person_id"))
+    names = view(spark, sf, "nation").select(F.col("n_nationkey").alias("concept_id"), F.col("n_name").alias("concept_name"))
+    return readers.of_cohort(rows, persons, names).select("note_id", "person_id", "note_date", "note_class")
+
+
+def q_bundles(spark, sf):
+    """Episode bundles: identifiers, windows and the notes in order, told by their ids and lengths."""
+    anchor = anchored(spark, sf)
+    n = view(spark, sf, "note")
+    out = notes.bundles(anchor, notes.windows(anchor, n))
+    listed = F.array_join(F.transform("notes", lambda x: F.concat_ws(":", x["note_id"].cast("string"), F.length(x["text"]).cast("string"), x["is_anchor"].cast("int").cast("string"))), ",")
+    return out.select("episode", "episode_id", "anchor_note_id", "anchor_date", F.array_join("window", "/").alias("window"), "coder_gap_days", "anchor_suspect", "n_notes", listed.alias("notes"))
+
+
+def q_run_tally(spark, sf):
+    """Runs by status; an event of the type error is a failed one."""
+    return costs.tally(view(spark, sf, "run_metadata").withColumn("error", F.when(F.col("model") == "error", F.col("model"))))
+
+
 def q_posthoc_power(spark, sf):
     return power.posthoc(q_posthoc_counts(spark, sf))
 
@@ -636,6 +684,24 @@ ORACLES = {
         f"select a.pair as label, a.estimate, b.lo, b.hi, h.p_fdr < 0.05 as filled from (select pair, round((avg(dx) + avg(px)) / 2, 6) as estimate from below group by 1) a join (select pair, {_ends('(dx + px) / 2')} from draws group by 1) b on b.pair = a.pair join h2 h on h.pair = a.pair",
         _ANN, _pairs_sql(_H2_PAIRS), *_KAPPA, *_H2, *_boot("below", ("dx", "px")),
     ),
+    "q_candidate_lines": with_views(
+        """select episode as episode_id, pos - 1 as idx, concat('  [', pos - 1, '] ', case when kind = 'dx' then 'Diagnoses' else 'Procedures' end, ' | ', substr(lower(raw_code), 1, 80), ' | ', regexp_replace(upper(raw_code), '[^A-Z0-9]', '', 'g')) as line,
+ case when kind = 'dx' then 'disorder' else 'procedure' end as tag, false as no_code from annotation"""
+    ),
+    "q_linked": "select c.c_custkey, l.person from customer c left join (select o_custkey, arg_max(o_orderstatus, o_orderkey) as person from orders group by 1) l on l.o_custkey = c.c_custkey",
+    "q_excluded": with_views("select ep_key, nid from clinician_episode where nid not in (select nid from coder_admission)"),
+    "q_merged_labels": """with r as (select l_orderkey, l_partkey % 3 as text, cast(l_linenumber * 100000 + l_suppkey as bigint) as o, max(l_returnflag) as presence from lineitem group by all)
+ select l_orderkey, text, min(o) as ord, arg_max(presence, o) as presence from r group by l_orderkey, text""",
+    "q_cohort_notes": with_views(
+        """select note_id, note_id % 500 as person_id, note_date, n_name as note_class from note left join nation on n_nationkey = try_cast(regexp_extract(note_class, '([0-9]+)$', 1) as bigint) where note_id % 500 in (select s_suppkey from supplier)"""
+    ),
+    "q_bundles": with_views(
+        """select episode, concat(regexp_replace(cast(episode as varchar), '[^A-Za-z0-9]', '', 'g'), '_', strftime(anchor_date, '%Y%m%d')) as episode_id, anchor_id as anchor_note_id, anchor_date, concat(cast(anchor_date - interval 90 day as date), '/', cast(anchor_date + interval 30 day as date)) as "window",
+ gap as coder_gap_days, gap is null or gap > 45 as anchor_suspect, cast(count(*) as int) as n_notes, string_agg(concat(note_id, ':', length(note_text), ':', cast(note_id = anchor_id as int)), ',' order by note_date, note_id) as notes
+ from (select a.episode, a.note_id as anchor_id, a.note_date as anchor_date, a.gap, n.note_id, n.note_date, coalesce(n.note_text, '') as note_text from anchor a join note n on n.note_date between a.note_date - interval 90 day and a.note_date + interval 30 day) group by all""",
+        *_ANCHOR,
+    ),
+    "q_run_tally": with_views("select case when model = 'error' then 'failed' else 'ok' end as status, count(*) as n from run_metadata group by 1"),
     "q_linkage": "select ltrim(cast(o_custkey as varchar), '0') as nid, arg_max(o_orderstatus, o_orderkey) as person from orders group by 1",
 }
 

@@ -43,15 +43,20 @@ def pilot_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return csv_text(spark, path, columns, encoding="ISO-8859-1")
 
 
-def notes(spark: SparkSession, path: str, persons: DataFrame, concepts: str | None = None) -> DataFrame:
-    """Notes of the persons of a cohort (person_id), with note_class from the concept table."""
-    rows = spark.read.schema(NOTE).parquet(path).join(persons.select("person_id"), "person_id", "left_semi")
+def of_cohort(rows: DataFrame, persons: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """Notes of the persons of a cohort (person_id), with note_class from ``concepts`` (concept_id, concept_name), else the concept's number."""
+    rows = rows.join(persons.select("person_id"), "person_id", "left_semi")
     if concepts is None:
         return rows.withColumn("note_class", F.col("note_class_concept_id").cast("string")).drop("note_class_concept_id")
-    names = spark.read.schema(CONCEPT).parquet(concepts).dropDuplicates(["concept_id"]).withColumnsRenamed({"concept_id": "note_class_concept_id", "concept_name": "note_class"})
+    names = concepts.dropDuplicates(["concept_id"]).select(F.col("concept_id").alias("note_class_concept_id"), F.col("concept_name").alias("note_class"))
     return rows.join(names, "note_class_concept_id", "left").drop("note_class_concept_id")
 
 
+def notes(spark: SparkSession, path: str, persons: DataFrame, concepts: str | None = None) -> DataFrame:
+    """Notes of the persons of a cohort from parquet files, with note_class from those of the concept table."""
+    return of_cohort(spark.read.schema(NOTE).parquet(path), persons, concepts and spark.read.schema(CONCEPT).parquet(concepts))
+
+
 def bundles(spark: SparkSession, path: str, exclude: list[str] | None = None) -> DataFrame:
     """Episode bundles, one JSON document a file, without excluded ids (a stated list)."""
     rows = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema(BUNDLE).json(path)
