@@ -90,8 +90,8 @@ class TokenSearch:
         hits = asked.where(F.size("words") > 0).withColumn("key", key).join(index, "key").where((F.size(F.array_except("words", "has")) == 0) & (F.col("tag").isNull() | (F.col("tag") == F.col("kind"))))
         one = hits.groupBy("term", "tag", "concept_id").agg(F.min(F.struct(F.length("name").alias("n"), "name")).alias("best"))
         items = one.groupBy("term", "tag").agg(F.slice(F.array_sort(F.collect_list(F.struct("best.n", F.col("concept_id").cast("string").alias("id"), F.col("best.name").alias("term")))), 1, self.limit).alias("x"))
-        found = items.select("term", "tag", F.transform("x", lambda i: F.struct(i["id"].alias("id"), i["term"].alias("term"))).alias("items"))
-        return asked.select("term", "tag").join(found, (asked["term"] == found["term"]) & asked["tag"].eqNullSafe(found["tag"]), "left").select(asked["term"], asked["tag"], "items")
+        found = items.select(F.col("term").alias("_term"), F.col("tag").alias("_tag"), F.transform("x", lambda i: F.struct(i["id"].alias("id"), i["term"].alias("term"))).alias("items"))
+        return asked.join(found, (F.col("term") == F.col("_term")) & F.col("tag").eqNullSafe(F.col("_tag")), "left").select("term", "tag", "items")
 
 
 def simplified(response: DataFrame, items: str = "items") -> DataFrame:
@@ -139,8 +139,8 @@ def ground(labels: DataFrame, client: Client, searcher: TokenSearch, templates:
     state = labels.select(*key, "text", "context", F.col("text").alias("term"), semantic_tag(F.col("qualifier")).alias("tag"), F.array(F.lower(F.trim("text"))).alias("tried"))
     solved = None
     for turn in range(rounds):
-        found = searcher.search(state.select("term", "tag"))
-        offered = state.join(found.withColumnRenamed("tag", "_tag"), (state["term"] == found["term"]) & state["tag"].eqNullSafe(F.col("_tag"))).select(state["*"], "items")
+        found = searcher.search(state.select("term", "tag")).withColumnsRenamed({"term": "_term", "tag": "_tag"})
+        offered = state.join(found, (F.col("term") == F.col("_term")) & F.col("tag").eqNullSafe(F.col("_tag"))).drop("_term", "_tag")
         options = F.array_join(F.transform("items", lambda i: F.concat(F.lit("- ID: "), i["id"], F.lit(", Term: "), i["term"])), "\n")
         prompt = F.when(F.size(F.coalesce("items", F.array())) > 0, filled(templates["choose"], text=F.col("term"), context=F.col("context"), options=options)).otherwise(filled(templates["refine"], text=F.col("term"), context=F.col("context")))
         ready = offered.withColumn("prompt", prompt).withColumn("call", F.lit(100 + turn))
