@@ -82,9 +82,12 @@ _REST = rf"((?:{_INITIALS}{_PARTICLES}[  ]{_NAME}){{1,3}})"
 _PERSON = re.compile(rf"\b(?:({'|'.join(TITLES)})\b\.?|({'|'.join(_GENDER)})\b){_REST}")
 _CUED = re.compile(rf"(?:\b(?:{'|'.join(map(re.escape, CUES))}))\s+({_NAME})((?:{_INITIALS}{_PARTICLES}[  ]{_NAME}){{1,2}})")
 _WORD = re.compile(_NAME)
-_HINTS = re.compile("|".join(map(re.escape, (*TITLES, *_GENDER, *CUES))))
+# what a text must hold to be looked at closely; a pattern of capital first letters passes over most of a text quickly
+_HINTS = re.compile("|".join(sorted(re.escape(x) for x in (*TITLES, *_GENDER, *CUES) if x[0].isupper())))
+_LOW_CUES = tuple(x for x in CUES if not x[0].isupper())
 _HEXADECIMAL = re.compile("[0-9a-f]+|[0-9A-F]+")
-_DIGIT_OR_AT = re.compile(r"[0-9@]|(?i:secret|passw|token|auth|key)")
+_DIGIT_OR_AT = re.compile(r"[0-9@]")
+_SECRETS = ("secret", "passw", "token", "auth", "key")
 
 #: country calling codes of one and two digits; all others have three (fixed values)
 _SHORT_CODES = (
@@ -142,11 +145,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             taken.append((a, b))
             found.append((a, b, kind, value))
 
-    if _DIGIT_OR_AT.search(text):
-        for kind, pattern in _PATTERNS:
-            for m in pattern.finditer(text):
-                claim(*m.span(m.lastindex or 0), kind)
-    if not _HINTS.search(text):
+    digits, low = _DIGIT_OR_AT.search(text), text.lower()
+    secrets = any(x in low for x in _SECRETS)
+    for kind, pattern in _PATTERNS:
+        for m in pattern.finditer(text) if (secrets if kind == "secret" else digits) else ():
+            claim(*m.span(m.lastindex or 0), kind)
+    if not _HINTS.search(text) and not any(x in text for x in _LOW_CUES):
         return sorted(found)
     for m in _PERSON.finditer(text):
         title, given, _ = m.groups()
