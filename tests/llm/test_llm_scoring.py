@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kappaforge.llm import decontamination, labelled, license_templates, pii_surrogates, quality_gam, quality_rules, text_stats, toxicity_pu
 from kappaforge.llm.words import raw
@@ -139,6 +140,18 @@ def test_toxicity(spark):
     assert len({r.score for r in toxicity_pu.classify(docs, labels.where("toxic = 0")).collect()}) == 1
 
 
+def test_classifiers_of_long_and_no_texts(spark):
+    docs, labels = tables(spark)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["plain", "words", "and", "1.5", "Ünï", "x" * 50]) for _ in range(150_000)), "漢" * 400_000, None]
+    model = quality_rules.train(docs, labels)
+    for run in (lambda d: quality_gam.classify(d, labels), lambda d: toxicity_pu.classify(d, labels), lambda d: quality_rules.judge(d, model).withColumnRenamed("probability", "score")):
+        # the rows that are learned from stand beside them; an odd one has its copy's score
+        got = [r for r in run(docs.select("doc_id", "text").unionByName(odd(spark, texts).select(F.col("doc_id") + 10**9, "text").toDF("doc_id", "text"))).collect() if r.doc_id is not None and r.doc_id >= 10**9]
+        assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+        assert run(odd(spark, [])).count() == 0
+
+
 def test_nnpu_recovers_from_unlabelled():
     rng = np.random.default_rng(1)
     draw = lambda bad: np.unique(np.append(rng.integers(0, 500, 20), rng.integers(1000, 1005, 2) if bad else []).astype(np.int64))
