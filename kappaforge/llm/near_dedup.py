@@ -293,7 +293,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A task reads the text of ``a`` once, then those of up to about ``LED`` of its b.
     """
     # the pairs of a text that leads many go to several tasks
-    led = pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts"))
+    led = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts")), "led")
     own = pairs.join(led, "a").join(texts.select(F.col("node").alias("b"), "text"), "b")
     own = own.select("a", F.pmod(F.hash("b"), "parts").alias("part"), "b", "text")
     lead = led.join(texts.select(F.col("node").alias("a"), "text"), "a")
