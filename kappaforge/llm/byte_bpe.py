@@ -3,7 +3,8 @@
 Tier one is a minimal perfect hash over the vocabulary: it resolves, for all
 pieces of a block at once, those that are tokens themselves. Tier two merges
 the bytes of every other piece, kept as a linked list, in the order of a heap
-of pair ranks. Results of tier two are remembered in a bounded table.
+of pair ranks. Results of tier two are remembered in a bounded table. Hashes
+only point at a token or a remembered piece: its bytes are then compared.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from kappaforge.llm import pieces
-from kappaforge.llm.words import Poly, U, blocks, mix
+from kappaforge.llm.words import Hash, Remembered, U, blocks, distinct, mix, padded, same_bytes
 
-MEMO_BITS = 20
+#: slots of the table of remembered pieces, bytes of their texts, and their ids
+MEMO_BITS, MEMO_TEXT = 20, 1 << 24
 ARENA = 1 << 22
 BLOCK = 1 << 19
 #: leaves of the heaps that stand side by side; longer pieces have a heap of their own
@@ -74,6 +77,40 @@ class PerfectHash:
         return np.where(self.slot_key[slot] == keys, self.slot_item[slot], -1)
 
 
+class Pairs:
+    """A table of numbers by pairs of token numbers, looked up side by side: slots taken in turn, from the pair's own on."""
+
+    def __init__(self, found: dict[tuple[int, int], int]):
+        keys = np.fromiter((a << 32 | b for a, b in found), np.uint64, len(found))
+        values = np.fromiter(found.values(), np.int64, len(found))
+        self.mask = (1 << max(4, (2 * len(found)).bit_length())) - 1
+        self.key = np.full(self.mask + 1, U(2**64 - 1))
+        self.value = np.full(self.mask + 1, -1, np.int64)
+        slot = self._first(keys)
+        while len(keys):
+            free = np.flatnonzero(self.value[slot] < 0)
+            self.key[slot[free]], self.value[slot[free]] = keys[free], values[free]
+            left = np.flatnonzero(self.key[slot] != keys)
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys * _STEP) & U(self.mask)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number of every pair, -1 for those that have none."""
+        keys = left.astype(np.uint64) << U(32) | right.astype(np.uint64)
+        slot = self._first(keys)
+        out = np.where(self.key[slot] == keys, self.value[slot], -1)
+        going = np.flatnonzero((self.key[slot] != keys) & (self.value[slot] >= 0))
+        while len(going):
+            at = (slot[going] + 1) & self.mask
+            slot[going] = at
+            there = self.key[at] == keys[going]
+            out[going[there]] = self.value[at[there]]
+            going = going[~there & (self.value[at] >= 0)]
+        return out
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -82,23 +119,40 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         tokens = list(self.ranks)
         self.ids = np.fromiter(self.ranks.values(), np.int64, len(tokens))
-        self.poly = Poly(11)
-        buf = np.frombuffer(b"".join(tokens), np.uint8)
-        ends = np.cumsum([len(t) for t in tokens])
-        self.hash = PerfectHash(self.poly.words(buf, np.concatenate([[0], ends[:-1]]), ends))
+        self.room = padded(b"".join(tokens))
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+        for seed in count(11):  # the first seed that tells all tokens apart
+            self.hashing = Hash(seed)
+            keys = self.hashing.words(self.room[:-8], self.start, self.start + self.size)
+            if len(np.unique(keys)) == len(keys):
+                break
+        self.hash = PerfectHash(keys)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.bytes_of = [b""] * (int(self.ids.max()) + 1)
         for t, i in self.ranks.items():
             self.bytes_of[i] = t
+        get = self.ranks.get
+        pairs = ((get(t[:k]), get(t[k:]), i) for t, i in self.ranks.items() for k in range(1, len(t)))
+        self.pairs = Pairs({(a, b): i for a, b, i in pairs if a is not None and b is not None})
+        self.memo = Remembered(MEMO_BITS, MEMO_TEXT)
         self._forget()
 
     def _forget(self) -> None:
-        self.memo_key = np.zeros(1 << MEMO_BITS, np.uint64)
+        self.memo.forget()
         self.memo_at = np.zeros(1 << MEMO_BITS, np.int64)
         self.memo_n = np.zeros(1 << MEMO_BITS, np.int64)
         self.arena = np.zeros(ARENA, np.uint32)
         self.filled = 0
 
+    def tokens(self, keys: np.ndarray, room: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Number of the token that has the bytes of each piece, -1 for pieces that are none."""
+        item = self.hash.find(keys)
+        item[self.size[item] != sizes] = -1
+        may = np.flatnonzero(item >= 0)
+        item[may[~same_bytes(self.room, self.start[item[may]], room, starts[may], sizes[may])]] = -1
+        return item
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the heap gives the lowest-ranked pair, leftmost first."""
         get, n = self.ranks.get, len(piece)
@@ -139,7 +193,7 @@ class Codec:
             i = j
         return out
 
-    def merge_all(self, buf: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def merge_all(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, ids per piece), by heaps of equal width side by side."""
         size = ends - starts
         n = np.zeros(len(starts), np.int64)
@@ -147,7 +201,7 @@ class Codec:
         for width in WIDTHS:
             rows = np.flatnonzero((size > low) & (size <= width))
             if len(rows):
-                ids, n[rows] = self._merge_side_by_side(buf, sums, starts[rows], size[rows], width)
+                ids, n[rows] = self._merge_side_by_side(buf, starts[rows], size[rows], width)
                 done.append((rows, ids))
             low = width
         rows = np.flatnonzero(size > low)
@@ -162,7 +216,7 @@ class Codec:
             out[np.repeat(at[rows] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
         return out, n
 
-    def _merge_side_by_side(self, buf: np.ndarray, sums: np.ndarray, starts: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _merge_side_by_side(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """merge() of many short pieces at once.
 
         Each piece has a row of ``width`` bytes linked by ``after`` and ``before``
@@ -180,12 +234,12 @@ class Codec:
         leaf = np.full(rows * width, _NONE)
 
         def rank(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Leaf of the pair that covers bytes a to b and begins at a."""
-            found = self.hash.find(self.poly.at(sums, starts[row] + a, starts[row] + b))
-            return np.where(found >= 0, self.ids[found] << 6 | a, _NONE)
+            """Leaf of the pair of parts that begin at a and b."""
+            found = self.pairs.find(part[row * width + a], part[row * width + b])
+            return np.where(found >= 0, found << 6 | a, _NONE)
 
         row, a = np.nonzero(col + 1 < size[:, None])
-        leaf[row * width + a] = rank(row, a, a + 2)
+        leaf[row * width + a] = rank(row, a, a + 1)
         row = np.arange(rows)
         while len(row):
             heap = leaf.reshape(rows, width)[row] if len(row) < rows else leaf.reshape(rows, width)
@@ -205,11 +259,11 @@ class Codec:
             inner = np.flatnonzero(end < size[row])
             r, x, e = row[inner], i[inner], end[inner]
             before[r * width + e] = x
-            leaf[r * width + x] = rank(r, x, after[r * width + e])
+            leaf[r * width + x] = rank(r, x, e)
             h = before[base + i]
             inner = np.flatnonzero(h >= 0)
             r, x = row[inner], h[inner]
-            leaf[r * width + x] = rank(r, x, end[inner])
+            leaf[r * width + x] = rank(r, x, i[inner])
         return part[alive].astype(np.uint32), alive.reshape(rows, width).sum(1)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,40 +272,34 @@ class Codec:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(buf))
-        sums = self.poly.sums(self.poly.bytes[buf])
-        keys = self.poly.at(sums, starts, ends)
-        item = self.hash.find(keys)
+        sizes, room = ends - starts, padded(buf)
+        keys = self.hashing.words(buf, starts, ends)
+        item = self.tokens(keys, room, starts, sizes)
         known = item >= 0
         n = np.ones(len(keys), np.int64)
-        out_of = np.flatnonzero(~known)
         at = np.zeros(len(keys), np.int64)
+        out_of = np.flatnonzero(~known)
         if len(out_of):
-            slot = (keys[out_of] & U((1 << MEMO_BITS) - 1)).astype(np.int64)
-            missed = np.flatnonzero(self.memo_key[slot] != keys[out_of])
+            slot = self.memo.find(keys[out_of], room, starts[out_of], sizes[out_of])
+            at[out_of], n[out_of] = self.memo_at[slot], self.memo_n[slot]
+            missed = out_of[slot < 0]
             if len(missed):
-                _, first = np.unique(keys[out_of[missed]], return_index=True)
-                new = out_of[missed[first]]
-                merged, sizes = self.merge_all(buf, sums, starts[new], ends[new])
-                total = len(merged)
-                if self.filled + total > len(self.arena):
+                rows, which = distinct(keys[missed], room, starts[missed], sizes[missed])
+                new = missed[rows]
+                merged, own = self.merge_all(buf, starts[new], ends[new])
+                if self.filled + len(merged) > len(self.arena) or self.memo.filled + int(sizes[new].sum()) > self.memo.room:
                     if self.filled:
                         self._forget()
                         return self.encode(buf, offsets)
-                    self.arena = np.zeros(total, np.uint32)
-                self.arena[self.filled : self.filled + total] = merged
-                where = self.filled + np.cumsum(sizes) - sizes
-                self.filled += total
-                new_keys = keys[new]
-                order = np.argsort(new_keys)
-                found = order[np.searchsorted(new_keys[order], keys[out_of[missed]])]
-                at[out_of[missed]], n[out_of[missed]] = where[found], sizes[found]
-                s = (new_keys & U((1 << MEMO_BITS) - 1)).astype(np.int64)
-                hit = np.ones(len(out_of), bool)
-                hit[missed] = False
-                at[out_of[hit]], n[out_of[hit]] = self.memo_at[slot[hit]], self.memo_n[slot[hit]]
-                self.memo_key[s], self.memo_at[s], self.memo_n[s] = new_keys, where, sizes
-            else:
-                at[out_of], n[out_of] = self.memo_at[slot], self.memo_n[slot]
+                    if len(merged) > len(self.arena):
+                        self.arena = np.zeros(len(merged), np.uint32)
+                self.arena[self.filled : self.filled + len(merged)] = merged
+                where = self.filled + np.cumsum(own) - own
+                self.filled += len(merged)
+                at[missed], n[missed] = where[which], own[which]
+                slot = self.memo.put(keys[new], room, starts[new], sizes[new])
+                stays = slot >= 0
+                self.memo_at[slot[stays]], self.memo_n[slot[stays]] = where[stays], own[stays]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = np.empty(int(total[-1]), np.uint32)
         ids[total[:-1][known]] = self.ids[item[known]]

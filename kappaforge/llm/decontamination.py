@@ -32,12 +32,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kappaforge.llm.store import unused, written
-from kappaforge.llm.words import ALNUM_LOWER, LOWER, Poly, U, blocks, spans, window_starts
+from kappaforge.llm.words import ALNUM_LOWER, LOWER, Hash, U, blocks, spans, window_starts
 
 MIN_TILE, THRESHOLD = 5, 0.5
 #: words of a benchmark that is broadcast, and bits of the filter of a larger one
 MAX_BROADCAST, FILTER_BITS = 1_000_000, 24
-_WORD, _SEED = Poly(51), Poly(52)
+_WORD, _SEED = Hash(51), Hash(52)
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003
 
 

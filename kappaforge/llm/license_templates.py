@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kappaforge.llm.words import ALNUM_LOWER, LOWER, Poly, U, blocks, spans, window_starts
+from kappaforge.llm.words import ALNUM_LOWER, LOWER, Hash, U, blocks, spans, window_starts
 
 #: base phrases and their labels (fixed values)
 PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -83,7 +83,7 @@ TEMPLATES = {
 }
 
 ANCHOR = 3
-_WORD, _RUN = Poly(61), Poly(62)
+_WORD, _RUN = Hash(61), Hash(62)
 _BITS = 20
 _TOKEN = re.compile(r"\[\[|\]\]|\{\{[^}]*\}\}|[^\s\[\]{}]+")
 

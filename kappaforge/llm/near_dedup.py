@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from kappaforge.llm.components import components
 from kappaforge.llm.store import dropped, release, unused, written
-from kappaforge.llm.words import NON_SPACE, Poly, U, blocks, mix, spans, window_starts
+from kappaforge.llm.words import NON_SPACE, Hash, U, blocks, mix, spans, window_starts
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 96, 24
@@ -46,7 +46,7 @@ STAR_ROUNDS = 3
 SKETCH = 16
 #: slots of the table that orders shingles, and pairs of one leader in a task
 SLOTS, LED = 1 << 18, 200
-_WORD, _SHINGLE = Poly(91), Poly(92)
+_WORD, _SHINGLE = Hash(91), Hash(92)
 _STEP = U(0xA0761D6478BD642F)
 
 

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from kappaforge.llm.labelled import first_by_hash, known_labels, sampled
 from kappaforge.llm.text_stats import base_counts
-from kappaforge.llm.words import NON_SPACE, Poly, U, blocks, code_points, mix, spans, window_starts
+from kappaforge.llm.words import NON_SPACE, Hash, U, blocks, code_points, mix, spans, window_starts
 
 BITS = 16
 MAX_ROWS, MAX_CALIBRATION = 1200, 4000
 THRESHOLD = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MODULUS, HELD_OUT = 4, 2
-_WORD, _PAIR = Poly(31), Poly(32)
+_WORD, _PAIR = Hash(31), Hash(32)
 _STEP = U(0x9E3779B97F4A7C15)
 _FAMILIES = 4
 #: entries of a step of the fit, so that its temporaries stay small beside the rows

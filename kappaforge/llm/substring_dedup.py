@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kappaforge.llm.store import release, written
-from kappaforge.llm.words import NON_SPACE, Poly, blocks, spans, window_starts
+from kappaforge.llm.words import NON_SPACE, Hash, blocks, spans, window_starts
 
 WIDTH = 50
 #: perfect difference sets: period -> cover (fixed values)
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
-_WORD, _ANCHOR, _LOW, _HIGH = Poly(71), Poly(72), Poly(73), Poly(74)
+#: windows are told by hashes that have nothing in common, of words that are hashed twice
+_WORD, _OTHER, _ANCHOR, _LOW, _HIGH = Hash(71), Hash(75), Hash(72), Hash(73), Hash(74)
 
 
 def period_for(width: int) -> int:
@@ -55,14 +56,15 @@ def _anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return _ANCHOR.slices(words, at, at + size), at, doc
 
 
-def _windows(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits that stand for the word sequence of each window."""
-    return _LOW.slices(words, at, at + width).view(np.int64), (_HIGH.slices(words, at, at + width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _windows(words: np.ndarray, others: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that stand for the word sequence of each window: 64 by one hash of the words, 32 by another."""
+    return _LOW.slices(words, at, at + width).view(np.int64), (_HIGH.slices(others, at, at + width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _hashed(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, another hash of every word, number of each text's first word)."""
     starts, ends, first = spans(buf, offsets, NON_SPACE)
-    return _WORD.words(buf, starts, ends), first
+    return _WORD.words(buf, starts, ends), _OTHER.words(buf, starts, ends), first
 
 
 def _list_of(column: pa.Array, i: int) -> np.ndarray:
@@ -97,8 +99,8 @@ def earlier_windows(docs: DataFrame, classes: DataFrame, width: int = WIDTH) ->
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, offsets in blocks(batch, "_text"):
-                words, first = _hashed(rows, buf, offsets)
-                keys, _, doc = _anchors(words, first, width)
+                starts, ends, first = spans(buf, offsets, NON_SPACE)
+                keys, _, doc = _anchors(_WORD.words(buf, starts, ends), first, width)
                 order = np.lexsort((keys, doc))
                 keys, doc = keys[order], doc[order]
                 once = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))[: len(keys)]
@@ -116,7 +118,7 @@ def earlier_windows(docs: DataFrame, classes: DataFrame, width: int = WIDTH) ->
         period = period_for(width)
         for batch in batches:
             for rows, buf, offsets in blocks(batch, "_text"):
-                words, first = _hashed(rows, buf, offsets)
+                words, others, first = _hashed(buf, offsets)
                 keys, at, doc = _anchors(words, first, width)
                 known = rows.column("anchors")
                 hit = np.zeros(len(words) + 1, np.int64)
@@ -127,7 +129,7 @@ def earlier_windows(docs: DataFrame, classes: DataFrame, width: int = WIDTH) ->
                     np.add.at(hit, found + 1, -1)
                 starts, doc = window_starts(first, width)
                 use = (np.cumsum(hit) > 0)[starts]  # windows that hold a shared anchor
-                low, high = _windows(words, starts[use], width)
+                low, high = _windows(words, others, starts[use], width)
                 key = np.stack([doc[use], low, high.astype(np.int64)])
                 once = np.unique(key, axis=1) if key.shape[1] else key
                 yield pa.RecordBatch.from_arrays([pa.array(once[1]), pa.array(once[2].astype(np.int32)), rows.column("doc_id").take(pa.array(once[0]))], names=["low", "high", "doc_id"])
@@ -159,7 +161,7 @@ def deduplicate(docs: DataFrame, text: str = "text", width: int = WIDTH, with_te
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, offsets in blocks(batch, "_text"):
-                hashes, first = _hashed(rows, buf, offsets)
+                hashes, others, first = _hashed(buf, offsets)
                 text = buf.tobytes()
                 n, removed, sha, kept = np.diff(first), [], [], []
                 for d in range(rows.num_rows):
@@ -170,7 +172,7 @@ def deduplicate(docs: DataFrame, text: str = "text", width: int = WIDTH, with_te
                         gone, words = len(words), []
                     elif len(low) and len(words) >= width:
                         at = np.arange(first[d], first[d + 1] - width + 1)
-                        mine_low, mine_high = _windows(hashes, at, width)
+                        mine_low, mine_high = _windows(hashes, others, at, width)
                         bad = np.zeros((len(low), 2), np.int64)
                         bad[:, 0], bad[:, 1] = low, _list_of(rows.column("high"), d)
                         mine = np.stack([mine_low, mine_high.astype(np.int64)], 1)

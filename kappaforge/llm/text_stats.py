@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from kappaforge.llm.words import NON_SPACE, U, Poly, byte_table, mix, spans, window_starts
+from kappaforge.llm.words import NON_SPACE, U, Hash, byte_table, mix, spans, window_starts
 
-_WORD, _LINE, _SEQ = Poly(21), Poly(22), Poly(23)
+_WORD, _LINE, _SEQ = Hash(21), Hash(22), Hash(23)
 _SYMBOLS = byte_table(b"#*$%&|<>")
 _UPPER = byte_table(range(0x41, 0x5B))
 _DIGIT = byte_table(range(0x30, 0x3A))

@@ -2,8 +2,8 @@
 
 Texts are split into the pieces that the tokenizer merges separately. The
 tokenizers library counts each distinct piece once; a bounded table remembers
-the counts. A text with a special string of the tokenizer goes through the
-library whole.
+the counts with the pieces' bytes. Special strings of the tokenizer are one
+token each, and what stands between them is counted by itself.
 
 A document longer than ``chunk`` bytes is encoded as overlapping chunks with
 offsets. Neighbours are spliced at a position inside their overlap where both
@@ -17,6 +17,7 @@ rest of the document. Counts equal those of encoding the whole text.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kappaforge.llm import pieces
-from kappaforge.llm.words import Poly, U, blocks, byte_table
+from kappaforge.llm.words import Hash, Remembered, blocks, byte_table, distinct, padded
 
 CHUNK, OVERLAP, AGREE = 1 << 16, 256, 2
-MEMO_BITS = 20
+MEMO_BITS, MEMO_TEXT = 20, 1 << 24
 BLOCK = 1 << 19
 _LETTER = byte_table([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 
@@ -42,10 +43,14 @@ class Counter:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.poly = Poly(81)
-        self.key = np.zeros(1 << MEMO_BITS, np.uint64)
-        self.count = np.zeros(1 << MEMO_BITS, np.int32)
+        added = self.library.get_added_tokens_decoder().values()
+        self.special = [t.content.encode() for t in added if t.content]
+        #: whether special strings take nothing of the text around them, so that a text may be cut there
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added) and self.library.normalizer is None
+        self.cut = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
+        self.hashing = Hash(81)
+        self.memo = Remembered(MEMO_BITS, MEMO_TEXT)
+        self.count = np.zeros(1 << MEMO_BITS, np.int64)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start of every piece, its number of tokens)."""
@@ -53,18 +58,21 @@ class Counter:
         if not len(starts):
             return starts, np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(buf))
-        keys = self.poly.words(buf, starts, ends)
-        slot = (keys & U((1 << MEMO_BITS) - 1)).astype(np.int64)
-        counts = self.count[slot].astype(np.int64)
-        missed = np.flatnonzero(self.key[slot] != keys)
+        keys, room, sizes = self.hashing.words(buf, starts, ends), padded(buf), ends - starts
+        slot = self.memo.find(keys, room, starts, sizes)
+        counts = self.count[slot]
+        missed = np.flatnonzero(slot < 0)
         if len(missed):
-            new_keys, first, which = np.unique(keys[missed], return_index=True, return_inverse=True)
+            rows, which = distinct(keys[missed], room, starts[missed], sizes[missed])
+            new = missed[rows]
             text = buf.tobytes()
-            new = missed[first]
             got = self.library.encode_batch_fast([text[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())], add_special_tokens=False)
             n = np.fromiter(map(len, got), np.int64, len(got))
             counts[missed] = n[which]
-            self.key[slot[new]], self.count[slot[new]] = new_keys, n
+            if self.memo.filled + int(sizes[new].sum()) > self.memo.room:
+                self.memo.forget()
+            slot = self.memo.put(keys[new], room, starts[new], sizes[new])
+            self.count[slot[slot >= 0]] = n[slot >= 0]
         return starts, counts
 
     def totals(self, buf: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
@@ -79,13 +87,19 @@ class Counter:
         for d in huge:
             out[d] = count_spliced(self, buf[offsets[d] : offsets[d + 1]], chunk, overlap)
         text = buf.tobytes()
-        if any(s in text for s in self.special):
+        if self.cut.search(text):
             for d in range(len(size)):
                 own = text[offsets[d] : offsets[d + 1]]
-                if any(s in own for s in self.special):
-                    out[d] = len(self.library.encode(own.decode("utf-8", "replace"), add_special_tokens=False))
+                if self.cut.search(own):
+                    out[d] = self._around(own, chunk, overlap) if self.plain else len(self.library.encode(own.decode("utf-8", "replace"), add_special_tokens=False))
         return out
 
+    def _around(self, text: bytes, chunk: int, overlap: int) -> int:
+        """Tokens of a text with special strings: the leftmost, of those the longest, count one each."""
+        between, special = self.cut.split(text), len(self.cut.findall(text))
+        ends = np.cumsum([len(x) for x in between])
+        return special + int(self.totals(np.frombuffer(b"".join(between), np.uint8), np.append(0, ends), chunk, overlap).sum())
+
 
 def _cut(buf: np.ndarray, at: int) -> int:
     """``at``, or the first byte of the character there."""

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kappaforge.llm.labelled import first_by_hash, known_labels, remainder, sampled, split_column
-from kappaforge.llm.words import ALNUM_LOWER, LOWER, Poly, U, blocks, spans
+from kappaforge.llm.words import ALNUM_LOWER, LOWER, Hash, U, blocks, spans
 
 BITS = 22
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 MIN_RATIO, MIN_Z = 1.5, 4.0
-_WORD = Poly(41)
+_WORD = Hash(41)
 
 
 def _buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ long document is one block of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,38 +100,138 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Poly:
-    """Polynomial hashes modulo 2**64 of slices, from running sums and inverse powers."""
+def padded(data: bytes | np.ndarray) -> np.ndarray:
+    """A copy of the bytes with eight zeros behind, so that eight can be read from any place."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    out[:-8] = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    return out
+
+
+#: masks that keep the first 0 to 8 bytes of a lane
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def lanes(room: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Up to eight bytes (fewer where ``sizes`` has less) from each place of a padded buffer, as one number."""
+    every = np.ndarray(len(room) - 7, "<u8", room, strides=(1,))
+    return every[starts] & _FIRST[np.minimum(sizes, 8)]
+
+
+def same_bytes(room_a: np.ndarray, at_a: np.ndarray, room_b: np.ndarray, at_b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``sizes`` bytes at places of two padded buffers are equal."""
+    equal = np.ones(len(sizes), bool)
+    left, k = np.flatnonzero(sizes > 0), 0
+    while len(left):
+        n = sizes[left] - k
+        equal[left] = lanes(room_a, at_a[left] + k, n) == lanes(room_b, at_b[left] + k, n)
+        k += 8
+        left = left[equal[left] & (sizes[left] > k)]
+    return equal
+
+
+class Hash:
+    """Seeded 64-bit hashes of byte strings and of runs of numbers.
+
+    Every step mixes before the next one adds to it, so that no sum or product of
+    the parts decides the hash: a polynomial modulo 2**64 is equal for some short
+    strings of two letters whatever its base.
+    """
+
+    #: bytes of a string that is hashed beside others; a longer one is hashed by itself
+    SHORT = 256
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.bytes = rng.integers(0, 1 << 64, 256, np.uint64) | U(1)
-        self.base = int(rng.integers(0, 1 << 62)) * 4 + 3
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(2 * BLOCK_BYTES, int(n * 1.25) + 2)
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.full(size, U(b), np.uint64)]).cumprod(dtype=np.uint64) for b in (self.base, self.inverse))
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Running sums from which at() takes the hash of any slice."""
-        n = len(values)
-        self._powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.up[:n], dtype=np.uint64, out=sums[1:])
-        return sums
-
-    def at(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Mixed hash of values[start:end] for every pair."""
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _MULT)
+        self.key = rng.bytes(16)
+        self.seed, self.pair, self.step = (U(int(x) * 4 + 3) for x in rng.integers(0, 1 << 62, 3))
 
-    def slices(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.at(self.sums(values), starts, ends)
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x = left * self.pair + right
+        x ^= x >> U(32)
+        x *= self.step
+        return x
 
     def words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.slices(self.bytes[buf], starts, ends)
+        """Hash of buf[start:end] for every pair."""
+        room, sizes = padded(buf), ends - starts
+        out = mix(sizes.astype(np.uint64) * _MULT + self.seed)
+        left, k = np.flatnonzero((sizes > 0) & (sizes <= self.SHORT)), 0
+        while len(left):
+            out[left] = self._joined(out[left], lanes(room, starts[left] + k, sizes[left] - k))
+            k += 8
+            left = left[sizes[left] > k]
+        for i in np.flatnonzero(sizes > self.SHORT).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(room[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
+        return mix(out)
+
+    def slices(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of values[start:end] for every pair, from hashes of runs of 1, 2, 4, ... values."""
+        sizes = ends - starts
+        out = np.full(len(starts), self.seed)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size) if len(sizes) and (sizes[0] != size or sizes.min() != sizes.max()) else slice(None)
+            at, have, run, part = starts[rows], 0, values ^ self.seed, 1
+            found = np.full(len(at), U(size))
+            while True:
+                if size & part:
+                    found = self._joined(found, run[at + have])
+                    have += part
+                if have == size:
+                    break
+                run = self._joined(run[:-part], run[part:])
+                part *= 2
+            out[rows] = mix(found)
+        return out
+
+
+class Remembered:
+    """A bounded table of byte strings. A string is known only if its bytes are those of the table."""
+
+    def __init__(self, bits: int, room: int):
+        self.bits, self.room = bits, room
+        self.forget()
+
+    def forget(self) -> None:
+        self.size = np.full(1 << self.bits, -1, np.int64)
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int64)
+        self.text = np.zeros(self.room + 8, np.uint8)
+        self.filled = 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & U((1 << self.bits) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, room: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The slot of every string of a padded buffer, -1 for one that is not known."""
+        slot = self.slots(keys)
+        slot[(self.key[slot] != keys) | (self.size[slot] != sizes)] = -1
+        may = np.flatnonzero(slot >= 0)
+        slot[may[~same_bytes(self.text, self.at[slot[may]], room, starts[may], sizes[may])]] = -1
+        return slot
+
+    def put(self, keys: np.ndarray, room: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The slots that strings take now, or -1 for those that do not stay: of one slot the last, and none that the table has no room for."""
+        slot = self.slots(keys)
+        _, last = np.unique(slot[::-1], return_index=True)
+        stays = np.zeros(len(slot), bool)
+        stays[len(slot) - 1 - last] = True
+        stays[np.cumsum(np.where(stays, sizes, 0)) > self.room - self.filled] = False
+        rows = np.flatnonzero(stays)
+        n = sizes[rows]
+        at = self.filled + np.cumsum(n) - n
+        total = int(n.sum())
+        self.text[self.filled : self.filled + total] = room[np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(total)]
+        self.filled += total
+        self.key[slot[rows]], self.size[slot[rows]], self.at[slot[rows]] = keys[rows], n, at
+        return np.where(stays, slot, -1)
+
+
+def distinct(keys: np.ndarray, room: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of distinct strings of a padded buffer, for every row the place of its string among them)."""
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    odd = np.flatnonzero((sizes != sizes[first[which]]) | ~same_bytes(room, starts, room, starts[first[which]], np.minimum(sizes, sizes[first[which]])))
+    which[odd] = len(first) + np.arange(len(odd))  # equal keys of different strings
+    return np.append(first, odd), which
 
 
 def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from kappaforge.llm import components, near_dedup, registry, substring_dedup
-from kappaforge.llm.words import Poly
+from kappaforge.llm.words import Hash
 
 DOCS = "doc_id long, text string, lang string, _text string, anchors string, node string, label string"
 
@@ -85,7 +85,7 @@ def test_covers():
 
 def test_hash_of_slices():
     buf = np.frombuffer(b"abc abc abd", np.uint8)
-    h = Poly(1).words(buf, np.array([0, 4, 8]), np.array([3, 7, 11]))
+    h = Hash(1).words(buf, np.array([0, 4, 8]), np.array([3, 7, 11]))
     assert h[0] == h[1] != h[2]
 
 
@@ -314,3 +314,20 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(31)} | {50: 50, 75: 50, 100: 50, 200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_windows_that_differ_in_one_likely_colliding_word(spark):
+    """Two words of 1,024 letters that a polynomial modulo 2**64 gives one hash."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    same = " ".join(f"w{k}" for k in range(49))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.deduplicate(frame(spark, [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{same} {x}")])).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_one_very_long_text(spark):
+    """A passage of 60 words in the middle of 200,000 others."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    words = " ".join(f"u{k}" for k in range(100_000))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.deduplicate(frame(spark, [(1, passage), (2, f"{words} {passage} {words[::-1]}")])).collect()}
+    assert got == {1: (60, 0), 2: (200_060, 60)}

@@ -57,7 +57,7 @@ def test_heaps_agree_and_small_tables_suffice(monkeypatch):
     some = [b"thndorerst", b"x" * 5, bytes(range(33, 97)), bytes(range(160, 250)), b"inghe", "漢字漢字".encode()]
     buf = np.frombuffer(b"".join(some), np.uint8)
     ends = np.cumsum([len(s) for s in some])
-    ids, n = c.merge_all(buf, c.poly.sums(c.poly.bytes[buf]), ends - [len(s) for s in some], ends)
+    ids, n = c.merge_all(buf, ends - [len(s) for s in some], ends)
     assert ids.tolist() == [i for s in some for i in c.merge(s)] and n.tolist() == [len(c.merge(s)) for s in some]
     monkeypatch.setattr(byte_bpe, "ARENA", 4)
     c._forget()
@@ -90,3 +90,53 @@ def test_blocks_cover_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * k for k in (0, 5, 900, 0, 3)])], names=["text"])
     parts = [(rows.num_rows, bytes(buf)) for rows, buf, _ in blocks(batch, "text", 10)]
     assert sum(n for n, _ in parts) == 5 and b"".join(b for _, b in parts) == b"a" * 908
+
+
+def morse(letters, n):
+    """The Thue-Morse string of two letters, and its complement: a polynomial modulo 2**64 gives both one hash from some length on."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 64, 512, 1024, 4096])
+def test_texts_like_each_other_do_not_take_each_others_ids(spark, n):
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.codec(path).ranks, special_tokens={})
+    pair = morse("ab", n)
+    got = byte_bpe.encode(docs(spark, pair).coalesce(1), path).orderBy("doc_id").collect()
+    assert [r.ids for r in got] == [library.encode_ordinary(t) for t in pair]
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, pair = token_counts.counter(path).library, morse("et", n)
+    got = token_counts.count_tokens(docs(spark, pair).coalesce(1), path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(library.encode(t, add_special_tokens=False)) for t in pair]
+
+
+def test_equal_hashes_are_no_equal_pieces(monkeypatch):
+    """Every piece of a length has one hash: the bytes alone tell them apart."""
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    c, k = byte_bpe.codec(path), token_counts.counter(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["qzxv jjkq wwyz qzxv zzzz", "vvqz qzxv kqjj"]
+    buf, offsets = raw(pa.array(texts, pa.large_string()))
+    want = [x.tolist() for x in c.encode(buf, offsets)], k.totals(buf, offsets).tolist()
+    flat = lambda self, buf, starts, ends: (ends - starts).astype(np.uint64)
+    monkeypatch.setattr(byte_bpe.Hash, "words", flat)
+    monkeypatch.setattr(c, "hash", byte_bpe.PerfectHash(np.unique(np.arange(1, 4).astype(np.uint64))))
+    for memo in (c.memo, k.memo):
+        memo.forget()
+    tokens = {t: i for i, t in enumerate(c.ranks)}
+    monkeypatch.setattr(c, "tokens", lambda keys, room, starts, sizes: np.array([tokens.get(room[a : a + n].tobytes(), -1) for a, n in zip(starts, sizes)]))
+    for _ in range(2):  # the second time the tables know some of them
+        assert ([x.tolist() for x in c.encode(buf, offsets)], k.totals(buf, offsets).tolist()) == want
+    monkeypatch.undo()
+    for memo in (c.memo, k.memo):
+        memo.forget()
+
+
+def test_long_texts_are_spliced_at_the_real_size(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = token_counts.counter(path).library
+    long = "".join(f"word{k % 977} and {'x' * (k % 40)} thndor, " for k in range(12_000))
+    texts = [long, "é" * 100_000, "a" * 150_000, long[:70_000] + "<|endoftext|>" + long[:90_000] + "<|endoftext|>", " " * 140_000 + "b"]
+    assert min(len(t.encode()) for t in texts) > 2 * token_counts.CHUNK
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs(spark, texts), path).collect()}
+    assert got == {k: len(library.encode(t, add_special_tokens=False)) for k, t in enumerate(texts)}
