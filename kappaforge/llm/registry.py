@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kappaforge.llm import byte_bpe, decontamination, license_templates, near_dedup, pii_surrogates, quality_gam, quality_rules, substring_dedup, token_counts, toxicity_pu
+from kappaforge.llm import byte_bpe, decontamination, lexical_search, license_templates, merkle_manifest, near_dedup, oracles, pii_surrogates, quality_gam, quality_rules, simhash, substring_dedup, token_counts, toxicity_pu
 from kappaforge.llm.store import table
 
 
@@ -71,17 +71,26 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every row of ``documents`` by fingerprints. Nulls, ties and repeated rows are as the operator says."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of ``documents`` for every item of ``benchmark``. Nulls, ties and repeated rows are as the operator says."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof and drill of every row of ``documents`` against the manifest. Nulls, ties and repeated rows are as the operator says."""
+    return merkle_manifest.drill(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_substring_dedup, op2_license_templates, op3_pii_surrogates, op4_quality_gam, op5_byte_bpe,
     op6_quality_rules, op7_toxicity_pu, op8_probminhash, op9_token_counts, op10_string_tiling,
+    op11_simhash, op12_lexical_search, op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-_OP1 = r"""with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
- windows as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
- firsts as (select h, min(doc_id) as first_id from windows group by h having min(doc_id) < max(doc_id)),
- gone as (select distinct doc_id, unnest(range(i, i + 50)) as i from (select doc_id, i from windows join firsts using (h) where first_id < doc_id)),
- words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
- kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by i) as body from words anti join gone using (doc_id, i) group by doc_id)
- select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id"""
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op12_lexical_search": oracles.OP12, "op13_merkle_manifest": oracles.OP13}

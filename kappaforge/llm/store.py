@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import shutil
@@ -31,9 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    atexit.register(_last, out)
     return out
 
 
+def _last(df: DataFrame) -> None:
+    """What no operator could delete, as its result still read it, goes when the driver ends."""
+    with contextlib.suppress(Exception):  # the session's Java side may be gone
+        dropped(df)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete the files of tables from written() that nothing reads any more."""
     for df in frames:
