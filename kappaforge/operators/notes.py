@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kappaforge.functions.codes import episode_id
-from kappaforge.functions.texts import MIN_PROBE, canon, probe
+from kappaforge.functions.texts import canon, probe
+from kappaforge.operators.asof import around
+from kappaforge.operators.containment import contained
+from kappaforge.sources.scratch import kept
 
 PRE_DAYS, POST_DAYS, SUSPECT_DAYS = 90, 30, 45
-#: characters of the piece of a word that is a key: the longer of a probe's two words has as many
-PIECE = MIN_PROBE // 2
-
-
-def probe_key(probe: Column) -> Column:
-    """One of the keys that note_keys gives every note which contains the probe.
-
-    A probe may begin and end inside words, so only words in between are whole:
-    two of them, or the one. Of two words the longer one, over half of the probe,
-    ends or begins a note's word; a single word lies inside of one.
-    """
-    w = F.split(probe, " +")
-    n, first, second = F.size(w), F.get(w, F.lit(0)), F.get(w, F.lit(1))
-    return (
-        F.when(n > 3, F.concat_ws(" ", F.lit("p"), second, F.get(w, F.lit(2)))).when(n == 3, F.concat_ws(" ", F.lit("w"), second))
-        .when((n == 2) & (F.length(first) >= PIECE), F.concat_ws(" ", F.lit("e"), F.right(first, F.lit(PIECE)))).when(n == 2, F.concat_ws(" ", F.lit("b"), F.left(second, F.lit(PIECE))))
-        .otherwise(F.concat_ws(" ", F.lit("i"), F.left(first, F.lit(PIECE))))
-    )
-
-
-def note_keys(canon: Column) -> Column:
-    """The keys of a note: its pairs of words, words, their first and last letters, and the pieces of long words."""
-    w = F.split(canon, " +")
-    less = F.greatest(F.size(w) - 1, F.lit(0))
-    long_ = F.filter(w, lambda x: F.length(x) >= PIECE)
-    tag = lambda kind, values: F.transform(values, lambda x: F.concat_ws(" ", F.lit(kind), x))
-    pairs = F.zip_with(F.slice(w, 1, less), F.slice(w, 2, less), lambda x, y: F.concat_ws(" ", F.lit("p"), x, y))
-    inside = F.flatten(F.transform(F.filter(w, lambda x: F.length(x) >= MIN_PROBE), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - PIECE + 1), lambda k: F.concat_ws(" ", F.lit("i"), F.substr(x, k, F.lit(PIECE))))))
-    return F.array_distinct(F.concat(pairs, tag("w", w), tag("e", F.transform(long_, lambda x: F.right(x, F.lit(PIECE)))), tag("b", F.transform(long_, lambda x: F.left(x, F.lit(PIECE)))), inside))
 
 
 def anchors(notes: DataFrame, snippets: DataFrame, coder_dates: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -45,30 +19,25 @@ def anchors(notes: DataFrame, snippets: DataFrame, coder_dates: DataFrame, on: l
 
     ``notes`` has note_id, note_date, note_text; ``snippets`` has episode and
     snippet (repeats count); ``coder_dates`` has episode and adm. ``on`` names
-    columns that notes and snippets share, such as person_id, and makes the
-    containment join an equi-join with a residual condition. Without it, distinct
-    probes meet note ids on a key, no text beside them, and the texts of the notes
-    that share a key are looked at afterwards.
-    Ties go to the smallest gap to a coder date, then the date, then the note_id.
+    columns that notes and snippets share, such as person_id; a note and a snippet
+    then meet only within them. One pass over the notes finds the probes that each
+    contains, and only these are joined. Ties go to the smallest gap to a coder
+    date, then the date, then the note_id.
     """
     probes = snippets.withColumn("probe", probe(canon(F.col("snippet")))).where("probe is not null")
     tried = probes.groupBy("episode").agg(F.count("*").alias("tried"))
     asked = probes.groupBy("episode", "probe", *(on or [])).agg(F.count("*").alias("n"))
     texts = notes.select("note_id", "note_date", *(on or []), canon(F.col("note_text")).alias("canon"))
-    if on:
-        pairs = asked.join(texts, on).where(F.contains("canon", "probe"))
-    else:
-        keyed = asked.select("probe").distinct().withColumn("k", probe_key(F.col("probe")))
-        grams = texts.select("note_id", F.explode(note_keys(F.col("canon"))).alias("k"))
-        met = grams.join(keyed, "k").select("note_id", "probe").distinct()
-        pairs = met.join(texts, "note_id").where(F.contains("canon", "probe")).join(asked, "probe")
-    hits = pairs.groupBy("episode", "note_id", "note_date").agg(F.sum("n").alias("matched"))
-    days = coder_dates.groupBy("episode").agg(F.collect_set("adm").alias("dates"))
-    gap = F.array_min(F.transform("dates", lambda d: F.abs(F.datediff("note_date", d))))
-    ranked = hits.join(days, "episode", "left").withColumn("gap", gap)
-    best = F.min(F.struct((-F.col("matched")).alias("m"), F.coalesce("gap", F.lit(2**31 - 1)).alias("g"), "note_date", "note_id", "gap"))
-    out = ranked.groupBy("episode").agg(best.alias("b")).join(tried, "episode")
-    return out.select("episode", "b.note_id", "b.note_date", (-F.col("b.m")).alias("matched"), "tried", "b.gap")
+    pairs = contained(texts, "canon", asked).join(asked, ["probe", *(on or [])])
+    hits = kept(pairs.groupBy("episode", "note_id", "note_date").agg(F.sum("n").alias("matched")))
+    most = hits.groupBy("episode").agg(F.max("matched").alias("matched"))
+    best = hits.join(most, ["episode", "matched"])
+    near = around(best, coder_dates, ["episode"], "note_date", "adm")
+    gap = F.least(F.datediff("note_date", "before"), F.datediff("after", "note_date"))
+    ranked = best.join(near.select("episode", "note_date", gap.alias("gap")), ["episode", "note_date"], "left")
+    first = F.min(F.struct(F.coalesce("gap", F.lit(2**31 - 1)).alias("g"), "note_date", "note_id", "gap", "matched"))
+    out = ranked.groupBy("episode").agg(first.alias("b")).join(tried, "episode")
+    return out.select("episode", "b.note_id", "b.note_date", "b.matched", "tried", "b.gap")
 
 
 def windows(anchored: DataFrame, notes: DataFrame, on: list[str] | None = None, pre: int = PRE_DAYS, post: int = POST_DAYS) -> DataFrame:

@@ -26,10 +26,10 @@ def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     group = W.partitionBy(*by)
     before = F.coalesce(F.sum("_rows").over(group.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     tasks = tasks.withColumns({"_before": before, "_size": F.sum("_rows").over(group)}).drop("_rows")
-    return _with(dealt, tasks, by).withColumn("_n", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_first", "_before")
+    return with_tasks(dealt, tasks, by).withColumn("_n", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_first", "_before")
 
 
-def _with(rows: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
+def with_tasks(rows: DataFrame, tasks: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` joined with a row for each group and task; null groups are groups too."""
     keys = [*by, "_task"]
     own = tasks.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), *(c for c in tasks.columns if c not in keys))
@@ -42,6 +42,6 @@ def least_from_here(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
     rows = rows.withColumn("_value", value)
     tasks = rows.groupBy(*by, "_task").agg(F.min("_value").alias("_own"))
     later = F.min("_own").over(W.partitionBy(*by).orderBy(F.col("_task").desc()).rowsBetween(W.unboundedPreceding, -1))
-    rows = _with(rows, tasks.withColumn("_later", later).drop("_own"), by)
+    rows = with_tasks(rows, tasks.withColumn("_later", later).drop("_own"), by)
     here = F.min("_value").over(W.partitionBy("_task", *by).orderBy(F.col("_n").desc()).rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.withColumn("_least", F.least(here, "_later")).drop("_value", "_later")
