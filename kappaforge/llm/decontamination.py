@@ -1,8 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
 Seeds are the hashes of ``min_tile`` consecutive words of benchmark items; they
-are joined with the documents' running hashes. For every pair that shares enough
-seeds, greedy string tiling over Karp-Rabin matches marks the longest common
+are joined with the documents' running hashes. An item is looked for by its
+telling seeds only: the most common ones are left out as long as they cover less
+than the threshold alone, so that a leak has a telling seed in any case, and a
+line that many items share does not lead to all of them. For every pair whose
+seeds cover enough, greedy string tiling over Karp-Rabin matches marks the longest common
 runs of unmarked words first, down to ``min_tile`` words, so passages in another
 order count as well. A document leaks an item if its tiles cover at least
 ``threshold`` of the item's words.
@@ -101,6 +104,22 @@ def tiles(item: list[int], text: list[int], min_tile: int = MIN_TILE) -> list[tu
     return out
 
 
+def telling(common: np.ndarray, n: int, min_tile: int, threshold: float) -> np.ndarray:
+    """Flags of an item's seeds, of which ``common`` says in how many items each occurs: a leak has one of them.
+
+    The others, the most common, cover less than ``threshold`` of the item's ``n`` words.
+    """
+    flags = np.ones(len(common), bool)
+    covered, total = bytearray(n), 0
+    for k in np.argsort(-common, kind="stable").tolist():
+        total += covered.count(0, k, k + min_tile)
+        covered[k : k + min_tile] = b"\1" * min_tile
+        if total >= threshold * n:
+            break
+        flags[k] = False
+    return flags
+
+
 @dataclass
 class Items:
     """A block of benchmark items in memory of the tasks."""
@@ -108,19 +127,26 @@ class Items:
     ids: list
     words: list[np.ndarray]
     min_tile: int
+    threshold: float
 
     def __post_init__(self) -> None:
-        first = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
-        at, item = window_starts(first, self.min_tile)
+        at, item = window_starts(self.first, self.min_tile)
         seeds = _SEED.slices(flat, at, at + self.min_tile)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.item, self.pos = seeds[order], item[order], (at - first[item])[order]
+        self.begin = np.searchsorted(item, np.arange(len(self.words) + 1))
+        self.own = [seeds[a:b] for a, b in zip(self.begin, self.begin[1:])]  # by place in the item
+        both = np.unique(np.stack([seeds, item.astype(np.uint64)]), axis=1)[0] if len(seeds) else seeds
+        every, common = np.unique(both, return_counts=True)
+        common = common[np.searchsorted(every, seeds)]
+        use = np.concatenate([telling(common[a:b], len(w), self.min_tile, self.threshold) for a, b, w in zip(self.begin, self.begin[1:], self.words)] or [np.zeros(0, bool)])
+        order = np.argsort(seeds[use], kind="stable")
+        self.seeds, self.item = seeds[use][order], item[use][order]
         self.mask = U((1 << min(22, max(8, 4 + len(seeds).bit_length()))) - 1)
         self.filter = np.zeros(int(self.mask) + 1, bool)
-        self.filter[(seeds & self.mask).astype(np.int64)] = True
+        self.filter[(self.seeds & self.mask).astype(np.int64)] = True
 
-    def leaks(self, buf: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    def leaks(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(text, item, coverage, words covered, tiles, longest tile) of every leaking pair."""
         words, first = word_hashes(buf, offsets)
         at, doc = window_starts(first, self.min_tile)
@@ -128,30 +154,34 @@ class Items:
             return
         keys = _SEED.slices(words, at, at + self.min_tile)
         may = np.flatnonzero(self.filter[(keys & self.mask).astype(np.int64)])
-        low, high = (np.searchsorted(self.seeds, keys[may], side) for side in ("left", "right"))
-        n = high - low
-        hit = np.repeat(may, n)
-        seed = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        if not len(hit):
-            return
-        pair = doc[hit] * len(self.ids) + self.item[seed]
-        order = np.argsort(pair, kind="stable")
-        cuts = np.flatnonzero(np.diff(pair[order])) + 1
-        for group in np.split(order, cuts):
-            d, i = divmod(int(pair[group[0]]), len(self.ids))
-            item = self.words[i]
-            if len(self._around(np.unique(self.pos[seed[group]]))) < threshold * len(item):
-                continue  # the seeds found cannot cover enough
-            places = self._around(np.unique(at[hit[group]]))
-            text: list[int] = []
-            for k, p in enumerate(places.tolist()):
-                if k and p != places[k - 1] + 1:
-                    text.append(-1 - k)  # a word like no other
-                text.append(int(words[p]))
-            found = tiles(item.tolist(), text, self.min_tile)
-            covered = sum(x[2] for x in found)
-            if covered >= threshold * len(item):
-                yield d, i, covered / len(item), covered, len(found), max(x[2] for x in found)
+        for d in np.unique(doc[may]).tolist():
+            a, b = np.searchsorted(doc[may], (d, d + 1))
+            asked = np.unique(keys[may[a:b]])  # a seed counts once, however often the text has it
+            low, high = (np.searchsorted(self.seeds, asked, side) for side in ("left", "right"))
+            n = high - low
+            items = np.unique(self.item[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]).tolist()
+            if items:
+                a, b = np.searchsorted(doc, (d, d + 1))
+                order = np.argsort(keys[a:b], kind="stable")
+                yield from ((d, i, *found) for i in items if (found := self._leak(i, words, at[a:b], keys[a:b][order], order)))
+
+    def _leak(self, i: int, words: np.ndarray, at: np.ndarray, keys: np.ndarray, order: np.ndarray) -> tuple[float, int, int, int] | None:
+        """(coverage, words covered, tiles, longest tile) if a text, of sorted window ``keys`` that begin at ``at[order]``, leaks item ``i``."""
+        item, own = self.words[i], self.own[i]
+        low, high = (np.searchsorted(keys, own, side) for side in ("left", "right"))
+        if len(self._around(np.flatnonzero(high > low))) < self.threshold * len(item):
+            return None  # the seeds found cannot cover enough
+        _, one = np.unique(own, return_index=True)
+        low, n = low[one], (high - low)[one]
+        places = self._around(np.sort(at[order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]]))
+        text: list[int] = []
+        for k, p in enumerate(places.tolist()):
+            if k and p != places[k - 1] + 1:
+                text.append(-1 - k)  # a word like no other
+            text.append(int(words[p]))
+        found = tiles(item.tolist(), text, self.min_tile)
+        covered = sum(x[2] for x in found)
+        return (covered / len(item), covered, len(found), max(x[2] for x in found)) if covered >= self.threshold * len(item) else None
 
     def _around(self, starts: np.ndarray) -> np.ndarray:
         """The words of windows that begin at the sorted ``starts``."""
@@ -172,12 +202,12 @@ def benchmark_items(benchmark: DataFrame, min_tile: int = MIN_TILE) -> DataFrame
     return rows.where(F.col("n") >= min_tile).dropDuplicates(["item_id", "words"])
 
 
-def _small(items: DataFrame, min_tile: int, max_broadcast: int) -> Broadcast | None:
+def _small(items: DataFrame, min_tile: int, threshold: float, max_broadcast: int) -> Broadcast | None:
     """The items in memory, if they have at most ``max_broadcast`` words together."""
     if (items.agg(F.sum("n")).first()[0] or 0) > max_broadcast:
         return None
     got = items.orderBy("item_id", "words").toArrow()
-    found = Items(got.column("item_id").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in got.column("words")], min_tile)
+    found = Items(got.column("item_id").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in got.column("words")], min_tile, threshold)
     return items.sparkSession.sparkContext.broadcast(found)
 
 
@@ -196,7 +226,7 @@ def _seed_filter(seeds: DataFrame) -> np.ndarray:
 
 
 def _candidates(part: DataFrame, items: DataFrame, min_tile: int, threshold: float) -> DataFrame:
-    """(digest, item_id, words) of the texts and items that share seeds enough to leak, by joins."""
+    """(digest, item_id, words) of the texts and items that share a telling seed, by joins."""
     items = written(items.withColumn("item", F.md5(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("")).cast("binary"), F.col("words")))), "items")
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +234,19 @@ def _candidates(part: DataFrame, items: DataFrame, min_tile: int, threshold: flo
             for item, data in zip(batch.column("item"), batch.column("words")):
                 words = np.frombuffer(data.as_py(), np.uint64)
                 at, _ = window_starts(np.array([0, len(words)]), min_tile)
-                seeds, times = np.unique(_SEED.slices(words, at, at + min_tile), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(seeds)), pa.array(seeds.view(np.int64)), pa.array(times)], names=["item", "seed", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(at)), pa.array([len(words)] * len(at)), pa.array(at), pa.array(_SEED.slices(words, at, at + min_tile).view(np.int64))], names=["item", "n", "at", "seed"])
 
-    seeds = written(items.select("item", "words").mapInArrow(of_items, "item string, seed long, times long"), "seeds")
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, seeds in zip(batch.column("item"), batch.column("n").to_pylist(), batch.column("seeds").to_pylist()):
+                seed, common = (np.array([x[c] for x in seeds], np.int64) for c in ("seed", "items"))
+                use = np.unique(seed[telling(common, n, min_tile, threshold)])
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(use)), pa.array(use)], names=["item", "seed"])
+
+    placed = written(items.select("item", "words").mapInArrow(of_items, "item string, n long, at long, seed long"), "placed")
+    common = written(placed.groupBy("seed").agg(F.count_distinct("item").alias("items")), "common")
+    lists = placed.join(common, "seed").groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("at", "seed", "items"))).alias("seeds"))
+    seeds = written(lists.mapInArrow(chosen, "item string, seed long"), "seeds")
     shared = part.sparkSession.sparkContext.broadcast(_seed_filter(seeds))
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +264,7 @@ def _candidates(part: DataFrame, items: DataFrame, min_tile: int, threshold: flo
                 yield pa.RecordBatch.from_arrays([rows.column("digest").take(pa.array(doc[once])), pa.array(keys[once].view(np.int64))], names=["digest", "seed"])
 
     texts = part.select("_text", _digest("_text").alias("digest")).mapInArrow(of_texts, "digest binary, seed long")
-    enough = texts.join(seeds, "seed").groupBy("digest", "item").agg(F.sum("times").alias("places"))
-    return enough.join(items, "item").where(F.col("places") * min_tile >= F.col("n") * threshold).select("digest", "item_id", "words")
+    return texts.join(seeds, "seed").select("digest", "item").distinct().join(items, "item").select("digest", "item_id", "words")
 
 
 _FOUND = ("coverage double", "n_covered long", "n_tiles long", "longest_tile long")
@@ -242,12 +280,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_tile: i
     items = benchmark_items(benchmark, min_tile)
     schema = T.StructType([part.schema["doc_id"], benchmark.schema["item_id"], *T.StructType.fromDDL(", ".join(_FOUND)).fields])
     names, kind = schema.names, to_arrow_type(benchmark.schema["item_id"].dataType)
-    shared = _small(items, min_tile, max_broadcast)
+    shared = _small(items, min_tile, threshold, max_broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, offsets in blocks(batch, "_text"):
-                found = list(zip(*shared.value.leaks(buf, offsets, threshold)))
+                found = list(zip(*shared.value.leaks(buf, offsets)))
                 if found:
                     ids = [shared.value.ids[i] for i in found[1]]
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(found[0])), pa.array(ids, kind), *(pa.array(x) for x in found[2:])], names=names)
@@ -263,9 +301,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_tile: i
             for k in range(batch.num_rows):
                 row, words = batch.slice(k, 1), batch.column("words")[k].as_py()
                 if known is None or known[0] != words:
-                    known = words, Items([None], [np.frombuffer(words, np.uint64)], min_tile)
+                    known = words, Items([None], [np.frombuffer(words, np.uint64)], min_tile, threshold)
                 for rows, buf, offsets in blocks(row, "_text"):
-                    for found in known[1].leaks(buf, offsets, threshold):
+                    for found in known[1].leaks(buf, offsets):
                         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("item_id"), *(pa.array([x]) for x in found[2:])], names=names)
 
     return own.mapInArrow(by_pair, schema)
@@ -274,13 +312,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_tile: i
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_tile: int = MIN_TILE, threshold: float = THRESHOLD, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that leak no item. Columns may have any names."""
     items = benchmark_items(benchmark, min_tile)
-    shared = _small(items, min_tile, max_broadcast)
+    shared = _small(items, min_tile, threshold, max_broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, offsets in blocks(batch, text):
                 stay = np.ones(rows.num_rows, bool)
-                for found in shared.value.leaks(buf, offsets, threshold):
+                for found in shared.value.leaks(buf, offsets):
                     stay[found[0]] = False
                 yield rows.filter(pa.array(stay))
 

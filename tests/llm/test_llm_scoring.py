@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -419,3 +421,60 @@ def test_rewrite_against_plain(spark):
             text, at, n = text + d.text[at:a] + e.surrogate, b, n + 1
         assert r.text == text + d.text[at:] and r.n_entities == len(r.entities)
     assert n > 50
+
+
+def with_common_line(n, rng):
+    """Items that all hold one line of 12 words among 23 of their own."""
+    line = " ".join(f"common{k}" for k in range(12))
+    return [(k, " ".join([*(f"i{rng.randrange(50 * n)}" for _ in range(11)), line, *(f"i{rng.randrange(50 * n)}" for _ in range(12))])) for k in range(n)], line
+
+
+def test_a_line_that_all_items_share(spark):
+    """A text that repeats it meets no item by it; leaks in part by it are found."""
+    rng = random.Random(8)
+    items, line = with_common_line(300, rng)
+    words = [t.split() for _, t in items]
+    texts = [(0, (line + " x ") * 400), (1, items[5][1]), (2, " ".join(words[7][:5]) + " y " + line), (3, " ".join(words[9][:6]) + " y " + line), (4, line + " z " + " ".join(words[11][:11]))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, t in texts:
+        for i, item in items:
+            if d == 0 or i in (5, 7, 9, 11):
+                if plain_tiles(item.split(), t.split()[:200], 5) >= 0.5 * len(item.split()):
+                    want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == want and (1, 5) in got and (3, 9) in got and (4, 11) in got and (2, 7) not in got
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, max_broadcast=10).collect()} == want
+
+
+def test_twenty_thousand_items_with_a_common_line():
+    rng = random.Random(9)
+    items, line = with_common_line(20_000, rng)
+    hashed = [decontamination.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for _, t in items]
+    block = decontamination.Items([i for i, _ in items], hashed, 5, 0.5)
+    text = ((line + " x ") * 2000 + items[77][1]).encode()
+    began = time.perf_counter()
+    tracemalloc.start()
+    found = list(block.leaks(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[1] for f in found] == [77] and found[0][2] == 1.0
+    assert peak < 200e6 and time.perf_counter() - began < 20
+
+
+def test_telling_seeds():
+    """What is left out covers less than the threshold."""
+    rng = np.random.default_rng(4)
+    for n in (5, 6, 9, 35, 200):
+        common = rng.integers(1, 9, n - 4)
+        use = decontamination.telling(common, n, 5, 0.5)
+        out = {w for k in np.flatnonzero(~use) for w in range(k, k + 5)}
+        assert use.any() and len(out) < 0.5 * n and common[use].min() <= common.max()
+
+
+def test_hundred_thousand_entities_in_one_text():
+    text = " ".join(f"mail user{k}@example{k % 977}.org" for k in range(100_000))
+    began = time.perf_counter()
+    found = pii_surrogates.entities(text)
+    assert len(found) == 100_000 and time.perf_counter() - began < 30
+    assert all(b[0] >= a[1] for a, b in zip(found, found[1:]))
