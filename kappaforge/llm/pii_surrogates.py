@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -135,14 +136,15 @@ def normal(kind: str, text: str) -> str | None:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, normal form) of what is found, in order, without overlaps; the first pattern to claim a place has it."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order; none overlaps another
 
     def claim(a: int, b: int, kind: str) -> None:
-        if any(a < y and x < b for x, y in taken):
+        at = bisect(taken, (a, b))
+        if at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b:
             return
         value = normal(kind, text[a:b])
         if value is not None:
-            taken.append((a, b))
+            taken.insert(at, (a, b))
             found.append((a, b, kind, value))
 
     digits, low = _DIGIT_OR_AT.search(text), text.lower()
