@@ -86,9 +86,10 @@ def category_average(units: DataFrame, by: tuple[str, ...] = ("pair",)) -> DataF
 
 
 def score_units(compared: DataFrame) -> DataFrame:
-    """(pair, key, code_type, precision, recall, f1) per episode: precision where side a has codes, recall where b has, F1 where both have."""
+    """(pair, key, code_type, precision, recall, f1) per episode: precision where side a has codes, recall where b has, F1 where both have; an episode without either is no unit."""
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("code_type"), codes_of(F.col("a"), k).alias("x"), codes_of(F.col("b"), k).alias("y")) for k in CODE_TYPES))).alias("s")
     rows = compared.select("pair", "key", kinds).select("pair", "key", "s.code_type", F.size("s.x").alias("na"), F.size("s.y").alias("nb"), F.size(F.array_intersect("s.x", "s.y")).alias("hit"))
+    rows = rows.where("na + nb > 0")
     p, r = F.try_divide("hit", "na"), F.try_divide("hit", "nb")
     f1 = F.when(p.isNotNull() & r.isNotNull(), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
     return rows.select("pair", "key", "code_type", p.alias("precision"), r.alias("recall"), f1.alias("f1"))

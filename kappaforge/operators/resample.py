@@ -1,10 +1,15 @@
 """Bootstrap intervals and tests over units, one row per episode.
 
-Two generators, both of integers that SQL engines compute alike. 'lcg' draws n
-units with replacement, as a join of counted indices. The other gives every unit
-a Poisson(1) weight in every draw, from the digest of the unit and the draw:
-tasks sum weighted values per draw, so no draw and no group is gathered
-anywhere, units may be any number, and results do not depend on partitions.
+Every draw takes exactly as many units as there are, with replacement. Both
+generators work on integers that SQL engines compute alike. 'lcg' takes the unit
+of a counted index for every place of a draw. The other draws in two parts:
+every unit gets a Poisson weight of a rate a little below 1, from the digest of
+the unit and the draw, and the places that are then left over, about the square
+root of their number, are filled by counted indices. A Poisson vector with a
+given sum is multinomial, so the whole is a draw of n units; a draw whose first
+part is already too large (once in thousands) is filled by indices alone. Tasks
+sum weighted values per draw, so no draw and no group is gathered anywhere, and
+results do not depend on partitions.
 """
 
 from __future__ import annotations
@@ -19,14 +24,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaforge.operators.ranked import numbered
+from kappaforge.sources.scratch import kept
 
 N_BOOT, SEED = 2000, 42
 _A, _B, _C, _M = 7919, 104729, 12345, 1000003
 #: places of a draw in a row
 BLOCK = 8192
-#: modulus and factors of the numbers that Poisson weights come from, and the numbers at which the weight goes up
+#: modulus and factors of the numbers that weights and indices come from
 MODULUS, FACTORS = 2**31 - 1, (48271, 69621, 16807)
-POISSON = tuple(int(MODULUS * sum(math.exp(-1.0) / math.factorial(k) for k in range(n))) for n in range(1, 11))
+#: Poisson rates are multiples of 1 / RATES; the rate is below 1 by three deviations of the sum at least
+RATES, MARGIN = 64, (3 * 64) ** 2
+#: by rate, the numbers at which the weight goes up
+POISSON = tuple(tuple(int(MODULUS * sum(math.exp(-j / RATES) * (j / RATES) ** k / math.factorial(k) for k in range(n))) for n in range(1, 11)) for j in range(RATES + 1))
 
 
 def lcg_index(draw: Column, pos: Column, n: Column) -> Column:
@@ -54,35 +63,70 @@ def interval(draws: DataFrame, value: str, by: tuple[str, ...] = ("pair",)) -> D
     return draws.groupBy(*by).agg(F.percentile(value, F.lit(0.025)).alias("lo"), F.percentile(value, F.lit(0.975)).alias("hi"))
 
 
-def bootstrap(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int = SEED, by: str = "pair", order: str = "key") -> DataFrame:
-    """(by, draw, mean of every column), nulls skipped, with Poisson weights per unit and draw."""
+def rate(n: Column) -> Column:
+    """The Poisson rate for ``n`` units, as a multiple of 1 / RATES."""
+    return F.greatest(F.lit(0), RATES - F.ceil(F.sqrt(F.lit(float(MARGIN)) / n))).cast("int")
+
+
+def place_index(draw: Column, place: Column, n: Column, seed: int) -> Column:
+    """The unit, of ``n``, that fills a place of a draw."""
+    x = (place * FACTORS[0] + draw * FACTORS[1] + F.lit(_C + seed)) % MODULUS
+    y = (x * x + place + draw * FACTORS[2]) % MODULUS
+    return F.call_function("div", ((y * y + x) % MODULUS) * n, F.lit(MODULUS))
+
+
+def draws(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int = SEED, by: str = "pair", order: str = "key") -> DataFrame:
+    """(by, draw, n, and for every column c: c_sum, c_w): sums over the n units of a draw, and how many of them have a value."""
     kind = units.schema[by].dataType.simpleString()
+    packed = numbered(units.select(by, order, *(F.col(c).cast("double").alias(c) for c in columns)), [by], [order])
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), by, order).cast("binary"))
     part = lambda k: F.conv(F.substring(digest, k, 7), 16, 10).cast("long")
-    rows = units.select(by, part(1).alias("_u"), part(8).alias("_v"), *(F.col(c).cast("double").alias(c) for c in columns))
+    rows = packed.select(by, part(1).alias("_u"), part(8).alias("_v"), rate(F.col("_size")).alias("_rate"), *columns)
     sums = [f"{c}_{x}" for c in columns for x in ("sum", "w")]
-    draws = np.arange(n_boot, dtype=np.int64)
+    every = np.arange(n_boot, dtype=np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for frame in frames:
-            for group, part in frame.groupby(by, sort=False):
-                acc = total.setdefault(group, np.zeros((n_boot, 2 * len(columns))))
+            for group, part in frame.groupby(by, sort=False, dropna=False):
+                acc = total.setdefault(group, np.zeros((n_boot, 2 * len(columns) + 1)))
+                steps = POISSON[part["_rate"].iat[0]]
                 for at in range(0, len(part), 128):
                     some = part.iloc[at : at + 128]
                     u, v = (some[c].to_numpy(np.int64)[:, None] for c in ("_u", "_v"))
-                    x = (u * FACTORS[0] + draws * FACTORS[1] + _C) % MODULUS
-                    y = (x * x + v + draws * FACTORS[2]) % MODULUS
-                    weight = np.searchsorted(POISSON, (y * y + x) % MODULUS, "right").astype(float)
+                    x = (u * FACTORS[0] + every * FACTORS[1] + _C) % MODULUS
+                    y = (x * x + v + every * FACTORS[2]) % MODULUS
+                    weight = np.searchsorted(steps, (y * y + x) % MODULUS, "right").astype(float)
                     values = some[columns].to_numpy(float)
                     there = ~np.isnan(values)
-                    acc[:, 0::2] += weight.T @ np.where(there, values, 0)
-                    acc[:, 1::2] += weight.T @ there
+                    acc[:, 0:-1:2] += weight.T @ np.where(there, values, 0)
+                    acc[:, 1:-1:2] += weight.T @ there
+                    acc[:, -1] += weight.sum(0)
         for group, acc in total.items():
-            yield pd.DataFrame(acc, columns=sums).assign(**{by: group, "draw": np.arange(n_boot, dtype=np.int32)})[[by, "draw", *sums]]
+            yield pd.DataFrame(acc, columns=[*sums, "_w"]).assign(**{by: group, "draw": every.astype(np.int32)})[[by, "draw", *sums, "_w"]]
+
+    parts = rows.mapInPandas(run, f"{by} {kind}, draw int, " + ", ".join(f"{c} double" for c in [*sums, "_w"]))
+    size = packed.groupBy(by).agg(F.count("*").alias("n")).withColumnRenamed(by, "_by")
+    first = parts.groupBy(by, "draw").agg(*(F.sum(c).alias(c) for c in [*sums, "_w"])).join(size, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    fits = F.col("_w") <= F.col("n")
+    first = kept(first.withColumns({c: F.when(fits, F.col(c)).otherwise(0.0) for c in [*sums, "_w"]}))
+    left = first.withColumn("_left", F.col("n") - F.col("_w").cast("long")).where("_left > 0")
+    # blocks of places, so that no row holds a whole study
+    blocks = left.select(by, "draw", "n", "_left", F.explode(F.sequence(F.lit(0), F.floor((F.col("_left") - 1) / BLOCK))).alias("_block"))
+    begin = F.col("_block") * BLOCK
+    places = blocks.withColumn("_place", F.explode(F.sequence(begin, F.least(begin + BLOCK, F.col("_left")) - 1)))
+    index = place_index(F.col("draw").cast("long"), F.col("_place"), F.col("n"), seed)
+    picks = places.select(F.col(by).alias("_by"), "draw", index.alias("_index"))
+    met = picks.join(packed.select(by, "_n", *columns), (F.col("_index") == F.col("_n")) & F.col("_by").eqNullSafe(F.col(by)))
+    second = met.groupBy("_by", F.col("draw").alias("_draw")).agg(*(f(c).alias(f"_{c}_{x}") for c in columns for x, f in (("sum", F.sum), ("w", F.count))))
+    both = first.join(second, F.col(by).eqNullSafe(F.col("_by")) & (F.col("draw") == F.col("_draw")), "left")
+    return both.select(by, "draw", "n", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums))
+
 
-    parts = rows.mapInPandas(run, f"{by} {kind}, draw int, " + ", ".join(f"{c} double" for c in sums))
-    return parts.groupBy(by, "draw").agg(*(F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_w")).alias(c) for c in columns))
+def bootstrap(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int = SEED, by: str = "pair", order: str = "key") -> DataFrame:
+    """(by, draw, mean of every column), nulls skipped, over draws of as many units as the group has."""
+    found = draws(units, columns, n_boot, seed, by, order)
+    return found.select(by, "draw", *(F.try_divide(f"{c}_sum", f"{c}_w").alias(c) for c in columns))
 
 
 def category_interval(units: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:

@@ -296,8 +296,8 @@ def q_first_turn(spark, sf):
 
 def q_bootstrap_lcg(spark, sf):
     units = agreement.kappa_units(compared(spark, sf, PAIR))
-    draws = resample.lcg_means(units, ["dx", "px"], 20)
-    return rounded(draws, "dx", "px")
+    draws = resample.lcg_means(units, ["dx", "px"], resample.N_BOOT)
+    return rounded(draws.withColumns({c: F.round(c, 9) for c in ("dx", "px")}), "dx", "px")  # halves of a millionth occur
 
 
 def q_bootstrap_interval(spark, sf):
@@ -500,16 +500,25 @@ _PART = "select p_partkey, concat(lower(substr(p_type, 1, 1)), lpad(cast(p_size
 def _boot(source: str, columns: tuple[str, ...], seed: int = resample.SEED, name: str = "draws", by: str = "pair", key: str = "key") -> tuple[str, ...]:
     """CTEs of the bootstrap of ``source``: ``name`` has (by, draw, weighted mean of every column)."""
     p, (f0, f1, f2) = resample.MODULUS, resample.FACTORS
-    weight = " + ".join(f"cast(z >= {c} as int)" for c in resample.POISSON)
+    steps = range(1, len(resample.POISSON[0]) + 1)
+    rates = ", ".join(f"({j}, {', '.join(map(str, row))})" for j, row in enumerate(resample.POISSON))
+    weight = " + ".join(f"cast(z >= c{k} as int)" for k in steps)
     kept = ", ".join((by, *columns))
-    sums = ", ".join(f"sum(w * {c}) * 1.0e0 / nullif(sum(case when {c} is not null then w end), 0) as {c}" for c in columns)
+    sums = ", ".join(f"sum(w * {c}) as {c}_s, sum(case when {c} is not null then w end) as {c}_n" for c in columns)
+    picked = ", ".join(f"sum({c}) as {c}_s, count({c}) as {c}_n" for c in columns)
+    means = ", ".join(f"(case when fits then coalesce(f.{c}_s, 0) else 0 end + coalesce(s.{c}_s, 0)) * 1.0e0 / nullif(case when fits then coalesce(f.{c}_n, 0) else 0 end + coalesce(s.{c}_n, 0), 0) as {c}" for c in columns)
+    numbers = f"(place * {f0} + draw * {f1} + {12345 + seed}) % {p}"
     return (
-        f"{name}_h as (select {kept}, md5(concat_ws('/', '{seed}', {by}, {key})) as h from {source})",
-        f"{name}_u as (select {kept}, cast(concat('0x', substr(h, 1, 7)) as bigint) as u, cast(concat('0x', substr(h, 8, 7)) as bigint) as v from {name}_h)",
-        f"{name}_x as (select {kept}, v, draw, (u * {f0} + draw * {f1} + 12345) % {p} as x from {name}_u cross join (select unnest(range({resample.N_BOOT})) as draw) d)",
-        f"{name}_y as (select {kept}, draw, x, (x * x + v + draw * {f2}) % {p} as y from {name}_x)",
-        f"{name}_w as (select {kept}, draw, {weight} as w from (select *, (y * y + x) % {p} as z from {name}_y))",
-        f"{name} as (select {by}, draw, {sums} from {name}_w group by {by}, draw)",
+        f"{name}_rates(rate, {', '.join(f'c{k}' for k in steps)}) as (values {rates})",
+        f"{name}_h as (select {kept}, md5(concat_ws('/', '{seed}', {by}, {key})) as h, row_number() over (partition by {by} order by {key}) - 1 as idx, count(*) over (partition by {by}) as n from {source})",
+        f"{name}_u as (select {kept}, n, cast(concat('0x', substr(h, 1, 7)) as bigint) as u, cast(concat('0x', substr(h, 8, 7)) as bigint) as v, greatest(0, {resample.RATES} - ceil(sqrt({resample.MARGIN}.0e0 / n)))::int as rate from {name}_h)",
+        f"{name}_x as (select {kept}, n, rate, v, draw, (u * {f0} + draw * {f1} + 12345) % {p} as x from {name}_u cross join (select unnest(range({resample.N_BOOT})) as draw) d)",
+        f"{name}_y as (select {kept}, n, rate, draw, x, (x * x + v + draw * {f2}) % {p} as y from {name}_x)",
+        f"{name}_w as (select {kept}, n, draw, {weight} as w from (select *, (y * y + x) % {p} as z from {name}_y) join {name}_rates using (rate))",
+        f"{name}_f as (select {by}, draw, n, sum(w) <= n as fits, case when sum(w) <= n then n - sum(w) else n end::bigint as missing, {sums} from {name}_w group by {by}, draw, n)",
+        f"{name}_p as (select {by}, draw, n, x, (x * x + place + draw * {f2}) % {p} as y from (select *, {numbers} as x from (select {by}, draw, n, unnest(range(missing)) as place from {name}_f)))",
+        f"{name}_s as (select {by}, draw, {picked} from (select {by}, draw, ((y * y + x) % {p}) * n // {p} as idx from {name}_p) join {name}_h using ({by}, idx) group by {by}, draw)",
+        f"{name} as (select f.{by}, f.draw, {means} from {name}_f f left join {name}_s s on s.{by} = f.{by} and s.draw = f.draw)",
     )
 
 
@@ -640,8 +649,9 @@ ORACLES = {
     "q_conversation_log": "select conv_id as episode_id, cast(sum(case when role = 'user' then length(text) else 0 end) as bigint) as prompt_tokens, cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as completion_tokens, count(*) as n_llm_calls from conversations group by 1",
     "q_first_turn": "select conv_id, cast(count(*) as int) as turns, arg_min(role, turn) as first_role, arg_max(role, turn) as last_role from conversations group by 1",
     "q_bootstrap_lcg": _units_sql(
-        """select 'reference vs clinician_2' as pair, draw, round(avg(dx), 6) as dx, round(avg(px), 6) as px from (select d.draw, u.dx, u.px from (select (select count(*) from units) as n) c, (select cast(unnest(range(20)) as int) as draw) d, (select key, row_number() over (order by key) - 1 as pos from units) p
- join (select *, row_number() over (order by key) - 1 as idx from units) u on u.idx = ((cast(d.draw as bigint) * 7919 + p.pos * 104729 + d.draw * p.pos + 12345) % 1000003) % c.n) group by draw""",
+        f"""select 'reference vs clinician_2' as pair, draw, round(round(avg(dx), 9), 6) as dx, round(round(avg(px), 9), 6) as px from
+ (select draw, ((cast(draw as bigint) * 7919 + pos * 104729 + draw * pos + 12345) % 1000003) % n as idx from (select unnest(range(n)) as pos, n from (select count(*) as n from units)), (select cast(unnest(range({resample.N_BOOT})) as int) as draw))
+ join (select *, row_number() over (order by key) - 1 as idx from units) using (idx) group by draw""",
         PAIR,
     ),
     "q_shared_triples": with_views("select episode as key from rater_annotation where rater in ('reference', 'clinician_2', 'clinician_3') group by 1 having count(distinct rater) = 3"),

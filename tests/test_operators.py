@@ -255,6 +255,32 @@ def test_bootstrap(spark):
     assert resample.paired_test(same, 50).first().delta_kappa_p == 2.0
 
 
+def test_every_draw_takes_as_many_units_as_there_are(spark):
+    """Groups of any size, one with a missing value in every unit: the weights of each draw sum to the group's size."""
+    sizes = {"one": 1, "few": 9, "some": 40, "many": 3000}
+    rows = [(g, k, 1.0, float(k), None if g == "few" else 1.0 if k % 3 else None) for g, n in sizes.items() for k in range(n)] + [(None, 5, 1.0, 2.0, 3.0)]
+    units = spark.createDataFrame(rows, "pair string, key int, x double, y double, z double")
+    found = resample.draws(units, ["x", "y", "z"], 300)
+    d = found.toPandas()
+    assert len(d) == 300 * 5 and (d.x_sum == d.n).all() and (d.x_w == d.n).all() and (d.y_w == d.n).all()
+    assert {g: set(d.n[d.pair == g]) for g in sizes} == {g: {n} for g, n in sizes.items()}
+    assert (d.z_w[d.pair == "few"] == 0).all() and d.z_w[d.pair == "many"].std() > 0
+    y = d.y_sum[d.pair == "many"] / 3000
+    assert abs(y.mean() - 1499.5) < 4 and abs(y.std() - 866 / np.sqrt(3000)) < 2.5
+    again = resample.draws(units.repartition(5), ["x", "y", "z"], 300).toPandas()
+    order = ["pair", "draw"]
+    assert d.sort_values(order, ignore_index=True).equals(again.sort_values(order, ignore_index=True)[d.columns])
+
+
+def test_weights_of_a_unit_are_binomial(spark):
+    """How often a unit is taken: the mean and spread of n draws of one in n, for rates of 0, in between and near 1."""
+    for n in (5, 100, 2000):
+        units = spark.createDataFrame([("p", k, 1.0 if k == 3 else 0.0) for k in range(n)], "pair string, key int, x double")
+        taken = resample.draws(units, ["x"], 2000).toPandas().x_sum
+        assert abs(taken.mean() - 1) < 0.09 and abs(taken.var() - (1 - 1 / n)) < 0.12, n
+        assert taken.max() <= 9
+
+
 def test_power(spark):
     assert math.isclose(power.bivariate_cdf(0, 0, 0.5), 0.25 + math.asin(0.5) / (2 * math.pi), abs_tol=1e-9)
     assert abs(power.tetrachoric(40, 10, 10, 40) - math.sin(math.pi / 2 * 0.6)) < 1e-3
