@@ -7,19 +7,21 @@ may lie in any store that Spark reads.
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import re
 import tomllib
 import zipfile
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kappaforge.sources import archives
+
 #: reference sets of the two maps (fixed values)
 REFSETS = {"999002271000000101": "diagnosis", "1891651000000103": "procedure"}
 NOTE = "note_id long, person_id long, note_date date, note_class_concept_id long, note_text string"
@@ -101,68 +103,57 @@ def rf2_map(spark: SparkSession, path: str, glob: str = "*ExtendedMap*Snapshot*.
     return _map_rows(lines.withColumn("ord", F.monotonically_increasing_id()), refsets)
 
 
+def _on_workers(path: str) -> bool:
+    """Whether a path names no store of its own, so that every worker opens it as a file."""
+    return not re.match(r"[A-Za-z][\w+.-]*://", path) or path.startswith("file:///")
+
+
 def rf2_map_zip(spark: SparkSession, path: str, pattern: str = r"ExtendedMap.*Snapshot.*\.txt$", refsets: dict[str, str] = REFSETS) -> DataFrame:
-    """The same from a release's zip file, its member read line by line."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """The same from a release's zip files, a task for each member; in other stores a task for each zip."""
+    if _on_workers(path):
+        return _map_rows(archives.register(spark).read.format("kappaforge_zip_lines").option("pattern", pattern).load(path), refsets)
+    lines = _unpacked(spark, path, archives.ZipLines({"pattern": pattern}))
+    return _map_rows(lines, refsets)
+
+
+def workbook_cells(spark: SparkSession, path: str, sheet: str | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """(sheet, sheet_ord, row, col, value) of .xlsx and .xlsb workbooks, a task for each sheet; in other stores a task for each workbook.
+
+    Values are stored text, dates serial numbers. A malformed sheet fails the read;
+    with mode PERMISSIVE what stands before the fault is kept.
+    """
+    options = {"mode": mode} | ({"sheet": sheet} if sheet is not None else {})
+    if _on_workers(path):
+        cells = archives.register(spark).read.format("kappaforge_workbook").options(**options).load(path)
+    else:
+        cells = _unpacked(spark, path, archives.WorkbookSource(options))
+    return cells.drop("path")
+
+
+def _unpacked(spark: SparkSession, path: str, source: archives.WorkbookSource | archives.ZipLines) -> DataFrame:
+    """The rows of ``source`` from archives that Spark reads as a whole, as stores have no files to open."""
+    names, kinds = zip(*source.columns)
+    permissive = source.options.get("mode", "").upper() == "PERMISSIVE"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in sorted(n for n in z.namelist() if re.search(pattern, n)):
-                        with z.open(name) as f:
-                            lines: list[str] = []
-                            at = 0
-                            for k, line in enumerate(io.TextIOWrapper(f, "utf-8")):
-                                lines.append(line.rstrip("\r\n"))
-                                if len(lines) == 10_000:
-                                    yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array(range(at, k + 1), pa.int64())], names=["value", "ord"])
-                                    lines, at = [], k + 1
-                            if lines:
-                                yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array(range(at, at + len(lines)), pa.int64())], names=["value", "ord"])
-
-    return _map_rows(files.mapInArrow(run, "value string, ord long"), refsets)
-
-
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def _sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, int, str]]:
-    """(sheet, sheet_ord, row, col, value) of the filled cells of a workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(_MAIN + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_MAIN + "si")]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for n, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_MAIN + "sheet")):
-            target = targets[sheet.get(_REL)]
-            with z.open(target.lstrip("/") if target.startswith("/") else "xl/" + target) as f:
-                for _, cell in ElementTree.iterparse(f):
-                    if cell.tag != _MAIN + "c":
-                        continue
-                    letters, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
-                    col = 0
-                    for x in letters:
-                        col = col * 26 + ord(x) - 64
-                    kind, value = cell.get("t"), cell.find(_MAIN + "v")
-                    text = "".join(t.text or "" for t in cell.iter(_MAIN + "t")) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
-                    if text is not None:
-                        yield sheet.get("name"), n, int(row), col, text
-
-
-def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(sheet, sheet_ord, row, col, value) of .xlsx workbooks; values as stored text, dates as serial numbers. Binary .xlsb workbooks are not read."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+                    for k, (name, member) in enumerate(source.members(where, z)):
+                        rows = source.rows(z, archives.Member(where, name, member, k))
+                        while part := list(_whole_ones(itertools.islice(rows, archives.BATCH), permissive)):
+                            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part), kinds)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, source.schema())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                found = list(zip(*_sheet_cells(content.as_py()))) or [[]] * 5
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds)], names=["sheet", "sheet_ord", "row", "col", "value"])
 
-    return files.mapInArrow(run, "sheet string, sheet_ord int, row int, col int, value string")
+def _whole_ones(rows: Iterator[tuple], permissive: bool) -> Iterator[tuple]:
+    """``rows`` up to the first fault, which is raised unless ``permissive``."""
+    try:
+        yield from rows
+    except archives.Malformed:
+        if not permissive:
+            raise
 
 
 def sheet_rows(cells: DataFrame, columns: list[str], header: int = 1) -> DataFrame:
