@@ -1,4 +1,4 @@
-"""Power and sample size by simulation, spread over tasks.
+"""Power of study designs: post hoc by exact sums, before a study by simulation spread over tasks.
 
 A grid of settings is a DataFrame; each setting is split into batches of
 simulations with their own random streams, so a result depends on the seed and
@@ -179,39 +179,91 @@ def tetrachoric(both: int, first: int, second: int, neither: int) -> float:
     return (low + high) / 2
 
 
-def _scan(n: int, p_coder: float, phi: float) -> dict[float, tuple[int, float, float, float]]:
-    """The setting of every difference, in steps of 0.01 from 0.02 to 0.59."""
-    deltas = [round(0.02 + 0.01 * k, 2) for k in range(58)]
-    return {d: (n, min(p_coder + d, 0.98), p_coder, phi) for d in deltas}
-
-
-def _powers(spark: SparkSession, settings: set[tuple[int, float, float, float]], sims: int) -> dict[tuple[int, float, float, float], float]:
-    grid = spark.createDataFrame(sorted(settings), "n long, p_model double, p_coder double, phi double")
-    return {(r.n, r.p_model, r.p_coder, r.phi): r.power for r in mcnemar_power(grid, sims).collect()}
-
-
-def _smallest(scan: dict[float, tuple[int, float, float, float]], powers: dict, target: float) -> float:
-    return next((d for d, s in scan.items() if powers[s] >= target), math.nan)
-
-
-def minimum_detectable(spark: SparkSession, n: int, p_coder: float, phi: float, target: float, sims: int = 8000) -> float:
-    """Smallest difference, in steps of 0.01 from 0.02, with the target power; the whole scan is one job. NaN if none up to 0.59."""
-    scan = _scan(n, p_coder, phi)
-    return _smallest(scan, _powers(spark, set(scan.values()), sims), target)
-
-
-def posthoc(counts: DataFrame, sims: int = 8000) -> DataFrame:
+def binomial_tail(k: np.ndarray, m: np.ndarray, p: float) -> np.ndarray:
+    """P(X >= k) of Binomial(m, p), by the continued fraction of the incomplete beta function (modified Lentz)."""
+    k, m = np.asarray(k, float), np.asarray(m, float)
+    out = np.where(k <= 0, 1.0, 0.0)
+    inner = np.flatnonzero((k > 0) & (k <= m))
+    if not len(inner) or not 0 < p < 1:
+        return np.where((k > 0) & (k <= m) & (p >= 1), 1.0, out)
+    a, b = k[inner], m[inner] - k[inner] + 1
+    x = np.full(len(inner), p)
+    flip = x > (a + 1) / (a + b + 2)  # the fraction converges fast on one side only
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    log = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(log(a + b) - log(a) - log(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    value = d.copy()
+    for i in range(1, 20_000):
+        for step in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+            d = 1 + step * d
+            c = 1 + step / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            value *= d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
+            break
+    out[inner] = np.where(flip, 1 - front * value, front * value)
+    return out
+
+
+def exact_power(n: int, p_model: float, p_coder: float, phi: float) -> float:
+    """Power at alpha 0.05 of the continuity-corrected test: a sum over the number of discordant pairs.
+
+    Given their number, those of one kind are binomial, and the test rejects beyond
+    a count on either side. Numbers further than ten deviations from the mean weigh
+    less than rounding does.
+    """
+    critical = 3.841458820694124
+    _, first, second, _ = _cells(p_model, p_coder, phi)
+    q = first + second
+    if q <= 0 or n < 1:
+        return 0.0
+    reach = 10 * math.sqrt(n * q * max(1 - q, 0.0)) + 30
+    m = np.arange(max(0, math.floor(n * q - reach)), min(n, math.ceil(n * q + reach)) + 1)
+    log = np.vectorize(math.lgamma, otypes=[float])
+    weight = np.exp(math.lgamma(n + 1) - log(m + 1.0) - log(n - m + 1.0) + m * math.log(q) + ((n - m) * math.log1p(-q) if q < 1 else np.where(m == n, 0.0, -np.inf)))
+    # the smallest count of one kind with (|2b - m| - 1)^2 > critical * m, found from above and set right by a step
+    least = np.floor((m + 1 + np.sqrt(critical * m)) / 2).astype(np.int64)
+    rejects = lambda b: (2 * b - m > 0) & ((np.abs(2 * b - m) - 1.0) ** 2 > critical * m)
+    least = np.where(rejects(least), least, least + 1)
+    p = first / q
+    return float((weight * (binomial_tail(least, m, p) + binomial_tail(least, m, 1 - p))).sum())
+
+
+#: differences looked at for the smallest detectable one, in hundredths
+STEPS = range(2, 60)
+
+
+def posthoc(counts: DataFrame) -> DataFrame:
     """Per pair of the 2x2 counts: match rates, tetrachoric correlation, achieved power and detectable differences.
 
-    One row a model; all pairs and differences are one job. Where no correlation
-    gives the table, 0.2 is taken.
+    Every pair and difference is a row of its own, so that tasks share them. Where
+    no correlation gives the table, 0.2 is taken; pairs without counts have none.
     """
-    spark, tables = counts.sparkSession, []
-    for r in counts.collect():
-        n = r.both_hit + r.a_only + r.b_only + r.neither
-        p_model, p_coder, phi = (r.both_hit + r.a_only) / n, (r.both_hit + r.b_only) / n, tetrachoric(r.both_hit, r.a_only, r.b_only, r.neither)
-        rho = 0.2 if math.isnan(phi) else phi
-        tables.append((r.pair, phi, (n, p_model, p_coder, rho), _scan(n, p_coder, rho)))
-    powers = _powers(spark, {s for _, _, own, scan in tables for s in (own, *scan.values())}, sims)
-    out = [(pair, *own[:3], phi, powers[own], *(_smallest(scan, powers, t) for t in TARGETS)) for pair, phi, own, scan in tables]
-    return spark.createDataFrame(out, "pair string, n long, p_model double, p_coder double, phi double, power double, mde_80 double, mde_90 double, mde_95 double")
+    ddl = "pair string, n long, p_model double, p_coder double, phi double"
+
+    def rates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n = f.both_hit + f.a_only + f.b_only + f.neither
+            f = f.assign(n=n, p_model=(f.both_hit + f.a_only) / n, p_coder=(f.both_hit + f.b_only) / n)
+            yield f.assign(phi=[tetrachoric(*map(int, r)) for r in zip(f.both_hit, f.a_only, f.b_only, f.neither)])[["pair", "n", "p_model", "p_coder", "phi"]]
+
+    def powers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rho = f.phi.fillna(0.2)
+            other = f.p_model.where(f.step.isna(), (f.p_coder + f.step / 100).clip(upper=0.98))
+            yield f.assign(power=[exact_power(int(n), a, b, r) for n, a, b, r in zip(f.n, other, f.p_coder, rho)])
+
+    tables = counts.select("pair", "both_hit", "a_only", "b_only", "neither").where("both_hit + a_only + b_only + neither > 0").mapInPandas(rates, ddl)
+    each = tables.withColumn("step", F.explode(F.array(F.lit(None).cast("int"), *map(F.lit, STEPS)))).repartition("pair", "step")
+    done = each.mapInPandas(powers, ddl + ", step int, power double")
+    smallest = lambda t: F.coalesce(F.min(F.when(F.col("power") >= t, F.col("step"))) / 100, F.lit(math.nan)).alias(f"mde_{round(100 * t)}")
+    done = done.withColumn("phi", F.coalesce("phi", F.lit(math.nan)))  # tasks hand on NaN as null
+    return done.groupBy("pair", "n", "p_model", "p_coder", "phi").agg(F.max(F.when(F.col("step").isNull(), F.col("power"))).alias("power"), *(smallest(t) for t in TARGETS))
+
+
+def minimum_detectable(n: int, p_coder: float, phi: float, target: float) -> float:
+    """Smallest difference, in steps of 0.01 from 0.02, with the target power. NaN if none up to 0.59."""
+    return next((k / 100 for k in STEPS if exact_power(n, min(p_coder + k / 100, 0.98), p_coder, phi) >= target), math.nan)

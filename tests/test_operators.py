@@ -1,4 +1,5 @@
 import datetime
+import inspect
 import math
 import random
 from statistics import NormalDist
@@ -298,9 +299,27 @@ def test_posthoc_power_of_the_true_size(spark):
     got = {r.pair: r for r in power.posthoc(counts).collect()}
     assert got["large"].n == 110_000 and got["large"].mde_80 == got["large"].mde_95 == 0.02
     assert math.isnan(got["unsolvable"].phi)
-    grid = spark.createDataFrame([(200, 0.5, 0.5, 0.2)], "n long, p_model double, p_coder double, phi double")
-    assert got["unsolvable"].power == power.mcnemar_power(grid, 8000).first().power
-    assert got["never"].p_model == 0 and got["never"].power == 1
+    assert got["unsolvable"].power == power.exact_power(200, 0.5, 0.5, 0.2) and got["unsolvable"].mde_80 == power.minimum_detectable(200, 0.5, 0.2, 0.8)
+    assert got["never"].p_model == 0 and got["never"].power == pytest.approx(1)
+    assert power.posthoc(counts.limit(0)).collect() == [] and "collect" not in inspect.getsource(power.posthoc)
+
+
+def test_exact_power_against_enumeration(spark):
+    def plain(n, *cells):
+        _, a, b, _ = power._cells(*cells)
+        total = 0.0
+        for x in range(n + 1):
+            for y in range(n + 1 - x):
+                if x + y and (abs(x - y) - 1) ** 2 / (x + y) > 3.841458820694124:
+                    total += math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(n - x - y + 1) + x * math.log(a) + y * math.log(b) + (n - x - y) * math.log(1 - a - b))
+        return total
+
+    for n, *cells in ((5, 0.6, 0.5, 0.3), (40, 0.62, 0.52, 0.4), (120, 0.7, 0.52, 0.2), (90, 0.98, 0.9, 0.1)):
+        assert abs(power.exact_power(n, *cells) - plain(n, *cells)) < 1e-9
+    grid = spark.createDataFrame([(300, 0.64, 0.52, 0.4)], "n int, p_model double, p_coder double, phi double")
+    assert abs(power.mcnemar_power(grid, 4000).first().power - power.exact_power(300, 0.64, 0.52, 0.4)) < 0.03
+    tails = power.binomial_tail(np.array([0, 1, 3, 7, 8]), np.array([7, 7, 7, 7, 7]), 0.3)
+    assert np.allclose(tails, [1, 1 - 0.7**7, sum(math.comb(7, k) * 0.3**k * 0.7 ** (7 - k) for k in range(3, 8)), 0.3**7, 0], atol=1e-12)
 
 
 def test_cell_counts_are_those_of_pairs():
