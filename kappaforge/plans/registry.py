@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kappaforge.functions import codes, dates, labels, texts
-from kappaforge.operators import adjudication, agreement, annotations, charts, costs, mapping, matching, notes, power, resample
+from kappaforge.operators import adjudication, agreement, annotations, charts, costs, mapping, matching, notes, power, resample, vectors
 from kappaforge.plans.views import view, with_views
 from kappaforge.sources import readers
 
@@ -375,6 +375,15 @@ def model_replies(spark, sf) -> DataFrame:
     return rows.select("l_orderkey", F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("reply"))
 
 
+def q_closest_match(spark, sf):
+    """The closest allowed value of every raw one, by word vectors learned from documents and by texts' ratios."""
+    learned = vectors.learned(view(spark, sf, "documents"), size=5000)
+    parsed = model_replies(spark, sf).select(labels.parse_reply("reply").alias("p")).select(F.explode("p.labels").alias("l")).select("l.*")
+    typed = view(spark, sf, "part").select(F.lit("qualifier").alias("field"), F.explode(F.split("p_type", " ")).alias("raw"))
+    found = labels.closest_values(labels.raw_values(parsed).unionByName(typed).distinct(), spark.sparkContext.broadcast(learned))
+    return rounded(found, "score")
+
+
 def q_label_parse(spark, sf):
     parsed = model_replies(spark, sf).select("l_orderkey", labels.parse_reply("reply").alias("p"))
     flat = parsed.select("l_orderkey", F.explode("p.labels").alias("l")).select("l_orderkey", "l.*")
