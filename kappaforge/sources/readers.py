@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kappaforge.sources import archives
+from kappaforge.sources import archives, keyed
 
 #: reference sets of the two maps (fixed values)
 REFSETS = {"999002271000000101": "diagnosis", "1891651000000103": "procedure"}
@@ -59,12 +59,30 @@ def notes(spark: SparkSession, path: str, persons: DataFrame, concepts: str | No
     return of_cohort(spark.read.schema(NOTE).parquet(path), persons, concepts and spark.read.schema(CONCEPT).parquet(concepts))
 
 
+SEARCH = "episode_id string, label_idx int, term string, round int, items array<struct<term:string,id:string>>"
+
+
+def bundle_store(spark: SparkSession, path: str) -> keyed.Store:
+    return keyed.Store(spark, path, ["episode_id"], BUNDLE)
+
+
+def search_store(spark: SparkSession, path: str) -> keyed.Store:
+    return keyed.Store(spark, path, ["episode_id", "label_idx", "round"], SEARCH)
+
+
 def bundles(spark: SparkSession, path: str, exclude: list[str] | None = None) -> DataFrame:
-    """Episode bundles, one JSON document a file, without excluded ids (a stated list)."""
-    rows = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema(BUNDLE).json(path)
+    """Episode bundles without excluded ids (a stated list): what writers.bundle_json wrote, else one JSON document a file."""
+    store = bundle_store(spark, path)
+    one = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema(BUNDLE)
+    rows = store.read() if store.commits() else one.json(path)
     return rows.where(~F.col("episode_id").isin(exclude)) if exclude else rows
 
 
+def search_results(spark: SparkSession, path: str) -> DataFrame:
+    """Answers of searches as writers.search_results left them."""
+    return search_store(spark, path).read()
+
+
 def run_metadata(spark: SparkSession, path: str) -> DataFrame:
     """All run_metadata.json files below a folder; malformed ones, and ones without elapsed_seconds, are left out."""
     schema = T._parse_datatype_string(RUN_METADATA + ", _corrupt string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kappaforge.sources import readers
+
 
 def result_csv(df: DataFrame, path: str) -> None:
     """A small result table (one row per comparison or model) as one CSV file."""
@@ -15,10 +17,17 @@ def result_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def bundle_json(bundles: DataFrame, path: str) -> None:
-    """A folder of JSON documents for each episode_id; a later bundle of an id overwrites the earlier one, and no other."""
-    one = bundles.repartition("episode_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
-    one.partitionBy("episode_id").json(path)
+def bundle_json(rows: DataFrame, path: str) -> int:
+    """Bundles by episode_id in packed files; a later bundle of an id overwrites the earlier one, and no other. Returns the commit's number.
+
+    Of several bundles of an id in one write the one with most notes stays.
+    """
+    return readers.bundle_store(rows.sparkSession, path).write(rows.withColumn("_size", F.size("notes")), "_size")
+
+
+def search_results(rows: DataFrame, path: str) -> int:
+    """Answers of searches by episode, label and round: the terms with their ids. A later answer overwrites the earlier one."""
+    return readers.search_store(rows.sparkSession, path).write(rows)
 
 
 def stage_documents(envelopes: DataFrame, path: str) -> None:
