@@ -28,10 +28,15 @@ def code_table(annotations: DataFrame, level: str = "category", by: tuple[str, .
 
 
 def episodes(annotations: DataFrame, by: tuple[str, ...] = ("rater", "key")) -> DataFrame:
-    """One row per episode: first date, codes per kind and annotations in order."""
-    rows = annotations.groupBy(*by, "kind", "pos").agg(F.array_sort(F.collect_set("code")).alias("codes"), *([F.min("adm").alias("adm")] if "adm" in annotations.columns else []))
+    """One row per episode: codes per kind, annotations in order and, of tables with adm or nid, the first date and the first row's identifier.
+
+    ``pos`` orders the rows of an episode; rows without a date are passed over for the date.
+    """
+    firsts = {c: F.min(c).alias(c) for c in ("adm", "nid") if c in annotations.columns}
+    rows = annotations.groupBy(*by, "kind", "pos").agg(F.array_sort(F.collect_set("code")).alias("codes"), *firsts.values())
     kinds = {k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "codes")))) for k in ("dx", "px")}
-    out = rows.groupBy(*by).agg(*(v.alias(f"_{k}") for k, v in kinds.items()), *([F.min_by("adm", F.when(F.col("adm").isNotNull(), F.col("pos"))).alias("adm")] if "adm" in annotations.columns else []))
+    first = {"adm": F.min_by("adm", F.when(F.col("adm").isNotNull(), F.col("pos"))).alias("adm"), "nid": F.min_by("nid", "pos").alias("nid")}
+    out = rows.groupBy(*by).agg(*(v.alias(f"_{k}") for k, v in kinds.items()), *(first[c] for c in firsts))
     for k in kinds:
         out = out.withColumn(f"{k}_rows", F.transform(f"_{k}", lambda x: x["codes"])).withColumn(k, F.array_distinct(F.flatten(F.transform(f"_{k}", lambda x: x["codes"])))).drop(f"_{k}")
     return out

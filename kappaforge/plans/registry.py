@@ -429,6 +429,16 @@ def q_merged_labels(spark, sf):
     return matching.merged_labels(rows, ["l_orderkey"])
 
 
+def q_episode_dates(spark, sf):
+    """Orders as episodes: the first date that a line has, the first line's supplier as identifier, and the codes."""
+    l = view(spark, sf, "lineitem")
+    dated = F.when(F.col("l_linenumber") % 3 != 1, F.col("l_shipdate").cast("date"))
+    pos = (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 2 + (F.col("l_returnflag") == "A").cast("int")
+    rows = l.select(F.col("l_orderkey").alias("key"), F.when(F.col("l_returnflag") == "A", "px").otherwise("dx").alias("kind"), pos.cast("long").alias("pos"), F.concat(F.lit("A"), (F.col("l_partkey") % 90 + 10).cast("string")).alias("code"), dated.alias("adm"), F.col("l_suppkey").alias("nid"))
+    found = annotations.episodes(rows, ("key",))
+    return found.select("key", "nid", "adm", F.array_join("dx", ",").alias("dx"), F.array_join("px", ",").alias("px"))
+
+
 def q_cohort_notes(spark, sf):
     """Notes of a cohort with the names of their classes; a class without a name has none."""
     rows = view(spark, sf, "note").select("note_id", (F.col("note_id") % 500).alias("person_id"), "note_date", F.regexp_extract("note_class", "([0-9]+)$", 1).try_cast("long").alias("note_class_concept_id"))
@@ -710,6 +720,12 @@ ORACLES = {
     "q_excluded": with_views("select ep_key, nid from clinician_episode where nid not in (select nid from coder_admission)"),
     "q_merged_labels": """with r as (select l_orderkey, l_partkey % 3 as text, cast(l_linenumber * 100000 + l_suppkey as bigint) as o, max(l_returnflag) as presence from lineitem group by all)
  select l_orderkey, text, min(o) as ord, arg_max(presence, o) as presence from r group by l_orderkey, text""",
+    "q_episode_dates": with_views(
+        """select key, arg_min(nid, pos) as nid, cast(arg_min(adm, pos) filter (adm is not null) as date) as adm, coalesce(max(dx), '') as dx, coalesce(max(px), '') as px from lines left join (select key, string_agg(code, ',' order by o) filter (kind = 'dx') as dx, string_agg(code, ',' order by o) filter (kind = 'px') as px
+ from (select key, kind, code, min(pos) as o from lines group by all) group by key) using (key) group by key""",
+        """lines as (select key, kind, pos, code, min(nid) as nid, min(adm) as adm from (select l_orderkey as key, case when l_returnflag = 'A' then 'px' else 'dx' end as kind, (l_linenumber * 1000000 + l_partkey) * 2 + cast(l_returnflag = 'A' as int) as pos, concat('A', cast(l_partkey % 90 + 10 as varchar)) as code,
+ case when l_linenumber % 3 <> 1 then l_shipdate end as adm, l_suppkey as nid from lineitem) group by all)""",
+    ),
     "q_cohort_notes": with_views(
         """select note_id, note_id % 500 as person_id, note_date, n_name as note_class from note left join nation on n_nationkey = try_cast(regexp_extract(note_class, '([0-9]+)$', 1) as bigint) where note_id % 500 in (select s_suppkey from supplier)"""
     ),

@@ -54,6 +54,11 @@ def of_cohort(rows: DataFrame, persons: DataFrame, concepts: DataFrame | None =
     return rows.join(names, "note_class_concept_id", "left").drop("note_class_concept_id")
 
 
+def notes_of_table(spark: SparkSession, table: str, persons: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """of_cohort for a table of writers.notes_by_person: the notes stay where they lie, only the cohort is dealt to their buckets."""
+    return of_cohort(spark.table(table), persons.select("person_id").distinct().hint("merge"), concepts)
+
+
 def notes(spark: SparkSession, path: str, persons: DataFrame, concepts: str | None = None) -> DataFrame:
     """Notes of the persons of a cohort from parquet files, with note_class from those of the concept table."""
     return of_cohort(spark.read.schema(NOTE).parquet(path), persons, concepts and spark.read.schema(CONCEPT).parquet(concepts))

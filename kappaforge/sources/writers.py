@@ -43,3 +43,8 @@ def append_log(df: DataFrame, path: str, run_id: str) -> None:
 def lookup(targets: DataFrame, path: str) -> None:
     """Chosen map targets by reference set, to be read back as a small table."""
     targets.write.mode("overwrite").partitionBy("refset").parquet(path)
+
+
+def notes_by_person(notes: DataFrame, table: str, buckets: int = 200) -> None:
+    """Notes as a table in buckets of persons, each sorted: joins by person_id then read it in place, without a shuffle."""
+    notes.repartition(buckets, "person_id").write.mode("overwrite").bucketBy(buckets, "person_id").sortBy("person_id").format("parquet").saveAsTable(table)

@@ -134,3 +134,30 @@ def test_study():
 def test_tally_and_usage(spark):
     runs = spark.createDataFrame([("a", None), ("b", "timeout"), ("c", None)], "episode_id string, error string")
     assert {r.status: r.n for r in costs.tally(runs).collect()} == {"ok": 2, "failed": 1}
+
+
+def test_notes_in_buckets_are_not_shuffled(spark, tmp_path):
+    """A cohort, notes of which are wanted, and what is done by person afterwards: no exchange stands above the notes."""
+    day = datetime.date(2024, 1, 5)
+    rows = [(k, k % 40, day, 5, f"text {k}") for k in range(400)] + [(900, None, day, 5, "nobody")]
+    spark.sql("drop table if exists notes_here")
+    table = spark.createDataFrame(rows, readers.NOTE)
+    writers.notes_by_person(table, "notes_here", 8)
+    try:
+        cohort = spark.createDataFrame([(3,), (3,), (17,), (99,)], "person_id long")
+        found = readers.notes_of_table(spark, "notes_here", cohort)
+        assert sorted(r.note_id for r in found.collect()) == sorted(k for k in range(400) if k % 40 in (3, 17))
+        by_person = found.join(spark.table("notes_here").groupBy("person_id").count().hint("merge"), "person_id").select("note_id", "count")
+        assert {r["count"] for r in by_person.collect()} == {10}
+        for df in (found, by_person):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "notes_here" in plan and "Bucketed: true" in plan
+            # an exchange and the scan that it deals out: only the cohort's
+            lines = plan.split("== Initial Plan ==")[0].splitlines()
+            depth = lambda x: len(x) - len(x.lstrip(" :+-|"))
+            for k, line in enumerate(lines):
+                if "Scan parquet" in line:
+                    above = [x for n, x in enumerate(lines[:k]) if depth(x) < depth(line) and all(depth(y) > depth(x) for y in lines[n + 1 : k + 1])]
+                    assert not any("Exchange" in x for x in above), plan
+    finally:
+        spark.sql("drop table if exists notes_here")
