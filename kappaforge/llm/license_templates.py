@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kappaforge.llm.words import ALNUM_LOWER, LOWER, Hash, U, blocks, spans, window_starts
 
 #: base phrases and their labels (fixed values)
-PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 _AS_IS = "is provided as is"
 #: label -> templates
