@@ -52,10 +52,10 @@ def lcg_means(units: DataFrame, columns: list[str], n_boot: int, by: str = "pair
     blocks = blocks.repartition(by, "draw", "block")
     first = F.col("block") * BLOCK
     places = blocks.withColumn("pos", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n")) - 1)))
-    # many places of a draw take the same unit: count first, then join the counts
-    weights = places.groupBy(by, "draw", lcg_index(F.col("draw").cast("long"), F.col("pos").cast("long"), F.col("n")).alias("idx")).agg(F.count("*").alias("w"))
-    rows = weights.join(packed.select(by, "idx", *columns), [by, "idx"])
-    return rows.groupBy(by, "draw").agg(*(F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c) for c in columns))
+    # a unit is taken by one or two places of a draw, so counting them first would only shuffle as many rows
+    taken = places.select(by, "draw", lcg_index(F.col("draw").cast("long"), F.col("pos").cast("long"), F.col("n")).alias("idx"))
+    # what explode makes looks small to the planner, which must not broadcast it
+    return taken.join(packed.select(by, "idx", *columns).hint("shuffle_hash"), [by, "idx"]).groupBy(by, "draw").agg(*(F.avg(c).alias(c) for c in columns))
 
 
 def interval(draws: DataFrame, value: str, by: tuple[str, ...] = ("pair",)) -> DataFrame:
@@ -117,7 +117,8 @@ def draws(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int
     places = blocks.withColumn("_place", F.explode(F.sequence(begin, F.least(begin + BLOCK, F.col("_left")) - 1)))
     index = place_index(F.col("draw").cast("long"), F.col("_place"), F.col("n"), seed)
     picks = places.select(F.col(by).alias("_by"), "draw", index.alias("_index"))
-    met = picks.join(packed.select(by, "_n", *columns), (F.col("_index") == F.col("_n")) & F.col("_by").eqNullSafe(F.col(by)))
+    # what explode makes looks small to the planner, which must not broadcast it
+    met = picks.join(packed.select(by, "_n", *columns).hint("shuffle_hash"), (F.col("_index") == F.col("_n")) & F.col("_by").eqNullSafe(F.col(by)))
     second = met.groupBy("_by", F.col("draw").alias("_draw")).agg(*(f(c).alias(f"_{c}_{x}") for c in columns for x, f in (("sum", F.sum), ("w", F.count))))
     both = first.join(second, F.col(by).eqNullSafe(F.col("_by")) & (F.col("draw") == F.col("_draw")), "left")
     return both.select(by, "draw", "n", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums))
