@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: paths of tables from written() that are still there; no DataFrame is held, as its plan would hold shuffles
+_LEFT: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only where Spark runs in one process, as in tests, may it be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -32,21 +36,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    atexit.register(_last, out)
+    _LEFT.add(path)
     return out
 
 
-def _last(df: DataFrame) -> None:
+def _deleted(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _LEFT.discard(path)
+
+
+@atexit.register
+def _last() -> None:
     """What no operator could delete, as its result still read it, goes when the driver ends."""
-    with contextlib.suppress(Exception):  # the session's Java side may be gone
-        dropped(df)
+    spark = SparkSession.getActiveSession() if _LEFT else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session's Java side may be gone
+            for path in sorted(_LEFT):
+                _deleted(spark, path)
 
 
 def dropped(*frames: DataFrame) -> None:
     """Delete the files of tables from written() that nothing reads any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(df.sparkSession, df.written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
