@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kappaforge.functions.codes import episode_id
@@ -60,10 +60,18 @@ def suspect(gap: str = "gap", days: int = SUSPECT_DAYS):
     return F.col(gap).isNull() | (F.col(gap) > days)
 
 
-def bundles(anchored: DataFrame, window: DataFrame, raw_id: str = "episode", pre: int = PRE_DAYS, post: int = POST_DAYS) -> DataFrame:
-    """One nested document per episode, notes by date and id."""
-    note = F.struct("note_date", "note_id", "note_class", "is_anchor", F.coalesce("note_text", F.lit("")).alias("text"))
-    notes = window.groupBy("episode").agg(F.array_sort(F.collect_list(note)).alias("notes"))
+def bundles(anchored: DataFrame, window: DataFrame, raw_id: str = "episode", pre: int = PRE_DAYS, post: int = POST_DAYS, note: Column | None = None) -> DataFrame:
+    """One nested document per episode, notes by date and id.
+
+    ``note`` is what a document holds of a note, the whole note without it: with
+    something short, no text is gathered. Notes are sorted by day first, so that
+    only lists of days meet in an episode.
+    """
+    if note is None:
+        note = F.struct("note_date", "note_id", "note_class", "is_anchor", F.coalesce("note_text", F.lit("")).alias("text"))
+    rows = window.select("episode", "note_date", "note_id", note.alias("note"))
+    days = rows.groupBy("episode", "note_date").agg(F.transform(F.array_sort(F.collect_list(F.struct("note_id", "note"))), lambda x: x["note"]).alias("notes"))
+    notes = days.groupBy("episode").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("note_date", "notes"))), lambda x: x["notes"])).alias("notes"))
     out = anchored.join(notes, "episode")
     day = F.col("note_date")
     return out.select(

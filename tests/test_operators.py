@@ -329,3 +329,12 @@ def test_cell_counts_are_those_of_pairs():
     m, c = x < NormalDist().inv_cdf(0.62), y < NormalDist().inv_cdf(0.52)
     want = [(m & c).mean(), (m & ~c).mean(), (~m & c).mean(), (~m & ~c).mean()]
     assert np.allclose(power._cells(0.62, 0.52, 0.4), want, atol=0.004)
+
+
+def test_bundles_hold_what_is_asked_of_a_note(spark):
+    """Notes by date and id, also when only a short form of them is gathered and there is no column of texts."""
+    day = lambda k: datetime.date(2024, 1, k)
+    anchored = spark.createDataFrame([(1, 3, day(5), 1, 1, None)], "episode int, note_id int, note_date date, matched int, tried int, gap int")
+    n = spark.createDataFrame([(k, day(9 - k // 2)) for k in range(8)], "note_id int, note_date date")
+    found = notes.bundles(anchored, notes.windows(anchored, n), note=F.concat_ws(":", "note_id", F.col("is_anchor").cast("int"))).first()
+    assert found.notes == ["6:0", "7:0", "4:0", "5:0", "2:0", "3:1", "0:0", "1:0"] and found.n_notes == 8
