@@ -14,14 +14,17 @@ results do not depend on partitions.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kappaforge.operators.ranked import numbered
 from kappaforge.sources.scratch import kept
@@ -75,37 +78,97 @@ def place_index(draw: Column, place: Column, n: Column, seed: int) -> Column:
     return F.call_function("div", ((y * y + x) % MODULUS) * n, F.lit(MODULUS))
 
 
+#: weights are looked up by numbers without their last bits
+_SHIFT = 18
+
+
+@functools.cache
+def _by_height(rate: int) -> np.ndarray:
+    """Weights of the numbers below 2**34 of every height, modulo MODULUS; 255 where the weight changes within a height."""
+    low = np.arange(1 << (34 - _SHIFT), dtype=np.int64) << _SHIFT
+    high = low + (1 << _SHIFT) - 1
+    first, last = (np.searchsorted(POISSON[rate], x % MODULUS, "right") for x in (low, high))
+    return np.where((first == last) & (low // MODULUS == high // MODULUS), first, 255).astype(np.uint8)
+
+
+def _weights(u: np.ndarray, v: np.ndarray, rate: int, every: np.ndarray) -> Iterator[np.ndarray]:
+    """Poisson weights, a row for each unit and a column for each draw, 16 units at a time: what fits the cache.
+
+    The modulus is 2**31 - 1, so a number's low 31 bits and the rest add up to the
+    same remainder, and no division is needed. Sums stay below 2**64: x is reduced
+    fully, y to less than 2**32, the last number to less than 2**34.
+    """
+    m, bits, steps, by_height = np.uint64(MODULUS), np.uint64(31), np.array(POISSON[rate]), _by_height(rate)
+    own = (u.astype(np.uint64) * np.uint64(FACTORS[0]) % m).astype(np.uint32)
+    draw = ((every * np.uint64(FACTORS[1]) + np.uint64(_C)) % m).astype(np.uint32)
+    late, v = every * np.uint64(FACTORS[2]), v.astype(np.uint64)
+    for at in range(0, len(u), 16):
+        x = own[at : at + 16, None] + draw
+        x = np.minimum(x, x - np.uint32(MODULUS)).astype(np.uint64)  # what is below the modulus wraps around
+        y = x * x
+        y += late
+        y += v[at : at + 16, None]
+        rest = y >> bits
+        y &= m
+        y += rest
+        y *= y
+        y += x
+        np.right_shift(y, bits, out=rest)
+        y &= m
+        y += rest
+        np.right_shift(y, np.uint64(_SHIFT), out=rest)
+        weight = by_height.take(rest.view(np.int64), mode="clip")
+        unsure = np.flatnonzero(weight == 255)
+        weight.ravel()[unsure] = np.searchsorted(steps, (y.ravel()[unsure] % m).astype(np.int64), "right")
+        yield weight
+
+
+def summed(rows: DataFrame, by: str, columns: list[str], n_draws: int, names: list[str], weights: Callable[[dict], Iterator[np.ndarray]]) -> DataFrame:
+    """(by, draw, ``names``): for every group of a task and draw the weighted sum and weight of each column, nulls skipped, and the whole weight.
+
+    ``weights`` is given a group's other columns as arrays and yields weights, a
+    row for each unit in order and a column for each draw.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+    others = [c for c in rows.columns if c != by and c not in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            coded = batch.column(by).dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
+            there = ~np.isnan(values)
+            wide = np.ones((len(values), 2 * len(columns) + 1))
+            wide[:, 0:-1:2], wide[:, 1:-1:2] = np.where(there, values, 0), there
+            own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in others}
+            for units in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else ():
+                group, at = coded.dictionary[int(codes[units[0]])].as_py(), 0
+                acc = total.setdefault(group, np.zeros((2 * len(columns) + 1, n_draws)))
+                for weight in weights({c: x[units] for c, x in own.items()}):
+                    # products in einsum's own loops: a library's threads would fight with those of other tasks
+                    acc += np.einsum("uc,ud->cd", wide[units[at : at + len(weight)]], weight.astype(float))
+                    at += len(weight)
+        for group, acc in total.items():
+            first = [pa.array([group] * n_draws, schema.field(0).type), pa.array(np.arange(n_draws, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*first, *(pa.array(x) for x in acc)], names=[by, "draw", *names])
+
+    schema = to_arrow_schema(rows.select(by).schema)
+    # few bytes are much work here: a number that is given is not lowered to what the bytes need
+    rows = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by, *others)
+    return rows.mapInArrow(run, f"`{by}` {kind}, draw int, " + ", ".join(f"`{c}` double" for c in names))
+
+
 def draws(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int = SEED, by: str = "pair", order: str = "key") -> DataFrame:
     """(by, draw, n, and for every column c: c_sum, c_w): sums over the n units of a draw, and how many of them have a value."""
-    kind = units.schema[by].dataType.simpleString()
     packed = numbered(units.select(by, order, *(F.col(c).cast("double").alias(c) for c in columns)), [by], [order])
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), by, order).cast("binary"))
     part = lambda k: F.conv(F.substring(digest, k, 7), 16, 10).cast("long")
     rows = packed.select(by, part(1).alias("_u"), part(8).alias("_v"), rate(F.col("_size")).alias("_rate"), *columns)
     sums = [f"{c}_{x}" for c in columns for x in ("sum", "w")]
-    every = np.arange(n_boot, dtype=np.int64)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = {}
-        for frame in frames:
-            for group, part in frame.groupby(by, sort=False, dropna=False):
-                acc = total.setdefault(group, np.zeros((n_boot, 2 * len(columns) + 1)))
-                steps = POISSON[part["_rate"].iat[0]]
-                for at in range(0, len(part), 128):
-                    some = part.iloc[at : at + 128]
-                    u, v = (some[c].to_numpy(np.int64)[:, None] for c in ("_u", "_v"))
-                    x = (u * FACTORS[0] + every * FACTORS[1] + _C) % MODULUS
-                    y = (x * x + v + every * FACTORS[2]) % MODULUS
-                    weight = np.searchsorted(steps, (y * y + x) % MODULUS, "right").astype(float)
-                    values = some[columns].to_numpy(float)
-                    there = ~np.isnan(values)
-                    acc[:, 0:-1:2] += weight.T @ np.where(there, values, 0)
-                    acc[:, 1:-1:2] += weight.T @ there
-                    acc[:, -1] += weight.sum(0)
-        for group, acc in total.items():
-            yield pd.DataFrame(acc, columns=[*sums, "_w"]).assign(**{by: group, "draw": every.astype(np.int32)})[[by, "draw", *sums, "_w"]]
-
-    parts = rows.mapInPandas(run, f"{by} {kind}, draw int, " + ", ".join(f"{c} double" for c in [*sums, "_w"]))
+    every = np.arange(n_boot, dtype=np.uint64)
+    parts = summed(rows, by, columns, n_boot, [*sums, "_w"], lambda own: _weights(own["_u"], own["_v"], int(own["_rate"][0]), every))
     size = packed.groupBy(by).agg(F.count("*").alias("n")).withColumnRenamed(by, "_by")
     first = parts.groupBy(by, "draw").agg(*(F.sum(c).alias(c) for c in [*sums, "_w"])).join(size, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     fits = F.col("_w") <= F.col("n")

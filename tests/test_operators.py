@@ -338,3 +338,34 @@ def test_bundles_hold_what_is_asked_of_a_note(spark):
     n = spark.createDataFrame([(k, day(9 - k // 2)) for k in range(8)], "note_id int, note_date date")
     found = notes.bundles(anchored, notes.windows(anchored, n), note=F.concat_ws(":", "note_id", F.col("is_anchor").cast("int"))).first()
     assert found.notes == ["6:0", "7:0", "4:0", "5:0", "2:0", "3:1", "0:0", "1:0"] and found.n_notes == 8
+
+
+def test_weights_in_parts_are_those_of_plain_remainders():
+    """Every rate, numbers at both ends and those about a step of the weights or a multiple of the modulus."""
+    rng, every, p = np.random.default_rng(5), np.arange(2000), resample.MODULUS
+    u, v = (np.concatenate([[0, 0, 2**28 - 1, 2**28 - 1], rng.integers(0, 2**28, 30)]) for _ in range(2))
+    for rate in (0, 1, 30, 63, 64):
+        x = (u[:, None] * resample.FACTORS[0] + every * resample.FACTORS[1] + 12345) % p
+        y = (x * x + v[:, None] + every * resample.FACTORS[2]) % p
+        plain = np.searchsorted(resample.POISSON[rate], (y * y + x) % p, "right")
+        assert (np.concatenate(list(resample._weights(u, v, rate, every.astype(np.uint64)))) == plain).all()
+
+
+def test_draws_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
+    """Few units are few bytes, which adaptive plans would put into one task."""
+    rows = spark.createDataFrame([("p", k, k, 64, float(k)) for k in range(400)], "pair string, _u long, _v long, _rate int, x double")
+    every = np.arange(50, dtype=np.uint64)
+    parts = resample.summed(rows, "pair", ["x"], 50, ["s", "n", "w"], lambda own: resample._weights(own["_u"], own["_v"], 64, every))
+    assert parts.count() == 4 * 50
+
+
+def test_an_episode_is_one_row_for_all_pairs(spark):
+    """Annotations go through one shuffle whatever the number of pairs, and units are counted without another."""
+    raters = [f"r{k}" for k in range(6)]
+    rows = spark.createDataFrame([(r, str(e), "dx", p, f"A{(p + e) % 7}{k}") for k, r in enumerate(raters) for e in range(20) for p in range(3)], ANN)
+    pairs = agreement.rater_pairs(spark.createDataFrame(list(enumerate(raters)), "ord int, rater string"))
+    pairs = spark.createDataFrame(pairs.collect())
+    units = agreement.kappa_units(agreement.comparisons(rows, pairs))
+    assert units.count() == 15 * 20
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") <= 1 and "Window" not in plan
