@@ -46,9 +46,44 @@ def lcg_index(draw: Column, pos: Column, n: Column) -> Column:
     return F.pmod(draw * _A + pos * _B + draw * pos + F.lit(_C), F.lit(_M)) % n
 
 
-def lcg_means(units: DataFrame, columns: list[str], n_boot: int, by: str = "pair", order: str = "key") -> DataFrame:
-    """(by, draw, mean of every column over the draw's units), nulls skipped, by the integer generator."""
-    packed = numbered(units, [by], [order]).withColumnRenamed("_n", "idx")
+def lcg_means(units: DataFrame, columns: list[str], n_boot: int, by: str = "pair", order: str = "key", least: int = 20_000) -> DataFrame:
+    """(by, draw, mean of every column over the draw's units), nulls skipped, by the integer generator.
+
+    Groups of ``least`` units count how often a draw takes a unit, in at most _M steps
+    a draw; smaller ones join every place with its unit, which is less for them.
+    """
+    packed = numbered(units.select(by, order, *(F.col(c).cast("double").alias(c) for c in columns)), [by], [order])
+    small = _lcg_by_places(packed.where(F.col("_size") < least), columns, n_boot, by)
+    sums = [f"{c}_{x}" for c in columns for x in ("sum", "w")]
+    large = summed(packed.where((F.col("_size") >= least) & (F.col("_n") < _M)).select(by, "_n", "_size", *columns), by, columns, n_boot, [*sums, "_w"], lambda own: _lcg_weights(own["_n"], int(own["_size"][0]), n_boot))
+    large = large.groupBy(by, "draw").agg(*(F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_w")).alias(c) for c in columns))
+    return small.unionByName(large)
+
+
+def _lcg_weights(idx: np.ndarray, n: int, n_boot: int) -> Iterator[np.ndarray]:
+    """How often each draw takes the units ``idx`` of ``n``, a row for each unit.
+
+    A draw's numbers are a line over its places, modulo a prime. So _M places in a
+    row have every number once, and what is left of n has a number if the place
+    that the line gives it is there. A unit below _M has the numbers idx, idx + n
+    and so on, so a draw is _M steps at most, whatever the number of units.
+    """
+    every = np.arange(n_boot, dtype=np.int64)
+    rounds, rest = divmod(n, _M)
+    # slopes that are multiples of the prime do not occur below _M - _B draws
+    back = np.array([pow(int(_B + d), -1, _M) for d in every], np.int64)
+    shift = (_M - (every * _A + _C) % _M) * back % _M
+    for at in range(0, len(idx), 16):
+        weight = np.zeros((len(idx[at : at + 16]), n_boot), np.int64)
+        for number in range(0, _M, n):
+            number = idx[at : at + 16, None].astype(np.int64) + number
+            weight += (number < _M) * (rounds + ((number * back + shift) % _M < rest))
+        yield weight
+
+
+def _lcg_by_places(packed: DataFrame, columns: list[str], n_boot: int, by: str) -> DataFrame:
+    """The means of ``lcg_means`` by a join of every place with its unit, for groups of few units."""
+    packed = packed.withColumnRenamed("_n", "idx")
     size = packed.groupBy(by).agg(F.count("*").alias("n"))
     # blocks of places, so that no row holds a whole study, and their tasks as many as there are
     blocks = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK))))

@@ -369,3 +369,17 @@ def test_an_episode_is_one_row_for_all_pairs(spark):
     assert units.count() == 15 * 20
     plan = units._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(key") <= 1 and "Window" not in plan
+
+
+def test_lcg_means_by_counts(spark, monkeypatch):
+    """Counted without a row for each place: the same means, and the same counts on both sides of the modulus."""
+    units = [(pair, k, float(k * k % 11) if k % 5 else None) for pair, n in (("p", 40), ("q", 3)) for k in range(n)]
+    units = spark.createDataFrame(units, "pair string, key int, x double")
+    by_places, by_counts = ({(r.pair, r.draw): r.x for r in resample.lcg_means(units, ["x"], 6, least=n).collect()} for n in (100, 1))
+    assert len(by_places) == 12 and by_counts == pytest.approx(by_places)
+    monkeypatch.setattr(resample, "_M", 211)
+    for n in (1, 7, 210, 211, 212, 500, 1000):
+        got = np.concatenate(list(resample._lcg_weights(np.arange(n), n, 30)))
+        for draw in range(30):
+            taken = [(draw * 7919 + pos * 104729 + draw * pos + 12345) % 211 % n for pos in range(n)]
+            assert (got[:, draw] == np.bincount(taken, minlength=n)).all()
