@@ -33,7 +33,8 @@ def episodes(annotations: DataFrame, by: tuple[str, ...] = ("rater", "key")) ->
     ``pos`` orders the rows of an episode; rows without a date are passed over for the date.
     """
     firsts = {c: F.min(c).alias(c) for c in ("adm", "nid") if c in annotations.columns}
-    rows = annotations.groupBy(*by, "kind", "pos").agg(F.array_sort(F.collect_set("code")).alias("codes"), *firsts.values())
+    # lying by episode, rows are shuffled once for both groupings
+    rows = annotations.repartition(*by).groupBy(*by, "kind", "pos").agg(F.array_sort(F.collect_set("code")).alias("codes"), *firsts.values())
     kinds = {k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "codes")))) for k in ("dx", "px")}
     first = {"adm": F.min_by("adm", F.when(F.col("adm").isNotNull(), F.col("pos"))).alias("adm"), "nid": F.min_by("nid", "pos").alias("nid")}
     out = rows.groupBy(*by).agg(*(v.alias(f"_{k}") for k, v in kinds.items()), *(first[c] for c in firsts))

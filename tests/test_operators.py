@@ -383,3 +383,9 @@ def test_lcg_means_by_counts(spark, monkeypatch):
         for draw in range(30):
             taken = [(draw * 7919 + pos * 104729 + draw * pos + 12345) % 211 % n for pos in range(n)]
             assert (got[:, draw] == np.bincount(taken, minlength=n)).all()
+
+
+def test_episodes_are_shuffled_once(spark):
+    rows = spark.createDataFrame([("r", str(k % 9), "dx", k, f"A{k % 5}") for k in range(90)], ANN)
+    found = annotations.episodes(rows)
+    assert found.count() == 9 and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
