@@ -52,8 +52,15 @@ def words_of(texts: DataFrame, text: str) -> DataFrame:
 
 def vocabulary(words: DataFrame, size: int = VOCABULARY) -> list[str]:
     """The ``size`` most frequent words, equal counts by word."""
-    counts = words.select(F.explode("words").alias("word")).groupBy("word").count()
-    return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(size).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.value_counts(batch.column("words").flatten())
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+    # words are counted by batch, as a row for each of them is most of the work
+    counts = words.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def cooccurrences(words: DataFrame, known: list[str], reach: int = REACH) -> DataFrame:
