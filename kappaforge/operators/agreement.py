@@ -35,14 +35,11 @@ def comparisons(annotations: DataFrame, pairs: DataFrame, level: str = "category
     asked = pairs.select(F.explode(F.array("rater_a", "rater_b")).alias("rater")).distinct()
     item = F.struct("rater", "kind", "pos", at_level(F.col("code"), level).alias("code"))
     rows = annotations.where("code is not null").join(F.broadcast(asked), "rater", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(item)).alias("x"))
-    rows = rows.withColumn("raters", F.array_distinct(F.transform("x", lambda x: x["rater"])))
-    of = lambda r: F.transform(F.filter("x", lambda x: x["rater"] == r), lambda x: F.struct(x["kind"].alias("kind"), x["pos"].alias("pos"), x["code"].alias("code")))
-    rows = rows.select("key", F.map_from_arrays("raters", F.transform("raters", of)).alias("x"))
-    side = lambda r: F.try_element_at("x", F.col(r))
-    there = [side(r).isNotNull() for r in ("rater_a", "rater_b")]
+    rows = rows.withColumn("raters", F.transform("x", lambda x: x["rater"]))
+    there = [F.array_contains("raters", F.col(r)) for r in ("rater_a", "rater_b")]
     out = rows.join(F.broadcast(pairs), there[0] & there[1] if both else there[0] | there[1])
-    none = F.filter(F.map_values("x")[0], lambda _: F.lit(False))
-    return out.select("pair", "key", F.coalesce(side("rater_a"), none).alias("a"), F.coalesce(side("rater_b"), none).alias("b"))
+    of = lambda r: F.transform(F.filter("x", lambda x: x["rater"] == F.col(r)), lambda x: F.struct(x["kind"].alias("kind"), x["pos"].alias("pos"), x["code"].alias("code")))
+    return out.select("pair", "key", of("rater_a").alias("a"), of("rater_b").alias("b"))
 
 
 def codes_of(side: Column, kind: str) -> Column:

@@ -4,8 +4,8 @@ Every draw takes exactly as many units as there are, with replacement. Both
 generators work on integers that SQL engines compute alike. 'lcg' takes the unit
 of a counted index for every place of a draw. The other draws in two parts:
 every unit gets a Poisson weight of a rate a little below 1, from the digest of
-the unit and the draw, and the places that are then left over, about the square
-root of their number, are filled by counted indices. A Poisson vector with a
+the unit and the draw, and the places that are then left over, one in 64 at
+least, are filled by counted indices, which travel packed by blocks of units. A Poisson vector with a
 given sum is multinomial, so the whole is a draw of n units; a draw whose first
 part is already too large (once in thousands) is filled by indices alone. Tasks
 sum weighted values per draw, so no draw and no group is gathered anywhere, and
@@ -14,6 +14,7 @@ results do not depend on partitions.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 from collections.abc import Callable, Iterator
@@ -106,63 +107,94 @@ def rate(n: Column) -> Column:
     return F.greatest(F.lit(0), RATES - F.ceil(F.sqrt(F.lit(float(MARGIN)) / n))).cast("int")
 
 
-def place_index(draw: Column, place: Column, n: Column, seed: int) -> Column:
-    """The unit, of ``n``, that fills a place of a draw."""
-    x = (place * FACTORS[0] + draw * FACTORS[1] + F.lit(_C + seed)) % MODULUS
-    y = (x * x + place + draw * FACTORS[2]) % MODULUS
-    return F.call_function("div", ((y * y + x) % MODULUS) * n, F.lit(MODULUS))
-
-
-#: weights are looked up by numbers without their last bits
-_SHIFT = 18
+#: weights are looked up by so many bits of a number's share of the modulus; units and draws of a tile are what fits the cache
+_BITS, _TILE = 15, (256, 250)
 
 
 @functools.cache
-def _by_height(rate: int) -> np.ndarray:
-    """Weights of the numbers below 2**34 of every height, modulo MODULUS; 255 where the weight changes within a height."""
-    low = np.arange(1 << (34 - _SHIFT), dtype=np.int64) << _SHIFT
-    high = low + (1 << _SHIFT) - 1
-    first, last = (np.searchsorted(POISSON[rate], x % MODULUS, "right") for x in (low, high))
-    return np.where((first == last) & (low // MODULUS == high // MODULUS), first, 255).astype(np.uint8)
+def _by_share(rate: int) -> np.ndarray:
+    """Weights of the numbers about every multiple of 2**-_BITS of MODULUS; 255 where the weight changes within half a step, or 2**-19 beyond it."""
+    at = np.arange(1 << _BITS) / (1 << _BITS)
+    wide = 0.5 / (1 << _BITS) + 2.0**-19
+    first, last = (np.searchsorted(POISSON[rate], (at + x) * MODULUS, "right") for x in (-wide, wide))
+    found = np.where(first == last, first, 255).astype(np.uint8)
+    found[0] = 255  # both ends
+    return found
+
+
+def _polynomial(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A unit's numbers are a polynomial of the draw, modulo MODULUS: its coefficients from the fourth power down, a row for each unit."""
+    m, (f0, f1, f2) = MODULUS, FACTORS
+    u, v = u.astype(np.int64), v.astype(np.int64)
+    a = (u * f0 + _C) % m  # x is a + f1 * draw, and y of the second degree
+    square, line, rest = f1 * f1 % m, (2 * a % m * f1 + f2) % m, (a * a + v) % m
+    twice = 2 * square % m
+    return np.stack([np.full(len(u), square * square % m), twice * line % m, (line * line + twice * rest) % m, (2 * line % m * rest + f1) % m, (rest * rest + a) % m], 1)
+
+
+def _tiles(u: np.ndarray, v: np.ndarray, rate: int, every: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Poisson weights in tiles: the first draw of a tile and its weights, a row for each unit and a column for each draw.
+
+    All tiles of some units come before those of the next, and each takes the
+    place of the one before. A product of matrices has the share of the modulus
+    that each number is, and whole moduli besides. Coefficients are at most 2**30
+    and powers of the draw half a modulus, so it is off by less than 2**-19; the
+    few numbers for which that or the table's step matters are computed exactly.
+    """
+    m, steps, table = MODULUS, POISSON[rate], _by_share(rate)
+    whole = 1.5 * 2.0 ** (52 - _BITS)  # added to a share, it leaves the share's first bits as the last ones
+    about = lambda x: np.where(x > m // 2, x - m, x).astype(float)
+    every = every.astype(np.int64) % m
+    powers = [np.ones_like(every), every]
+    for _ in range(3):
+        powers.append(powers[-1] * every % m)
+    exact = _polynomial(u, v)
+    units = np.stack([*(about(exact[:, k]) for k in (1, 2, 3)), about(exact[:, 4]) / m, np.ones(len(exact))], 1)
+    fourth = powers[4] * (FACTORS[1] ** 4 % m) % m  # the same for all units
+    draws = np.stack([*(about(powers[k]) / m for k in (3, 2, 1)), np.ones(len(every)), about(fourth) / m])
+    draws = [(k, np.ascontiguousarray(draws[:, k : k + _TILE[1]])) for k in range(0, len(every), _TILE[1])]
+    places = _TILE[0] * _TILE[1]
+    room = np.empty(places), np.empty(places, np.uint8), np.empty(places)
+    for at in range(0, len(units), _TILE[0]):
+        own, powers = units[at : at + _TILE[0]], exact[at : at + _TILE[0]].tolist()
+        for first, some in draws:
+            share, small, weight = (x[: len(own) * some.shape[1]].reshape(len(own), -1) for x in room)
+            np.matmul(own, some, out=share)
+            share += whole
+            index = share.view(np.int64)
+            index &= (1 << _BITS) - 1
+            table.take(index, out=small, mode="clip")
+            found, k = small.tobytes(), -1
+            while (k := found.find(255, k + 1)) >= 0:
+                unit, draw = divmod(k, some.shape[1])
+                z, d = 0, int(every[first + draw])
+                for power in powers[unit]:
+                    z = (z * d + power) % m
+                small[unit, draw] = bisect.bisect_right(steps, z)
+            weight[:] = small
+            yield first, weight
 
 
 def _weights(u: np.ndarray, v: np.ndarray, rate: int, every: np.ndarray) -> Iterator[np.ndarray]:
-    """Poisson weights, a row for each unit and a column for each draw, 16 units at a time: what fits the cache.
+    """The weights of ``_tiles`` with all draws of a unit in a row."""
+    row = []
+    for first, weight in _tiles(u, v, rate, every):
+        row.append(weight.copy())
+        if first + weight.shape[1] == len(every):
+            yield np.concatenate(row, 1)
+            row = []
 
-    The modulus is 2**31 - 1, so a number's low 31 bits and the rest add up to the
-    same remainder, and no division is needed. Sums stay below 2**64: x is reduced
-    fully, y to less than 2**32, the last number to less than 2**34.
-    """
-    m, bits, steps, by_height = np.uint64(MODULUS), np.uint64(31), np.array(POISSON[rate]), _by_height(rate)
-    own = (u.astype(np.uint64) * np.uint64(FACTORS[0]) % m).astype(np.uint32)
-    draw = ((every * np.uint64(FACTORS[1]) + np.uint64(_C)) % m).astype(np.uint32)
-    late, v = every * np.uint64(FACTORS[2]), v.astype(np.uint64)
-    for at in range(0, len(u), 16):
-        x = own[at : at + 16, None] + draw
-        x = np.minimum(x, x - np.uint32(MODULUS)).astype(np.uint64)  # what is below the modulus wraps around
-        y = x * x
-        y += late
-        y += v[at : at + 16, None]
-        rest = y >> bits
-        y &= m
-        y += rest
-        y *= y
-        y += x
-        np.right_shift(y, bits, out=rest)
-        y &= m
-        y += rest
-        np.right_shift(y, np.uint64(_SHIFT), out=rest)
-        weight = by_height.take(rest.view(np.int64), mode="clip")
-        unsure = np.flatnonzero(weight == 255)
-        weight.ravel()[unsure] = np.searchsorted(steps, (y.ravel()[unsure] % m).astype(np.int64), "right")
-        yield weight
+
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def summed(rows: DataFrame, by: str, columns: list[str], n_draws: int, names: list[str], weights: Callable[[dict], Iterator[np.ndarray]]) -> DataFrame:
+def summed(rows: DataFrame, by: str, columns: list[str], n_draws: int, names: list[str], weights: Callable[[dict], Iterator], dealt: bool = False) -> DataFrame:
     """(by, draw, ``names``): for every group of a task and draw the weighted sum and weight of each column, nulls skipped, and the whole weight.
 
     ``weights`` is given a group's other columns as arrays and yields weights, a
-    row for each unit in order and a column for each draw.
+    row for each unit in order and a column for each draw, or tiles of them as
+    ``_tiles`` does. Rows are dealt to tasks unless they are ``dealt`` already.
     """
     kind = rows.schema[by].dataType.simpleString()
     others = [c for c in rows.columns if c != by and c not in columns]
@@ -181,43 +213,128 @@ def summed(rows: DataFrame, by: str, columns: list[str], n_draws: int, names: li
             for units in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else ():
                 group, at = coded.dictionary[int(codes[units[0]])].as_py(), 0
                 acc = total.setdefault(group, np.zeros((2 * len(columns) + 1, n_draws)))
-                for weight in weights({c: x[units] for c, x in own.items()}):
-                    # products in einsum's own loops: a library's threads would fight with those of other tasks
-                    acc += np.einsum("uc,ud->cd", wide[units[at : at + len(weight)]], weight.astype(float))
-                    at += len(weight)
+                mine = np.ascontiguousarray(wide[units].T)
+                for tile in weights({c: x[units] for c, x in own.items()}):
+                    first, weight = tile if isinstance(tile, tuple) else (0, tile)
+                    # Spark gives a worker's libraries as many threads as its task has cores
+                    acc[:, first : first + weight.shape[1]] += mine[:, at : at + len(weight)] @ weight.astype(float, copy=False)
+                    at += len(weight) if first + weight.shape[1] == n_draws else 0
         for group, acc in total.items():
             first = [pa.array([group] * n_draws, schema.field(0).type), pa.array(np.arange(n_draws, dtype=np.int32))]
             yield pa.RecordBatch.from_arrays([*first, *(pa.array(x) for x in acc)], names=[by, "draw", *names])
 
     schema = to_arrow_schema(rows.select(by).schema)
     # few bytes are much work here: a number that is given is not lowered to what the bytes need
-    rows = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by, *others)
+    rows = rows if dealt else rows.repartitionByRange(tasks(rows), by, *others)
     return rows.mapInArrow(run, f"`{by}` {kind}, draw int, " + ", ".join(f"`{c}` double" for c in names))
 
 
+#: ranks of a block of units, and places that a task fills at once
+RANKS, PLACES = 1 << 16, 1 << 20
+
+
+def _packed(low: np.ndarray) -> bytes:
+    """Ascending ranks within a block: their steps, the low bytes before the high ones, most of which are 0."""
+    steps = np.diff(low.astype(np.uint16), prepend=np.uint16(0))
+    return (steps & 255).astype(np.uint8).tobytes() + (steps >> 8).astype(np.uint8).tobytes()
+
+
+def _ranks(packed: bytes) -> np.ndarray:
+    half = np.frombuffer(packed, np.uint8).reshape(2, -1).astype(np.int64)
+    return np.cumsum(half[0] + (half[1] << 8))
+
+
+def _split(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the runs of equal values."""
+    edges = [0, *(np.flatnonzero(np.diff(x)) + 1), len(x)] if len(x) else []
+    return list(zip(edges, edges[1:]))
+
+
+def filled(left: DataFrame, by: str, seed: int) -> DataFrame:
+    """(by, _block, draw, _ranks): the units that fill the ``_left`` places of each draw, by blocks of RANKS units.
+
+    ``left`` has by, draw, n and _left. One place in 64 and more is left, 31 for
+    each unit over 2,000 draws, so rows of single places would be most of the
+    query's work and disk.
+    """
+    schema = to_arrow_schema(left.select(by).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.uint64(MODULUS)
+        for batch in batches:
+            for group, draw, n, begin, end in zip(*(batch.column(c).to_pylist() for c in (by, "draw", "n", "_begin", "_end"))):
+                place = np.arange(begin, end, dtype=np.uint64)
+                x = (place * np.uint64(FACTORS[0]) + np.uint64(draw * FACTORS[1] + _C + seed)) % m
+                y = (x * x + place + np.uint64(draw * FACTORS[2])) % m
+                rank = np.sort((y * y + x) % m * np.uint64(n) // m)
+                block = rank // RANKS
+                runs = _split(block)
+                columns = [[group] * len(runs), [int(block[i]) for i, _ in runs], [draw] * len(runs), [_packed(rank[i:k] % RANKS) for i, k in runs]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (schema.field(0).type, pa.int64(), pa.int32(), pa.binary()))], names=[by, "_block", "draw", "_ranks"])
+
+    parts = left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_left") - 1) / PLACES))))
+    begin = F.col("_part") * PLACES
+    # few bytes are much work here too
+    parts = parts.select(by, "draw", "n", begin.alias("_begin"), F.least(begin + PLACES, F.col("_left")).alias("_end")).repartition(tasks(left), by, "draw", "_begin")
+    return parts.mapInArrow(run, f"`{by}` {left.schema[by].dataType.simpleString()}, _block long, draw int, _ranks binary")
+
+
+def blocks(packed: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(by, _block, _ranks, _values): units (by, _n, ``columns``) by blocks of RANKS units, in rows of as many as a batch has."""
+    schema = to_arrow_schema(packed.select(by).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(by).dictionary_encode(null_encoding="encode")
+            codes, n = coded.indices.to_numpy(zero_copy_only=False), batch.column("_n").to_numpy(zero_copy_only=False)
+            order = np.lexsort((n, codes))
+            codes, n = codes[order], n[order]
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])[:, order]
+            runs = [(i + a, i + b) for i, k in _split(codes) for a, b in _split(n[i:k] // RANKS)]
+            found = [[coded.dictionary[int(codes[i])].as_py() for i, _ in runs], [int(n[i]) // RANKS for i, _ in runs], [_packed(n[i:k] % RANKS) for i, k in runs], [values[:, i:k].tobytes() for i, k in runs]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (schema.field(0).type, pa.int64(), pa.binary(), pa.binary()))], names=[by, "_block", "_ranks", "_values"])
+
+    rows = packed.select(by, "_n", *columns)
+    return rows.mapInArrow(run, f"`{by}` {rows.schema[by].dataType.simpleString()}, _block long, _ranks binary, _values binary")
+
+
+def met(found: DataFrame, units: DataFrame, by: str, columns: list[str], names: list[str]) -> DataFrame:
+    """(by, draw, ``names``): sum and number of the values of each column over the places of ``filled``, some of a draw's in a row."""
+    schema = to_arrow_schema(units.select(by).schema)
+    k = len(columns)
+
+    def run(key: tuple, places: pa.Table, own: pa.Table) -> pa.Table:
+        wide = np.zeros((RANKS, 2 * k))
+        for ranks, values in zip(own["_ranks"].to_pylist(), own["_values"].to_pylist()):
+            values = np.frombuffer(values).reshape(k, -1).T
+            there = ~np.isnan(values)
+            at = _ranks(ranks)
+            wide[at, 0::2], wide[at, 1::2] = np.where(there, values, 0), there
+        sums = np.array([wide.take(_ranks(x), 0).sum(0) for x in places["_ranks"].to_pylist()]).reshape(-1, 2 * k)
+        group = pa.array([key[0].as_py()] * len(places), schema.field(0).type)
+        return pa.table([group, places["draw"], *(pa.array(x) for x in sums.T)], names=[by, "draw", *names])
+
+    kind = units.schema[by].dataType.simpleString()
+    return found.groupBy(by, "_block").cogroup(units.groupBy(by, "_block")).applyInArrow(run, f"`{by}` {kind}, draw int, " + ", ".join(f"`{c}` double" for c in names))
+
+
 def draws(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int = SEED, by: str = "pair", order: str = "key") -> DataFrame:
     """(by, draw, n, and for every column c: c_sum, c_w): sums over the n units of a draw, and how many of them have a value."""
-    packed = numbered(units.select(by, order, *(F.col(c).cast("double").alias(c) for c in columns)), [by], [order])
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), by, order).cast("binary"))
-    part = lambda k: F.conv(F.substring(digest, k, 7), 16, 10).cast("long")
-    rows = packed.select(by, part(1).alias("_u"), part(8).alias("_v"), rate(F.col("_size")).alias("_rate"), *columns)
+    part = lambda k: F.conv(F.substring(digest, k, 7), 16, 10).cast("int")
+    rows = units.select(by, order, *(F.col(c).cast("double").alias(c) for c in columns))
+    packed = numbered(rows, [by], [order], n_tasks=tasks(units), keep=[by, part(1).alias("_u"), part(8).alias("_v"), *columns])
     sums = [f"{c}_{x}" for c in columns for x in ("sum", "w")]
     every = np.arange(n_boot, dtype=np.uint64)
-    parts = summed(rows, by, columns, n_boot, [*sums, "_w"], lambda own: _weights(own["_u"], own["_v"], int(own["_rate"][0]), every))
+    rated = packed.select(by, "_u", "_v", rate(F.col("_size")).alias("_rate"), *columns)
+    parts = summed(rated, by, columns, n_boot, [*sums, "_w"], lambda own: _tiles(own["_u"], own["_v"], int(own["_rate"][0]), every), dealt=True)
     size = packed.groupBy(by).agg(F.count("*").alias("n")).withColumnRenamed(by, "_by")
     first = parts.groupBy(by, "draw").agg(*(F.sum(c).alias(c) for c in [*sums, "_w"])).join(size, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     fits = F.col("_w") <= F.col("n")
     first = kept(first.withColumns({c: F.when(fits, F.col(c)).otherwise(0.0) for c in [*sums, "_w"]}))
-    left = first.withColumn("_left", F.col("n") - F.col("_w").cast("long")).where("_left > 0")
-    # blocks of places, so that no row holds a whole study
-    blocks = left.select(by, "draw", "n", "_left", F.explode(F.sequence(F.lit(0), F.floor((F.col("_left") - 1) / BLOCK))).alias("_block"))
-    begin = F.col("_block") * BLOCK
-    places = blocks.withColumn("_place", F.explode(F.sequence(begin, F.least(begin + BLOCK, F.col("_left")) - 1)))
-    index = place_index(F.col("draw").cast("long"), F.col("_place"), F.col("n"), seed)
-    picks = places.select(F.col(by).alias("_by"), "draw", index.alias("_index"))
-    # what explode makes looks small to the planner, which must not broadcast it
-    met = picks.join(packed.select(by, "_n", *columns).hint("shuffle_hash"), (F.col("_index") == F.col("_n")) & F.col("_by").eqNullSafe(F.col(by)))
-    second = met.groupBy("_by", F.col("draw").alias("_draw")).agg(*(f(c).alias(f"_{c}_{x}") for c in columns for x, f in (("sum", F.sum), ("w", F.count))))
+    left = first.withColumn("_left", F.col("n") - F.col("_w").cast("long")).where("_left > 0").select(by, "draw", "n", "_left")
+    second = met(filled(left, by, seed), blocks(packed, by, columns), by, columns, sums)
+    second = second.groupBy(F.col(by).alias("_by"), F.col("draw").alias("_draw")).agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     both = first.join(second, F.col(by).eqNullSafe(F.col("_by")) & (F.col("draw") == F.col("_draw")), "left")
     return both.select(by, "draw", "n", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -51,19 +52,32 @@ def needed(sql: str) -> list[str]:
 RATERS = {"reference": "rf <> 'A'", "clinician_2": "rf <> 'N'", "clinician_3": "rf <> 'R'", "coder": "ls = 'F'", "model_1": "ls = 'O'", "model_2": "pos <= 3"}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view or table as a DataFrame."""
-    if name == "rater_annotation":  # one scan, whose rows go to their raters
-        raters = F.array_compact(F.array(*(F.when(F.expr(where), F.lit(rater)) for rater, where in RATERS.items())))
-        rows = view(spark, sf_dir, "annotation")
-        return rows.select(F.explode(raters).alias("rater"), *rows.columns)
+def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of that name. Here lines lie by ``episode`` itself, so that what is grouped by episodes afterwards is not shuffled again."""
+    lines, parts, orders = (view(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    lines = lines.withColumnRenamed("l_orderkey", "episode").join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders.select("o_orderkey", F.col("o_custkey").alias("nid")), F.col("episode") == F.col("o_orderkey"))
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    kind = F.expr("case when l_linenumber % 2 = 1 then 'dx' else 'px' end")
+    code = F.expr("concat(substr(p_type,1,1), '0', cast(p_size % 4 as varchar(2)), '.', substr(p_brand,7,1))")
+    flags = F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls")
+    return lines.select("episode", "nid", kind.alias("kind"), code.alias("raw_code"), *flags, F.row_number().over(W.partitionBy("episode").orderBy(*order)).alias("pos"))
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, added: dict[str, Column] | None = None) -> DataFrame:
+    """A view or table as a DataFrame, with columns ``added``."""
+    if name == "annotation":
+        return annotation(spark, sf_dir).withColumns(added or {})
+    if name == "rater_annotation":  # one scan, whose rows go to their raters; what is added is computed before that
+        raters = F.array(*(F.when(F.expr(where), F.lit(rater)) for rater, where in RATERS.items()))
+        rows = view(spark, sf_dir, "annotation", added)
+        return rows.select(F.explode(raters).alias("rater"), *rows.columns).where("rater is not null")
     sql = f"select * from {name}"
     chain = needed(sql)
     words = set(re.findall(r"\w+", " ".join([sql, *(VIEWS[v] for v in chain)])))
     for t in BASE:
         if t in words:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(with_views(sql))
+    return spark.sql(with_views(sql)).withColumns(added or {})
 
 
 def with_views(sql: str, *ctes: str) -> str:

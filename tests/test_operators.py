@@ -389,3 +389,51 @@ def test_episodes_are_shuffled_once(spark):
     rows = spark.createDataFrame([("r", str(k % 9), "dx", k, f"A{k % 5}") for k in range(90)], ANN)
     found = annotations.episodes(rows)
     assert found.count() == 9 and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_left_places_are_packed_by_blocks_of_units(spark):
+    """The units that the counted indices give, from a row for each draw and block instead of one for each place, made by all tasks."""
+    left = spark.createDataFrame([("p", d, 150_000, 3_000 + d) for d in range(6)] + [(None, 0, 1, 1)], "pair string, draw int, n long, _left long")
+    found = resample.filled(left, "pair", 42)
+    assert found.rdd.getNumPartitions() == 4
+    rows = found.collect()
+    assert len(rows) == 6 * 3 + 1
+    m, (f0, f1, f2) = resample.MODULUS, resample.FACTORS
+    for d in range(6):
+        want = []
+        for place in range(3_000 + d):
+            x = (place * f0 + d * f1 + 12345 + 42) % m
+            y = (x * x + place + d * f2) % m
+            want.append((y * y + x) % m * 150_000 // m)
+        got = [r._block * resample.RANKS + k for r in rows if r.pair == "p" and r.draw == d for k in resample._ranks(r._ranks)]
+        assert sorted(got) == sorted(want)
+
+
+def test_draws_over_several_blocks_of_units(spark, monkeypatch):
+    """Blocks of 8 units: every draw takes n of n, and the sums are those of blocks that hold all units."""
+    units = spark.createDataFrame([("p", k, 1.0, float(k % 13) if k % 5 else None) for k in range(3000)], "pair string, key int, x double, y double")
+    whole = resample.draws(units, ["x", "y"], 40).toPandas().sort_values("draw", ignore_index=True)
+    monkeypatch.setattr(resample, "RANKS", 8)
+    parts = resample.draws(units, ["x", "y"], 40).toPandas().sort_values("draw", ignore_index=True)
+    assert (parts.x_sum == 3000).all() and parts.equals(whole)
+
+
+def test_tiles_are_the_weights_of_plain_remainders():
+    """Tiles of any shape, and a table so coarse that most numbers are computed exactly."""
+    rng, every, p = np.random.default_rng(6), np.arange(700), resample.MODULUS
+    u, v = (rng.integers(0, 2**28, 300) for _ in range(2))
+    x = (u[:, None] * resample.FACTORS[0] + every * resample.FACTORS[1] + 12345) % p
+    y = (x * x + v[:, None] + every * resample.FACTORS[2]) % p
+    plain = np.searchsorted(resample.POISSON[63], (y * y + x) % p, "right")
+    for bits in (15, 3):
+        resample._by_share.cache_clear()
+        try:
+            resample._BITS, own = bits, resample._BITS
+            got, at = np.full(plain.shape, -1), 0
+            for first, weight in resample._tiles(u, v, 63, every):
+                got[at : at + len(weight), first : first + weight.shape[1]] = weight
+                at += len(weight) if first + weight.shape[1] == 700 else 0
+        finally:
+            resample._BITS = own
+            resample._by_share.cache_clear()
+        assert (got == plain).all()
