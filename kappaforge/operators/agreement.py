@@ -56,8 +56,8 @@ def overlap(a: Column, b: Column, kind: str = "combined") -> tuple[Column, Colum
     return F.when(there, shared / F.size(F.array_union(x, y))), F.when(there, (shared > 0).cast("int"))
 
 
-def kappa_units(compared: DataFrame) -> DataFrame:
-    """(pair, key, dx, px): Cohen's kappa of two hit vectors per episode and kind.
+def kappa_units(compared: DataFrame, *more: Column) -> DataFrame:
+    """(pair, key, dx, px): Cohen's kappa of two hit vectors per episode and kind; and ``more`` columns of ``compared``'s rows.
 
     A hit is an annotation with a code that the other rater has anywhere; the
     shorter vector is padded with zeros. Equal constant vectors give 1, also
@@ -66,12 +66,14 @@ def kappa_units(compared: DataFrame) -> DataFrame:
     at the same place of both vectors.
     """
     sides = {(k, s): F.filter(s, lambda x: x["kind"] == F.lit(k)) for k in ("dx", "px") for s in ("a", "b")}  # noqa: B023
-    rows = compared.select("pair", "key", *(v.alias(f"{k}_{s}") for (k, s), v in sides.items()))
+    compared = compared.select("*", *more)
+    rest = compared.columns[len(compared.columns) - len(more) :]
+    rows = compared.select("pair", "key", *rest, *(v.alias(f"{k}_{s}") for (k, s), v in sides.items()))
     codes = lambda c: F.transform(c, lambda x: x["code"])
     rows = rows.select("*", *(F.array_intersect(codes(f"{k}_a"), codes(f"{k}_b")).alias(f"{k}_shared") for k in ("dx", "px")))
     place = lambda c: F.array_distinct(F.transform(c, lambda x: x["pos"]))
     shared = lambda k, s: F.filter(f"{k}_{s}", lambda x: F.array_contains(f"{k}_shared", x["code"]))
-    rows = rows.select("pair", "key", *(v.alias(f"{k}_{s}_{n}") for k, s in sides for n, v in (("places", place(f"{k}_{s}")), ("hits", place(shared(k, s))))))
+    rows = rows.select("pair", "key", *rest, *(v.alias(f"{k}_{s}_{n}") for k, s in sides for n, v in (("places", place(f"{k}_{s}")), ("hits", place(shared(k, s))))))
 
     def kappa(kind: str) -> Column:
         places, hits = ([F.col(f"{kind}_{s}_{n}") for s in ("a", "b")] for n in ("places", "hits"))
@@ -82,7 +84,7 @@ def kappa_units(compared: DataFrame) -> DataFrame:
         chance = sx * (w - sy) + (w - sx) * sy
         return F.when(w == 0, F.lit(None)).when(chance == 0, F.lit(1.0)).otherwise(1 - (w * d).cast("double") / chance)
 
-    return rows.select("pair", "key", *(kappa(k).alias(k) for k in ("dx", "px")))
+    return rows.select("pair", "key", *(kappa(k).alias(k) for k in ("dx", "px")), *rest)
 
 
 def category_average(units: DataFrame, by: tuple[str, ...] = ("pair",)) -> DataFrame:
