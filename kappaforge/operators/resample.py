@@ -175,6 +175,12 @@ def _tiles(u: np.ndarray, v: np.ndarray, rate: int, every: np.ndarray) -> Iterat
             yield first, weight
 
 
+def _halves(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 28 bits each of a unit's two numbers, from the first seven bytes of its digest."""
+    both = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 7).astype(np.int64) @ (1 << np.arange(48, -1, -8))
+    return both >> 28, both & ((1 << 28) - 1)
+
+
 def _weights(u: np.ndarray, v: np.ndarray, rate: int, every: np.ndarray) -> Iterator[np.ndarray]:
     """The weights of ``_tiles`` with all draws of a unit in a row."""
     row = []
@@ -321,13 +327,12 @@ def met(found: DataFrame, units: DataFrame, by: str, columns: list[str], names:
 def draws(units: DataFrame, columns: list[str], n_boot: int = N_BOOT, seed: int = SEED, by: str = "pair", order: str = "key") -> DataFrame:
     """(by, draw, n, and for every column c: c_sum, c_w): sums over the n units of a draw, and how many of them have a value."""
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), by, order).cast("binary"))
-    part = lambda k: F.conv(F.substring(digest, k, 7), 16, 10).cast("int")
     rows = units.select(by, order, *(F.col(c).cast("double").alias(c) for c in columns))
-    packed = numbered(rows, [by], [order], n_tasks=tasks(units), keep=[by, part(1).alias("_u"), part(8).alias("_v"), *columns])
+    packed = numbered(rows, [by], [order], n_tasks=tasks(units), keep=[by, F.unhex(F.substring(digest, 1, 14)).alias("_digest"), *columns])
     sums = [f"{c}_{x}" for c in columns for x in ("sum", "w")]
     every = np.arange(n_boot, dtype=np.uint64)
-    rated = packed.select(by, "_u", "_v", rate(F.col("_size")).alias("_rate"), *columns)
-    parts = summed(rated, by, columns, n_boot, [*sums, "_w"], lambda own: _tiles(own["_u"], own["_v"], int(own["_rate"][0]), every), dealt=True)
+    rated = packed.select(by, "_digest", rate(F.col("_size")).alias("_rate"), *columns)
+    parts = summed(rated, by, columns, n_boot, [*sums, "_w"], lambda own: _tiles(*_halves(own["_digest"]), int(own["_rate"][0]), every), dealt=True)
     size = packed.groupBy(by).agg(F.count("*").alias("n")).withColumnRenamed(by, "_by")
     first = parts.groupBy(by, "draw").agg(*(F.sum(c).alias(c) for c in [*sums, "_w"])).join(size, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     fits = F.col("_w") <= F.col("n")
