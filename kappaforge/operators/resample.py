@@ -269,10 +269,13 @@ def filled(left: DataFrame, by: str, seed: int) -> DataFrame:
         m = np.uint64(MODULUS)
         for batch in batches:
             for group, draw, n, begin, end in zip(*(batch.column(c).to_pylist() for c in (by, "draw", "n", "_begin", "_end"))):
-                place = np.arange(begin, end, dtype=np.uint64)
-                x = (place * np.uint64(FACTORS[0]) + np.uint64(draw * FACTORS[1] + _C + seed)) % m
-                y = (x * x + place + np.uint64(draw * FACTORS[2])) % m
-                rank = np.sort((y * y + x) % m * np.uint64(n) // m)
+                rank = np.empty(end - begin, np.uint32 if n <= 1 << 32 else np.uint64)
+                for at in range(begin, end, 1 << 14):  # what fits the cache
+                    place = np.arange(at, min(at + (1 << 14), end), dtype=np.uint64)
+                    x = (place * np.uint64(FACTORS[0]) + np.uint64(draw * FACTORS[1] + _C + seed)) % m
+                    y = (x * x + place + np.uint64(draw * FACTORS[2])) % m
+                    rank[at - begin : at - begin + len(place)] = (y * y + x) % m * np.uint64(n) // m
+                rank.sort()
                 block = rank // RANKS
                 runs = _split(block)
                 columns = [[group] * len(runs), [int(block[i]) for i, _ in runs], [draw] * len(runs), [_packed(rank[i:k] % RANKS) for i, k in runs]]
